@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, sharding, url_filter
+from . import exact_dedup, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_simhash": simhash.op2_simhash,
     "op5_sharding": sharding.op5_sharding,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLE_SQL = {name: sql for name, sql in {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op5_sharding": sharding.ORACLE_SQL, "op9_url_filters": url_filter.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL}.items() if sql}
+ORACLE_SQL = {
+    "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_quality_rules": quality.ORACLE_SQL,
+}

@@ -64,5 +64,3 @@ def op5_sharding(spark, sf_dir: str) -> DataFrame:
     return balanced_shards(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-#: DuckDB has no crc32 of a text, so no SQL; see tests/llm/test_sharding.py for the brute-force version.
-ORACLE_SQL = None

@@ -135,5 +135,3 @@ def op9_url_filters(spark, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
-#: The rounds of the link graph are not expressed in SQL; see tests/llm/test_url_filter.py for the brute-force version.
-ORACLE_SQL = None
