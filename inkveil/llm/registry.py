@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, sharding, simhash, token_files, url_filter
+from . import exact_dedup, packing, quality, sharding, simhash, token_files, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_token_files": token_files.op4_token_files,
     "op5_sharding": sharding.op5_sharding,
+    "op6_warc": warc.op6_warc,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
 }
