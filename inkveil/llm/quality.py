@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, SPACE
-
 #: Function words of the languages that the corpus may hold; a text of prose has some of them.
 STOP_WORDS = (
     "the of and to a in is that it for on was with as be by at this are or "
@@ -33,57 +31,77 @@ class Rule:
 RULES = (
     Rule("min_words", "n_words", low=50),
     Rule("max_words", "n_words", high=1_000_000),
-    Rule("repeat_words", "n_repeat_words / n_words", high=0.5),
-    Rule("mean_word_length", "word_chars / n_words", low=2, high=15),
-    Rule("symbols", "n_symbols / n_words", high=0.6),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", high=0.5),
-    Rule("bullet_lines", "n_bullet_lines / n_lines", high=0.9),
-    Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", high=0.5),
-    Rule("letters", "n_letter_words / n_words", low=0.3),
+    Rule("repeat_words", "try_divide(n_repeat_words, n_words)", high=0.5),
+    Rule("mean_word_length", "try_divide(word_chars, n_words)", low=2, high=15),
+    Rule("symbols", "try_divide(n_symbols, n_words)", high=0.6),
+    Rule("duplicate_lines", "try_divide(n_dup_lines, n_lines)", high=0.5),
+    Rule("bullet_lines", "try_divide(n_bullet_lines, n_lines)", high=0.9),
+    Rule("ellipsis_lines", "try_divide(n_ellipsis_lines, n_lines)", high=0.5),
+    Rule("letters", "try_divide(n_letter_words, n_words)", low=0.3),
     Rule("stop_words", "n_stop_words", low=2),
 )
 
 
-def _windows(words: str, make: str) -> Column:
-    """``make`` of each position i (from 1) with three words; none for fewer words."""
-    return F.expr(f"transform(sequence(1, greatest(size({words}) - 2, 1)), i -> {make})")
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, so that the value is written, and computed, once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _repeated(windows: str) -> Column:
-    """Positions of the entries (struct of w, i) whose w occurs twice or more: equal ones are neighbours once sorted."""
-    return F.expr(
-        f"array_distinct(flatten(zip_with(slice({windows}, 1, size({windows}) - 1), slice({windows}, 2, size({windows}) - 1), "
+def _repeated(sorted_windows: str) -> str:
+    """Positions of the windows (struct of w, i) whose w occurs twice or more: equal ones are neighbours once sorted."""
+    s = sorted_windows
+    return (
+        f"array_distinct(flatten(zip_with(slice({s}, 1, size({s}) - 1), slice({s}, 2, size({s}) - 1), "
         "(a, b) -> if(a.w = b.w, array(a.i, b.i), cast(array() as array<int>)))))"
     )
 
 
+#: Windows of three words are compared by hash; only where two hashes meet are the words compared, so the count is exact.
+_REPEAT_WORDS = _let(
+    "hashed",
+    "sort_array(transform(sequence(1, size(ws) - 2), i -> struct(xxhash64(ws[i - 1], ws[i], ws[i + 1]) as w, i as i)))",
+    _let(
+        "met",
+        _repeated("hashed"),
+        "if(size(met) = 0, 0, "
+        + _let("exact", "sort_array(transform(met, i -> struct(concat_ws(' ', slice(ws, i, 3)) as w, i as i)))", f"size(array_distinct(flatten(transform({_repeated('exact')}, i -> sequence(i, i + 2)))))")
+        + ")",
+    ),
+)
+
+_OF_WORDS = {
+    "n_words": "size(ws)",
+    "n_repeat_words": f"if(size(ws) < 4, 0, {_REPEAT_WORDS})",
+    "n_letter_words": r"size(filter(ws, w -> w rlike '\\p{L}'))",
+    "n_stop_words": f"size(filter(ws, w -> lower(w) in ({', '.join(repr(w) for w in STOP_WORDS)})))",
+}
+_OF_LINES = {
+    "n_lines": "size(ls)",
+    "n_dup_lines": "size(ls) - size(array_distinct(ls))",
+    "n_bullet_lines": r"size(filter(ls, x -> x rlike '^[\\x20\\x09-\\x0D]*[-*•]'))",
+    "n_ellipsis_lines": r"size(filter(ls, x -> x rlike '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))",
+}
+_OF_TEXT = {
+    "word_chars": r"length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', ''))",
+    "n_symbols": r"length(regexp_replace(t, '[^#*$%&|<>]+', ''))",
+}
+MEASURES = (*_OF_WORDS, *_OF_LINES, *_OF_TEXT)
+
+
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the measures of every whole text: counts of words, characters, symbols, lines and repeats.
 
-    All are built-in functions. Windows of three words are compared by hash first; only where two
-    hashes meet are the words themselves compared, so the count is exact. The columns added begin
-    with ``n_`` or are ``word_chars``; columns of those names in the input are replaced.
+    All are built-in functions in one row-wise step. It is written as a generator of one row, so that
+    no optimizer rule copies the measures into each filter and rule that uses them. Columns of the
+    measures' names in the input are replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.withColumn("_words", F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""))
-    step = step.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)))
-    step = step.withColumn("n_words", F.size("_words").cast("long"))
-    step = step.withColumn("_hashed", F.when(F.col("n_words") >= 4, F.sort_array(_windows("_words", "struct(xxhash64(_words[i - 1], _words[i], _words[i + 1]) as w, i as i)"))))
-    step = step.withColumn("_met", F.when(F.col("n_words") >= 4, _repeated("_hashed")))
-    step = step.withColumn("_exact", F.when(F.size("_met") > 0, F.sort_array(F.transform("_met", lambda i: F.struct(F.concat_ws(" ", F.slice("_words", i, 3)).alias("w"), i.alias("i"))))))
-    step = step.withColumn("_again", F.when(F.size("_met") > 0, _repeated("_exact")))
-    return (
-        step.withColumn("n_repeat_words", F.when(F.size("_again") > 0, F.size(F.array_distinct(F.flatten(F.transform("_again", lambda i: F.sequence(i, i + 2)))))).otherwise(0).cast("long"))
-        .withColumn("word_chars", F.length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_bullet_lines", F.size(F.filter("_lines", lambda x: x.rlike(rf"^{SPACE}*[-*•]"))).cast("long"))
-        .withColumn("n_ellipsis_lines", F.size(F.filter("_lines", lambda x: x.rlike(rf"(\.\.\.|…){SPACE}*$"))).cast("long"))
-        .withColumn("n_letter_words", F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))).cast("long"))
-        .withColumn("n_stop_words", F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"))
-        .drop("_words", "_lines", "_hashed", "_met", "_exact", "_again")
-    )
+    fields = lambda some: "named_struct(" + ", ".join(f"'{k}', cast({v} as bigint)" for k, v in some.items()) + ")"
+    words = _let("ws", r"filter(split(t, '[\\x20\\x09-\\x0D]+'), w -> w <> '')", fields(_OF_WORDS))
+    lines = _let("ls", r"filter(split(t, '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')", fields(_OF_LINES))
+    every = _let("t", f"coalesce(`{text_col}`, '')", f"named_struct('w', {words}, 'l', {lines}, 't', {fields(_OF_TEXT)})")
+    kept = [c for c in docs.columns if c not in MEASURES]
+    step = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(F.expr(every))).alias("_m"))
+    return step.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"_m.{g}.{k}").alias(k) for g, some in (("w", _OF_WORDS), ("l", _OF_LINES), ("t", _OF_TEXT)) for k in some))
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> Column:
