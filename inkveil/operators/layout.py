@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkveil.functions import geometry
 from inkveil.functions.text import normalized
@@ -139,7 +140,7 @@ class _Page:
         return all_ids[np.lexsort((self.x[all_ids], rank))].tolist()
 
 
-@F.pandas_udf("array<array<int>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def cells(text: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, starts: pd.Series, ends: pd.Series, more: pd.Series) -> pd.Series:
     """For each seed of a page its cell; a negative ``more`` stands for the seed itself."""
     out = []

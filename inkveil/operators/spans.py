@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,23 +11,41 @@ from pyspark.sql import functions as F
 from inkveil.plans import rules as R
 
 #: A text with so long a run of syllables that end a region makes backtracking patterns crawl; address rules pass over it.
-SYLLABLE_RUN = r"(?:[시군구도]\s*){12,}"
+SYLLABLE_RUN = r"(?:[시군구도]\s*){12}"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sum(values: Column) -> Column:
+    """Sums up to each entry of a non-empty array of ints, by blocks of the root of its size, so that long arrays stay cheap."""
+    plus = lambda a, x: a + x
+
+    def by(v: Column, size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / size).cast("int")), lambda b: F.slice(v, b * size + 1, size))
+
+        def joined(blocks: Column) -> Column:
+            sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), plus))
+            starts = F.transform(sums, lambda _, j: F.aggregate(F.slice(sums, 1, j), F.lit(0), plus))
+            return let(starts, lambda at: F.flatten(F.transform(blocks, lambda x, j: F.transform(x, lambda _, i: F.get(at, j) + F.aggregate(F.slice(x, 1, i + 1), F.lit(0), plus)))))
+
+        return let(blocks, joined)
+
+    return let(values, lambda v: let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda size: by(v, size)))
 
 
 def spans(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, match>>`` of all matches of a Java pattern that matches no empty string."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
-    def step(at: Column, pair: Column) -> Column:
-        start = at["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(at["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match")))).alias("out"))
+    def placed(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        ends = running_sum(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m)))
+        return F.when(F.size(matches) > 0, F.zip_with(matches, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))).otherwise(none)
 
-    pairs = F.transform(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), lambda p: F.struct(p["gap"].alias("gap"), p["match"].alias("match")))
-    pairs = F.filter(pairs, lambda p: p["match"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda at: at["out"])
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def before(text: Column, start: Column, n: int = R.ANCHOR_WINDOW) -> Column:
