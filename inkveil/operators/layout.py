@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from inkveil.functions import geometry
 from inkveil.functions.text import normalized
 from inkveil.operators.detect import PAGE, _confirmed
-from inkveil.operators.spans import CANDIDATE, all_candidates, spans
+from inkveil.operators.spans import CANDIDATE, all_candidates, once, spans
 from inkveil.plans import rules as R
 
 # Fixed values, in widths (of a seed's middle glyph) across and heights down.
@@ -159,18 +159,19 @@ def page_cells(pages: DataFrame, rules: tuple[R.Rule, ...] = R.RULES, dongs: Dat
     """Add ``text`` and ``finds``: structs of the candidate's fields and ``claimed``, the places it claims in reading order."""
     rules = tuple(r for r in rules if dongs is not None or not r.lookup)
     g = F.col("glyphs")
-    step = pages.withColumn("text", F.array_join(F.transform(g, lambda c: c["ch"]), "")).withColumn("_norm", normalized(F.col("text")))
+    step = once(pages, "text", F.array_join(F.transform(g, lambda c: c["ch"]), ""))
+    step = once(step, "_norm", normalized(F.col("text")))
 
     def stands(c: Column) -> Column:
         boxes = _slice(g, c["start"], c["end"])
         number = c["pattern_type"].isin("RRN", "Card")
         return ~(number & (geometry.line_count(boxes) > 2)) & ~((c["pattern_type"] == "Card") & geometry.cell_gap(boxes))
 
-    step = step.withColumn("_all", F.filter(all_candidates(F.col("_norm"), rules), stands))
+    step = once(step, "_all", F.filter(all_candidates(F.col("_norm"), rules), stands))
     if dongs is not None and any(r.lookup for r in rules):
         step = _confirmed(step, rules, dongs)
     region = F.when(F.col("_norm").rlike("[시군구도]"), spans(F.col("_norm"), "(?U)" + R.REGION + R.TOWN)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
-    step = step.withColumn("_late", region)
+    step = once(step, "_late", region)
     more = F.concat(
         F.transform("_all", lambda c: F.when(c["category"] != "Address", -1).when(c["pattern_type"] == "AddressBuildingLine", 0).otherwise(MORE_LINES)),
         F.transform("_late", lambda s: F.lit(MORE_LINES)),
@@ -185,8 +186,9 @@ def page_cells(pages: DataFrame, rules: tuple[R.Rule, ...] = R.RULES, dongs: Dat
         F.array().cast(_FOUND),
         lambda kept, c: F.when(F.exists(kept, lambda k: F.arrays_overlap(k["claimed"], F.sequence(c["start"], c["end"] - 1)) | F.coalesce((k["claim_start"] < c["end"]) & (c["start"] < k["claim_end"]), F.lit(False))), kept).otherwise(F.concat(kept, F.array(c))),
     )
-    step = step.withColumn("finds", found).withColumn("_taken", F.flatten(F.transform("finds", lambda f: F.concat(f["claimed"], F.sequence(f["claim_start"], f["claim_end"] - 1)))))
-    return step.withColumn("finds", F.concat("finds", _late_finds(len(rules)))).drop("_norm", "_all", "_late", "_cells", "_taken")
+    step = once(step, "finds", found)
+    step = once(step, "_taken", F.flatten(F.transform("finds", lambda f: F.concat(f["claimed"], F.sequence(f["claim_start"], f["claim_end"] - 1)))))
+    return once(step, "_more", _late_finds(len(rules))).withColumn("finds", F.concat("finds", "_more")).drop("_more", "_norm", "_all", "_late", "_cells", "_taken")
 
 
 _FIELDS = [c.split(":")[0] for c in CANDIDATE.removeprefix("struct<").removesuffix(">").split(",")]

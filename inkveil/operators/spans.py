@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.plans import rules as R
@@ -19,6 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column by a generator of one row, so that no optimizer rule copies its expression into what uses it."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def running_sum(values: Column) -> Column:
     """Sums up to each entry of a non-empty array of ints, by blocks of the root of its size, so that long arrays stay cheap."""
     plus = lambda a, x: a + x

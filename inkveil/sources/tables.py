@@ -99,7 +99,7 @@ def imported_items(rows: DataFrame, now) -> DataFrame:
     """Imported rows as items: page from 0 (0 at least), a box that does not parse is all zeros, nothing validated."""
     zero = geometry.box(*(F.lit(0.0) for _ in range(4)))
     return rows.select(
-        "filename", F.lit("imported").alias("origin"), F.greatest(F.col("page") - 1, F.lit(0)).alias("page"), F.coalesce(parse_box(F.col("box")), zero).alias("bbox"),
+        "filename", F.lit("imported").alias("origin"), F.when(F.col("page").isNotNull(), F.greatest(F.col("page") - 1, F.lit(0))).alias("page"), F.coalesce(parse_box(F.col("box")), zero).alias("bbox"),
         category_code(F.col("label")).alias("category"), "content", F.lit(None).cast("double").alias("confidence"), F.lit("NotValidated").alias("validation"), now.alias("created_at"), now.alias("updated_at"),
     )
 

@@ -11,7 +11,9 @@ from inkveil.plans.rules import RULES, Rule
 
 def stream_finds(pages: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """A row for each find of a stream of pages; the same row-wise work as in batch, so no state."""
-    return page_finds(pages, rules, text_col=text_col).select("doc_id", "page_index", F.explode("finds").alias("f")).select("doc_id", "page_index", "f.*")
+    flat = page_finds(pages, rules, text_col=text_col).select("doc_id", "page_index", F.col(text_col).alias("_text"), F.explode("finds").alias("f"))
+    content = F.substring(F.col("_text"), F.col("f.claim_start") + 1, F.col("f.claim_end") - F.col("f.claim_start"))
+    return flat.select("doc_id", "page_index", "f.*", content.alias("content")).drop("match")
 
 
 def ordered_log(log: DataFrame, delay: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
