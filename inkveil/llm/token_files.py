@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_path
+from .shared import land, shared_path
 from .tokens import encoder, in_portions
 
 MAGIC = b"PFORTOK1"
@@ -37,6 +37,9 @@ END_ID = 2
 #: Layouts of header, block and footer.
 _HEAD, _BLOCK, _FOOT = "<8sQ", "<IHBH", "<QQQQQ8s"
 
+#: Widths whose packed bits are plain numbers.
+_ALIGNED = {8: "<u1", 16: "<u2", 32: "<u4"}
+
 
 def pack_block(ids: np.ndarray) -> bytes:
     """One block of up to 4096 ids."""
@@ -46,18 +49,23 @@ def pack_block(ids: np.ndarray) -> bytes:
     odd = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
     values = rest[odd]
     rest[odd] = 0
-    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little") if width else np.empty(0, np.uint8)
-    return struct.pack(_BLOCK, least, len(ids), width, len(odd)) + np.packbits(bits, bitorder="little").tobytes() + odd.astype("<u2").tobytes() + values.astype("<u4").tobytes()
+    if width in _ALIGNED:
+        packed = rest.astype(_ALIGNED[width]).tobytes()
+    else:
+        packed = np.packbits(np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little") if width else np.empty(0, np.uint8), bitorder="little").tobytes()
+    return struct.pack(_BLOCK, least, len(ids), width, len(odd)) + packed + odd.astype("<u2").tobytes() + values.astype("<u4").tobytes()
 
 
 def unpack_block(data: memoryview) -> np.ndarray:
     """The ids of the block that ``data`` begins with."""
     least, n, width, odd = struct.unpack_from(_BLOCK, data)
     at, size = struct.calcsize(_BLOCK), (n * width + 7) // 8
-    ids = np.zeros((n, 32), np.uint8)
-    if width:
-        ids[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    ids = np.packbits(ids, axis=1, bitorder="little").view("<u4").ravel()
+    if width in _ALIGNED:
+        ids = np.frombuffer(data, _ALIGNED[width], n, at).astype("<u4")
+    else:
+        bits = np.zeros((n, 32), np.uint8)
+        bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
+        ids = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
     where = np.frombuffer(data, "<u2", odd, at + size)
     ids[where] = np.frombuffer(data, "<u4", odd, at + size + 2 * odd)
     return ids + np.uint32(least)
@@ -127,28 +135,35 @@ def _footer(content: memoryview) -> tuple[int, ...]:
     return file_no, *numbers
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` from the files in ``path``: ``start`` counts the ids of all documents before, ``ids`` is binary, little-endian unsigned 32-bit.
-
-    Files' footers give their numbers of ids; these few rows, one for each file, are added up and
-    broadcast. Each file is then decoded on its own.
-    """
-
-    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_footer(memoryview(c.as_buffer())) for c in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[5] for f in found], pa.int64())], ["file_no", "ids"])
+def decode_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file_no, doc_id, start, n_tokens, ids`` from the files in ``path``, each decoded on its own: ``start`` counts within the file, ``ids`` is binary, little-endian unsigned 32-bit."""
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 yield from _documents(memoryview(content.as_buffer()))
 
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+    return files.mapInArrow(run, "file_no long, doc_id long, start long, n_tokens long, ids binary")
+
+
+def global_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` with ``start`` counted over all files. ``files`` (``file_no, ids``) has one row for each file; these few are added up and broadcast."""
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.mapInArrow(footers, "file_no long, ids long").select("file_no", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    rows = files.mapInArrow(decoded, "file_no long, doc_id long, start long, n_tokens long, ids binary")
-    return rows.join(F.broadcast(base), "file_no").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
+    base = files.select("file_no", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(base), "file_no").withColumn("start", F.col("before") + F.col("start")).drop("file_no", "before")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` from the files in ``path``: ``start`` counts the ids of all documents before. Files' footers tell how many ids each has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_footer(memoryview(c.as_buffer())) for c in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[5] for f in found], pa.int64())], ["file_no", "ids"])
+
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(run, "file_no long, ids long")
+    return global_starts(decode_files(spark, path), files)
 
 
 def _documents(content: memoryview, portion: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -178,4 +193,5 @@ def _documents(content: memoryview, portion: int = 1 << 20) -> Iterator[pa.Recor
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    rows = land(decode_files(spark, path).select("file_no", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")), "decoded")
+    return global_starts(rows, rows.groupBy("file_no").agg(F.sum("n_tokens").alias("ids")))

@@ -4,19 +4,55 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from array import array
 
-import regex
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker keeps, some 200 bytes each; beyond it starts anew.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 400_000
 
 #: Texts of these characters alone are cut into words here; the cuts are tested to agree with the
 #: library. A text with any other character, or with a special token's string, goes to it whole.
-PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
 #: White space around a space, three long or at the end: there the library's cut may lie elsewhere.
-LONG_SPACE = regex.compile(r"[\t\n\r ] (?:[\t\n\r ]|\Z)")
+LONG_SPACE = re.compile(r"[\t\n\r ] (?:[\t\n\r ]|\Z)")
+#: Words of several lines, with single line feeds between them, which are pieces of their own.
+LINES = re.compile(r"\S+(?:\n\S+)+")
+#: Marks that begin a piece of their own after a letter.
+MARKS = frozenset(".,;:!?")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself if it prints, else one beyond the first 256."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Ids by word. A key is a word, for byte-level vocabularies one that follows a space, or NUL and one that does not."""
+
+    letters = byte_letters()
+
+    def __init__(self, tokenizer: Tokenizer, lower: bool):
+        self.tokenizer, self.model, self.space = tokenizer, tokenizer.model, "" if lower else " "
+
+    def __missing__(self, key: str) -> bytes:
+        bare = key[:1] == "\0"
+        word, space = (key[1:], "") if bare else (key, self.space)
+        if word.isalpha():
+            text = (space + word).encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        elif word[-1:] in MARKS and word[:-1].isalpha():
+            ids = self[key[:-1]] + self["\0" + word[-1]]
+        elif LINES.fullmatch(word):
+            parts = word.split("\n")
+            ids = self["\0\n"].join([self["\0" + parts[0] if bare else parts[0]], *(self["\0" + part] for part in parts[1:])])
+        else:
+            ids = array("I", self.tokenizer.encode(space + word, add_special_tokens=False).ids).tobytes()
+        self[key] = ids
+        return ids
 
 
 class Encoder:
@@ -30,37 +66,26 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        self.words = _Words(self.tokenizer, self.lower)
 
-    def _words(self, text: str) -> list[str] | None:
-        """Keys of the cache: words, or for byte-level the words after a space, with NUL before a first word that has none."""
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
-            return None
+    def encode_one(self, text: str | None) -> bytes:
+        text = text or ""
+        if not PLAIN.fullmatch(text) or any(s in text for s in self.specials) or (not self.lower and LONG_SPACE.search(text)):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self.lower:
-            return text.lower().split()
-        if LONG_SPACE.search(text):
-            return None
-        words = text.split(" ")
-        words[0] = "\0" + words[0]
-        return words
-
-    def _text(self, word: str) -> str:
-        return word if self.lower else word[1:] if word[:1] == "\0" else " " + word
+            words = text.lower().split()
+        else:
+            words = text.split(" ")
+            words[0] = "\0" + words[0]
+        return b"".join(map(self.words.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        split = [self._words(t or "") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set().union(*(w for w in split if w is not None)).difference(self.cache))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast([self._text(w) for w in some], add_special_tokens=False)):
-                self.cache[word] = array("I", e.ids).tobytes()
-        look = self.cache.__getitem__
-        return [b"".join(map(look, words)) if words is not None else array("I", self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes() for words, text in zip(split, texts)]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        return list(map(self.encode_one, texts))
 
 
 @functools.cache
@@ -69,7 +94,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def in_portions(texts: list[str | None], chars: int = 4_000_000):
+def in_portions(texts: list[str | None], chars: int = 2_000_000):
     """Slices of ``texts`` of about so many characters, so that memory does not follow the batch."""
     start = total = 0
     for i, t in enumerate(texts):
