@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, packing, quality, sharding, simhash, token_files, url_filter, warc
+from . import exact_dedup, language_model, packing, quality, sentencepiece_stream, sharding, simhash, token_files, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_files": token_files.op4_token_files,
     "op5_sharding": sharding.op5_sharding,
     "op6_warc": warc.op6_warc,
+    "op7_sentencepiece": sentencepiece_stream.op7_sentencepiece,
     "op8_language_model": language_model.op8_language_model,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
