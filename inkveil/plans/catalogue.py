@@ -230,7 +230,7 @@ def glyphs_in_box(spark):
     return review.text_in_boxes(boxed(spark.sql(D.BOXES)), boxed(spark.sql(D.GLYPHS)).withColumnRenamed("bbox", "box"))
 
 
-@query("lineitem", sql=f"SELECT doc_id, page, round(min(x), 5) AS x, round(min(y), 5) AS y, round(max(x + width) - min(x), 5) AS width, round(max(y + height) - min(y), 5) AS height FROM ({D.ITEMS}) i GROUP BY ALL")
+@query("lineitem", sql=f"SELECT doc_id, page, round(min(x), 4) AS x, round(min(y), 4) AS y, round(max(x + width) - min(x), 4) AS width, round(max(y + height) - min(y), 4) AS height FROM ({D.ITEMS}) i GROUP BY ALL")
 def union_box(spark):
     return flat(boxed(spark.sql(D.ITEMS)).groupBy("doc_id", "page").agg(geometry.union_box(F.collect_list("bbox")).alias("bbox")))
 
@@ -338,12 +338,12 @@ def summary_rollup(spark):
 _EDGES = "min(x) OVER w AS l, max(x + width) OVER w AS r, min(y) OVER w AS t, max(y + height) OVER w AS b"
 
 
-@query("lineitem", sql=f"SELECT id, round(x + least(greatest(0.4, -l), 1 - r), 5) AS x, round(y + least(greatest(-0.3, -t), 1 - b), 5) AS y, round(width, 5) AS width, round(height, 5) AS height FROM (SELECT *, {_EDGES} FROM ({D.ITEMS}) i WINDOW w AS (PARTITION BY doc_id, page))")
+@query("lineitem", sql=f"SELECT id, round(x + least(greatest(0.4, -l), 1 - r), 4) AS x, round(y + least(greatest(-0.3, -t), 1 - b), 4) AS y, round(width, 4) AS width, round(height, 4) AS height FROM (SELECT *, {_EDGES} FROM ({D.ITEMS}) i WINDOW w AS (PARTITION BY doc_id, page))")
 def group_shift(spark):
     return flat(review.shift_group(boxed(spark.sql(D.ITEMS)), 0.4, -0.3).select("id", "bbox"))
 
 
-@query("lineitem", sql=f"SELECT id, round(0.1 + (x - l) * (0.5 / (r - l)), 5) AS x, round(0.2 + (y - t) * (0.25 / (b - t)), 5) AS y, round(width * (0.5 / (r - l)), 5) AS width, round(height * (0.25 / (b - t)), 5) AS height FROM (SELECT *, {_EDGES} FROM ({D.ITEMS}) i WINDOW w AS (PARTITION BY doc_id, page))")
+@query("lineitem", sql=f"SELECT id, round(0.1 + (x - l) * (0.5 / (r - l)), 4) AS x, round(0.2 + (y - t) * (0.25 / (b - t)), 4) AS y, round(width * (0.5 / (r - l)), 4) AS width, round(height * (0.25 / (b - t)), 4) AS height FROM (SELECT *, {_EDGES} FROM ({D.ITEMS}) i WINDOW w AS (PARTITION BY doc_id, page))")
 def group_scale(spark):
     return flat(review.scale_group(boxed(spark.sql(D.ITEMS)), 0.1, 0.2, 0.5, 0.25).select("id", "bbox"))
 
@@ -352,7 +352,7 @@ _TEMPLATE = "SELECT id AS n, x, y, width, height FROM (" + D.ITEMS + ") i WHERE
 _ANCHORS = "SELECT o_orderkey AS doc_id, 0 AS page, CAST(o_orderkey % 128 AS DOUBLE) / 128 AS x, CAST(o_custkey % 128 AS DOUBLE) / 128 AS y FROM orders"
 
 
-@query("orders", "lineitem", sql=f"WITH t AS ({_TEMPLATE}), e AS (SELECT min(x) AS l, min(y) AS t, max(x + width) - min(x) AS w, max(y + height) - min(y) AS h FROM t) SELECT doc_id, page, n, round(greatest(least(a.x, 1 - e.w), 0) + t.x - e.l, 5) AS x, round(greatest(least(a.y, 1 - e.h), 0) + t.y - e.t, 5) AS y, round(width, 5) AS width, round(height, 5) AS height FROM ({_ANCHORS}) a, t, e")
+@query("orders", "lineitem", sql=f"WITH t AS ({_TEMPLATE}), e AS (SELECT min(x) AS l, min(y) AS t, max(x + width) - min(x) AS w, max(y + height) - min(y) AS h FROM t) SELECT doc_id, page, n, round(greatest(least(a.x, 1 - e.w), 0) + t.x - e.l, 4) AS x, round(greatest(least(a.y, 1 - e.h), 0) + t.y - e.t, 4) AS y, round(width, 4) AS width, round(height, 4) AS height FROM ({_ANCHORS}) a, t, e")
 def template_stamp(spark):
     return flat(review.stamp(boxed(spark.sql(_TEMPLATE)), spark.sql(_ANCHORS)))
 

@@ -91,4 +91,4 @@ def boxed(df: DataFrame) -> DataFrame:
 
 def flat(df: DataFrame) -> DataFrame:
     """The struct ``bbox`` as x, y, width, height, rounded for comparison."""
-    return df.select(*(c for c in df.columns if c != "bbox"), *(F.round(F.col(f"bbox.{c}"), 5).alias(c) for c in ("x", "y", "width", "height")))
+    return df.select(*(c for c in df.columns if c != "bbox"), *(F.round(F.col(f"bbox.{c}"), 4).alias(c) for c in ("x", "y", "width", "height")))
