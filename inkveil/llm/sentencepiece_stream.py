@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .tokens import in_portions
 
 SPACE = "▁"
-#: Words that a worker remembers with their ids; beyond it starts anew.
-CACHE_WORDS = 300_000
+#: Words, and pairs of pieces, that a worker remembers, 100 to 200 bytes each; beyond it starts anew.
+CACHE = 700_000
 #: Longer runs without a cut are searched as a stream and not remembered.
 LONG_WORD = 64
 UNREACHED = float("-inf")
@@ -55,7 +55,9 @@ class Model:
         # A text may be cut before a space mark, unless a piece has one after another character.
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not any(SPACE in name.lstrip(SPACE) for name in self.ids) else r"(?s).+")
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        # From this id on there are plain pieces only.
+        self.first_plain = max((i for i in range(n) if not plain[i]), default=-1) + 1
         if self.merges:
             # Single characters come before any merge.
             self.rank = {name: -s if len(name) > 1 else -1.0 - i for i, (name, s) in enumerate(self.scores.items())}
@@ -64,7 +66,7 @@ class Model:
                 found = self.merged(name)
                 if len(name) > 1 and len(found) == 2:
                     self.halves[name] = (found[0], found[1])
-            self.whole = {name for name in self.ids if len(name) == 1 or name in self.halves}
+            self.whole = {name: i for name, i in self.ids.items() if len(name) == 1 or name in self.halves}
 
     def merged(self, piece: str) -> list[str]:
         """The parts of a piece before its last merge: neighbours merge by rank, then from the left, but not into the piece itself."""
@@ -86,7 +88,7 @@ class Model:
         """
         if a not in self.rank or b not in self.rank:
             return True
-        key = (a, b)
+        key = self.ids[a] * len(self.names) + self.ids[b]
         known = self.pairs.get(key)
         if known is not None:
             return known
@@ -105,7 +107,7 @@ class Model:
                 limit, a = ra, halves[a][1]
             else:
                 limit, b = rb + 0.5, halves[b][0]
-        if len(self.pairs) > CACHE_WORDS:
+        if len(self.pairs) > CACHE:
             self.pairs.clear()
         self.pairs[key] = answer
         return answer
@@ -133,6 +135,33 @@ class Model:
         back.append(n)
         score.append(best)
 
+    def pieces(self, word: str) -> list[str]:
+        """The same search over a short word: all back-pointers fit, and pairs are looked up by id."""
+        back, score = [0], [0.0]
+        if not self.merges:
+            for at in range(1, len(word) + 1):
+                self.step(word, at, back, score, "")
+            return self.path(word, back, len(word))
+        whole, known, n, longest = self.whole.get, self.pairs.get, len(self.names), self.longest
+        ends = [-1]
+        for at in range(1, len(word) + 1):
+            # Short pieces are the likely ones; only one length can fit.
+            for s in range(at - 1, at - longest - 1 if at > longest else -1, -1):
+                k = whole(word[s:at])
+                if k is None:
+                    continue
+                if s and (t := ends[s]) >= 0:
+                    ok = known(t * n + k)
+                    if not (self.agree(self.names[t], self.names[k]) if ok is None else ok):
+                        continue
+                ends.append(k)
+                back.append(at - s)
+                break
+            else:
+                ends.append(-1)
+                back.append(1)
+        return self.path(word, back, len(word))
+
     def search(self, chars: Iterable[str]) -> Iterator[list[str]]:
         """Pieces of a stream of characters, in lists that are final when they are given out."""
         window, back, score, last = "", [0], [0.0], ""
@@ -185,20 +214,20 @@ class Model:
                 continue
             ids = self.words.get(word)
             if ids is None:
-                back, score = [0], [0.0]
-                for at in range(1, len(word) + 1):
-                    self.step(word, at, back, score, "")
-                ids = self.words[word] = self.ids_of(self.path(word, back, len(word)))
+                ids = self.words[word] = self.ids_of(self.pieces(word))
             out.append(ids)
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > CACHE:
             self.words.clear()
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: bytes are put together, space marks become spaces, and the one in front goes."""
+        numbers = np.frombuffer(ids, "<u4")
+        if len(numbers) and numbers.min() >= self.first_plain:
+            return "".join(map(self.names.__getitem__, numbers.tolist())).removeprefix(SPACE).replace(SPACE, " ")
         out: list[str] = []
         held = bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
+        for i in numbers.tolist():
             if i in self.bytes:
                 held.append(self.bytes[i])
                 continue
