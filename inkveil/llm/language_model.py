@@ -5,10 +5,9 @@ of u's frequency: the bigram estimate, the unigram estimate c(v)/N, and 1/(V+1)
 not. The weights are learned by expectation-maximisation on held-out counts: bigrams are counted on
 the fitting documents, and weighted by how often they occur in a held-out tenth.
 
-Words and bigrams below a share of all training tokens are pruned from the bigram estimate, whose mass
-for them goes to the unigram estimate. As shares of a whole add up to at most one, at most
-``1 / SHARE`` of either are left at any size of corpus, which bounds what is broadcast. Counts of rare
-words are exact and never leave Spark: they are joined to the texts that hold them.
+All words and bigrams are counted and used. The most frequent are broadcast, a fixed number at most. All others
+stay in stored tables, which are joined to the texts that hold them. A caller may prune words and bigrams
+below a share of its own from the bigram estimate, whose mass for them goes to the unigram estimate.
 """
 
 from __future__ import annotations
@@ -22,14 +21,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import land
 
-#: Least share of the training tokens of a word in the bigram estimate, and of a bigram.
-WORD_SHARE = 5e-7
-PAIR_SHARE = 2e-7
+#: Least share of the training tokens of a word in the bigram estimate, and of a bigram; 0 prunes nothing.
+WORD_SHARE = 0.0
+PAIR_SHARE = 0.0
+#: Words and bigrams that are broadcast, at most. Bounds memory only: others are joined.
+CACHED_WORDS = 1_000_000
+CACHED_PAIRS = 3_000_000
 FOLDS = 10
 #: Documents of fold 0 are not learned from; those of fold 1 weight the mixture, the others are fitted on.
 TEST, HELD = 0, 1
@@ -40,6 +42,8 @@ CELLS = 4
 ROUNDS = 60
 #: Stands for the end of a text; no word has a space.
 END = b" end"
+#: Stands for the context of a text's first token.
+BEGIN = np.uint64(xxhash.xxh64_intdigest(b" begin"))
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -164,10 +168,13 @@ class Bigrams:
     rest: np.ndarray
 
     @classmethod
-    def of(cls, pairs: np.ndarray, n: np.ndarray, words: np.ndarray, texts: int) -> Bigrams:
+    def of(cls, pairs: np.ndarray, n: np.ndarray, words: np.ndarray, texts: int, whole: bool = False) -> Bigrams:
+        """``whole``: bigrams beyond ``pairs`` are stored, so a context that was seen has no mass left."""
         context = np.concatenate((words, [texts, 0])).astype(float)
         kept = np.bincount(pairs // len(context), n, len(context))
         kept[-1] = 0
+        if whole:
+            kept = context
         return cls(pairs, n, context, np.where(context > 0, 1 - kept / np.maximum(context, 1), 1.0))
 
     def estimate(self, u: np.ndarray, v: np.ndarray, unigram: np.ndarray) -> np.ndarray:
@@ -254,29 +261,150 @@ def held_out_cells(pairs: DataFrame, vocabulary: Vocabulary, bigrams: Bigrams, r
     return np.array([r for r in rows if r[4] > 0]).reshape(-1, 5)
 
 
+@dataclass
+class Counts:
+    """Stored counts of all words and, unless pruned, of all bigrams (:func:`rated`), with the least count of a broadcast bigram."""
+
+    words: DataFrame
+    pairs: DataFrame | None = None
+    cached: int = 0
+
+
+def whole_pairs(p: Portion, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Of each token context and word as places, a key of both, and their hashes.
+
+    The key is made of the places if both are broadcast; else it is a hash, negative as a long, and the
+    hashes are given, which otherwise are 0.
+    """
+    u, v = vocabulary.pairs(p)
+    word = p.words[p.tokens]
+    context = np.concatenate(([BEGIN], word[:-1]))
+    context[p.first] = BEGIN
+    rare = (u == vocabulary.rare) | (v == vocabulary.rare)
+    mixed = context * np.uint64(0x9E3779B97F4A7C15) + word
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) | np.uint64(1 << 63)
+    key = np.where(rare, mixed.view(np.int64), u * (vocabulary.rare + 1) + v)
+    return u, v, key, np.where(rare, context.view(np.int64), 0), np.where(rare, word.view(np.int64), 0)
+
+
+def whole_pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``key, context, word`` (as in :func:`whole_pairs`), ``n_fit``, ``n_held``, of every bigram."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in portions(batches):
+            _, _, key, context, word = whole_pairs(p, shared.value)
+            fold = p.folds[p.doc]
+            learned = fold != TEST
+            found, first, at = np.unique(key[learned], return_index=True, return_inverse=True)
+            held = np.bincount(at.ravel(), fold[learned] == HELD, len(found)).astype(np.int64)
+            n = np.bincount(at.ravel(), minlength=len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found, context[learned][first], word[learned][first], n - held, held)], ["key", "context", "word", "n_fit", "n_held"])
+
+    counted = texts.mapInArrow(run, "key long, context long, word long, n_fit long, n_held long")
+    return counted.groupBy("key").agg(F.max("context").alias("context"), F.max("word").alias("word"), F.sum("n_fit").alias("n_fit"), F.sum("n_held").alias("n_held"))
+
+
+_SIDES = ("cu", "cu_fit", "cv", "cv_fit")
+
+
+def _looked_up(rows: DataFrame, words: DataFrame, hashed: str, names: tuple[str, ...], apart: str) -> DataFrame:
+    """Fill counts that are -1 from the stored words (0: none). ``apart`` spreads the rows that need none."""
+    counts = {"n": F.col("_fit") + F.col("_held"), "fit": F.col("_fit")}
+    told = words.select(F.col("word").alias("_word"), F.col("n_fit").alias("_fit"), F.col("n_held").alias("_held"))
+    asks = F.col(names[0]) < 0
+    joined = rows.withColumn("_ask", asks).withColumn("_key", F.when(asks, F.col(hashed)).otherwise(F.col(apart))).join(told, F.col("_ask") & (F.col("_key") == F.col("_word")), "left")
+    filled = {x: F.when(F.col("_ask"), F.coalesce(counts["fit" if x.endswith("_fit") else "n"], F.lit(0))).otherwise(F.col(x)) for x in names}
+    return joined.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in rows.columns))
+
+
+def rated(pairs: DataFrame, vocabulary: Vocabulary, words: DataFrame) -> DataFrame:
+    """Add the counts of each bigram's context (``cu``, ``cu_fit``) and word (``cv``, ``cv_fit``). Only those of words that are not broadcast are joined."""
+    shared = pairs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        n = np.concatenate((vocabulary.n, [vocabulary.texts, -1]))
+        fit = np.concatenate((vocabulary.n_fit, [vocabulary.texts_fit, -1]))
+        for batch in batches:
+            key, context, word = (batch.column(i).to_numpy() for i in range(3))
+            hashed = key < 0
+            u, v = np.divmod(np.where(hashed, 0, key), vocabulary.rare + 1)
+            of = lambda x: vocabulary.index(np.ascontiguousarray(x).view(np.uint64))
+            u = np.where(hashed, np.where(context == BEGIN.view(np.int64), vocabulary.begin, of(context)), u)
+            v = np.where(hashed, of(word), v)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in (n[u], fit[u], n[v], fit[v]))], [*batch.schema.names, *_SIDES])
+
+    known = pairs.mapInArrow(run, "key long, context long, word long, n_fit long, n_held long, cu long, cu_fit long, cv long, cv_fit long")
+    rare = _looked_up(known.where("key < 0"), words, "word", ("cv", "cv_fit"), "key")
+    rare = land(_looked_up(rare, words, "context", ("cu", "cu_fit"), "key"), "rare_pairs")
+    return known.where("key >= 0").unionByName(rare)
+
+
+def bucket(count: Column) -> Column:
+    """As :func:`buckets`, with bucket 0 for a context that was never seen."""
+    return F.when(count > 0, F.length(F.bin(count))).otherwise(0)
+
+
+def whole_cells(pairs: DataFrame, n: int, v: int) -> np.ndarray:
+    """Held-out bigrams of :func:`rated`, added up by bucket and by their estimates: a grid of bounded size."""
+    one = F.col("cv_fit") / n
+    two = F.when(F.col("cu_fit") > 0, F.col("n_fit") / F.col("cu_fit")).otherwise(one)
+    fine = lambda x: F.when(x > 0, F.round(CELLS * F.log2(x * (v + 1))).cast("int"))
+    grid = pairs.where("n_held > 0").groupBy(bucket(F.col("cu_fit")).alias("b"), fine(two).alias("two"), fine(one).alias("one")).agg(F.sum("n_held").alias("n"))
+    ratio = lambda x: 0.0 if x is None else 2.0 ** (x / CELLS)
+    return np.array([(r.b, ratio(r.two), ratio(r.one), 1.0, r.n) for r in grid.collect()], float).reshape(-1, 5)
+
+
+def _least(counts: DataFrame, n: Column, most: int) -> int:
+    """The least count that at most ``most`` rows reach, to an eighth of a power of two: the driver gets a few hundred cells."""
+    cells = counts.where(n > 0).groupBy(F.floor(8 * F.log2(n)).alias("cell")).agg(F.min(n).alias("least"), F.max(n).alias("top"), F.count("*").alias("rows")).orderBy(F.desc("cell")).collect()
+    least, rows = (cells[0].top if cells else 0) + 1, 0
+    for r in cells:
+        rows += r.rows
+        if rows > most:
+            break
+        least = r.least
+    return least
+
+
 def _columns(frame: DataFrame) -> list[np.ndarray]:
     """Collect a small table of longs by column."""
     return [c.to_numpy() for c in frame.toArrow().combine_chunks().columns]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> tuple[Model, DataFrame]:
-    """Learn from all documents but those of fold 0. Returns the model and the stored ``word_counts``.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, cached_words: int = CACHED_WORDS, cached_pairs: int = CACHED_PAIRS) -> tuple[Model, Counts]:
+    """Learn from all documents but those of fold 0. Returns the model and the stored counts.
 
-    The driver gets frequent words, frequent bigrams (at most one over the share of either) and a grid
+    Nothing is pruned unless ``word_share`` or ``pair_share`` is over 0; what is then left is broadcast. The driver gets frequent words and bigrams (at most ``cached_words`` and ``cached_pairs``, or one over the share of either) and a grid
     of held-out counts, nothing that grows with the corpus beyond that.
     """
+    whole = not word_share and not pair_share
     texts = _texts(docs, id_col, text_col)
     words = land(word_counts(texts), "words")
     n_word = F.col("n_fit") + F.col("n_held")
+    least_word = _least(words, n_word, cached_words) if whole else 0
     end = int(np.uint64(xxhash.xxh64_intdigest(END)).view(np.int64))
-    told = words.agg(F.sum(n_word), F.sum("n_fit"), F.count("*"), F.count_if(F.col("n_fit") > 0)).first()
-    n, n_fit, v, v_fit = (x or 0 for x in told)
-    frequent = words.where((n_word >= word_share * n) | (F.col("word") == end)).select("word", n_word.alias("n"), "n_fit")
+    told = words.agg(F.sum(n_word), F.sum("n_fit"), F.count("*"), F.count_if(F.col("n_fit") > 0), F.max(n_word)).first()
+    n, n_fit, v, v_fit = (x or 0 for x in told[:4])
+    frequent = words.where((n_word >= (least_word if whole else word_share * n)) | (F.col("word") == end)).select("word", n_word.alias("n"), "n_fit")
     word, often, often_fit = _columns(frequent)
     order = np.argsort(word.view(np.uint64))
     ends = word == end
     vocabulary = Vocabulary(word.view(np.uint64)[order], often[order], often_fit[order], int(often[ends].sum()), int(often_fit[ends].sum()))
 
+    if whole:
+        pairs = land(whole_pair_counts(texts, vocabulary), "pairs")
+        least = _least(pairs.where("key >= 0"), n_word, cached_pairs)
+        pair, kept = _columns(pairs.where((F.col("key") >= 0) & (n_word >= least)).select("key", n_word.alias("n")))
+        order = np.argsort(pair)
+        bigrams = Bigrams.of(pair[order], kept[order], vocabulary.n, vocabulary.texts, whole=True)
+        every = rated(pairs, vocabulary, words)
+        most = max(told[4] or 1, vocabulary.texts, 1)
+        weights = learn_weights(whole_cells(every, max(1, n_fit), v_fit), int(most).bit_length() + 1)
+        return Model(vocabulary, bigrams, weights, n, v), Counts(words, every, least)
+
     pairs = land(pair_counts(texts, vocabulary), "pairs")
     known = (F.col("pair") % (vocabulary.rare + 1) != vocabulary.rare) & (F.floor(F.col("pair") / (vocabulary.rare + 1)) != vocabulary.rare)
     pair, kept, kept_fit = _columns(pairs.where(known & (n_word >= pair_share * n)).select("pair", n_word.alias("n"), "n_fit"))
@@ -289,18 +417,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_sh
     cells = held_out_cells(pairs, vocabulary, fitted, rare, max(1, n_fit), v_fit)
     bigrams = Bigrams.of(pair, kept, vocabulary.n, vocabulary.texts)
     weights = learn_weights(cells, int(max(buckets(bigrams.context).max(), buckets(fitted.context).max())) + 1)
-    return Model(vocabulary, bigrams, weights, n, v), words
+    return Model(vocabulary, bigrams, weights, n, v), Counts(words)
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: Counts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     A task adds up what the broadcast model tells of its texts, and emits a row for each text and each
-    rare word in it; these rows join the stored counts, and one aggregation by text adds all up.
+    bigram in it that is not broadcast (rare word, if pruned); these rows join the stored counts, and one aggregation by text adds all up.
 
     Defined cases: a null or empty text is one end; a null id is in fold 0; rows that repeat an id are
     scored each and learned from each; an empty table gives no rows; other columns are ignored.
     """
+    if counts.pairs is not None:
+        return _whole_score(docs, model, counts, id_col, text_col)
+    words = counts.words
     shared = docs.sparkSession.sparkContext.broadcast(model)
     norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
 
@@ -361,6 +492,70 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
     )
 
 
+def _whole_score(docs: DataFrame, model: Model, counts: Counts, id_col: str, text_col: str) -> DataFrame:
+    """Texts' rows hold the score as if bigrams that are not broadcast had no count; the stored ones add what they have beyond that."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        vocabulary, rows = model.vocabulary, TaskContext.get().partitionId() << 36
+        weights, known_pairs = model.context_weights, model.bigrams.pairs
+        cu = np.concatenate((vocabulary.n, [vocabulary.texts, -1]))
+        for p in portions(batches):
+            u, v, key, context, word = whole_pairs(p, vocabulary)
+            d = p.row.num_rows
+            often, local = v != vocabulary.rare, key >= 0
+            add = lambda some, x: np.bincount(p.doc[some], x, d)
+            base, known = add(often, np.log10(vocabulary.n[v[often]] + 0.1)), np.bincount(p.doc[often], minlength=d)
+            one, w = vocabulary.n[v[local]] / max(1, model.n), weights[u[local]]
+            scored = add(local, np.log10(w[:, 0] * model.bigrams.estimate(u[local], v[local], one) + w[:, 1] * one + w[:, 2] / (model.v + 1)))
+            stored = ~local
+            if len(known_pairs):
+                stored |= known_pairs[np.minimum(np.searchsorted(known_pairs, key), len(known_pairs) - 1)] != key
+            else:
+                stored[:] = True
+            stored = np.flatnonzero(stored)
+            stored = stored[np.lexsort((key[stored], p.doc[stored]))]
+            new = np.ones(len(stored), bool)
+            new[1:] = (key[stored[1:]] != key[stored[:-1]]) | (p.doc[stored[1:]] != p.doc[stored[:-1]])
+            starts = np.flatnonzero(new)
+            times, at = np.diff(np.append(starts, len(stored))), stored[starts]
+            row, none = rows + np.arange(d), np.zeros(len(at), np.int64)
+            zero = np.zeros(d, np.int64)
+            both = lambda own, of_pair: pa.array(np.concatenate((own, of_pair)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    both(row, row[p.doc[at]]), pa.concat_arrays([p.row.column(0), pa.nulls(len(at), pa.int64())]), both(p.folds, none - 1), both(np.bincount(p.doc, minlength=d), none), both(known, none), both(base, none.astype(float)), both(scored, none.astype(float)),
+                    both(zero, key[at]), both(zero, context[at]), both(zero, word[at]), both(zero, cu[u[at]]), both(zero, cu[v[at]]), both(zero, times),
+                ],
+                ["row", "doc_id", "fold", "n_tokens", "n_known", "base", "score", "key", "context", "word", "cu", "cv", "times"],
+            )
+            rows += d
+
+    parts = _texts(docs, id_col, text_col).mapInArrow(run, "row long, doc_id long, fold long, n_tokens long, n_known long, base double, score double, key long, context long, word long, cu long, cv long, times long")
+    parts = land(parts, "parts")
+    n, unknown = max(1, model.n), 1 / (model.v + 1)
+    at = F.least(bucket(F.col("cu")), F.lit(len(model.weights) - 1))
+    w0, w1, w2 = (F.get(F.array(*map(F.lit, map(float, x))), at) for x in model.weights.T)
+    seen = F.col("cu") > 0
+    without = F.when(seen, w1).otherwise(w0 + w1) * F.col("cv") / n + w2 * unknown
+    beyond = F.log10(1 + w0 * (F.col("n_fit") + F.col("n_held")) / F.col("cu") / without)
+    more = counts.pairs.where((F.col("key") < 0) | (F.col("n_fit") + F.col("n_held") < counts.cached)).select("key", beyond.alias("beyond"))
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    names = ["row", "doc_id", "fold", "n_tokens", "n_known", "base", "score"]
+    of_pairs = parts.where("times > 0").select("row", "key", "times").join(more, "key").select("row", none.alias("doc_id"), F.lit(-1).cast("long").alias("fold"), zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("base"), (F.col("times") * F.col("beyond")).alias("score"))
+    rare = parts.where("times > 0 and key < 0").select("row", "key", "context", "word", "cu", "cv", "times", (F.col("cv") < 0).alias("_rare"))
+    rare = _looked_up(_looked_up(rare, counts.words, "word", ("cv",), "key"), counts.words, "context", ("cu",), "key")
+    c, own = F.col("cv"), F.col("_rare")
+    of_rare = rare.select(
+        "row", none.alias("doc_id"), F.lit(-1).cast("long").alias("fold"), zero.alias("n_tokens"), F.when(own & (c > 0), F.col("times")).otherwise(0).alias("n_known"),
+        F.when(own, F.col("times") * F.log10(c + 0.1)).otherwise(0.0).alias("base"), (F.col("times") * F.log10(without)).alias("score"),
+    )
+    norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
+    summed = parts.where("times = 0").select(*names).unionByName(of_pairs).unionByName(of_rare).groupBy("row").agg(*(f("%s" % x).alias(x) for x, f in zip(names[1:], [F.max, F.max, F.sum, F.sum, F.sum, F.sum])))
+    return summed.select("doc_id", (F.col("fold") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+
+
 def op8_language_model(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, *fit(docs))

@@ -104,3 +104,19 @@ def test_edge_cases(spark):
     model, words = lm.fit(empty)
     assert lm.score(empty, model, words).count() == 0
     assert all(np.isfinite(r.score) for r in lm.score(frame, model, words).collect())
+
+
+@pytest.mark.parametrize("cached", [(300, 100), (0, 0)])
+def test_nothing_is_pruned_whatever_is_broadcast(spark, sf_dir, cached):
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    whole, _ = lm.fit(frame)
+    model, counts = lm.fit(frame, cached_words=cached[0], cached_pairs=cached[1])
+    assert len(model.vocabulary.words) < len(whole.vocabulary.words)
+    assert np.allclose(model.weights, whole.weights)
+    weights_of = lambda c: model.weights[0 if c is None else 1 + int(np.log2(max(c, 1)))]
+    expected = {r[0]: r for r in brute(docs, weights_of, 0, 0)}
+    for r in map(tuple, lm.score(frame, model, counts).collect()):
+        assert r[:5] == expected[r[0]][:5]
+        assert np.allclose(r[5:], expected[r[0]][5:], rtol=1e-9)
