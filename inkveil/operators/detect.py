@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.text import normalized
 from inkveil.operators import dictionary
-from inkveil.operators.spans import all_candidates, once, resolve
+from inkveil.operators.spans import all_candidates, once, resolve, with_linear
 from inkveil.plans.rules import RULES, Rule
 
 PAGE = ["doc_id", "page_index"]
@@ -24,10 +24,11 @@ def page_finds(pages: DataFrame, rules: tuple[Rule, ...] = RULES, dongs: DataFra
     """
     rules = tuple(r for r in rules if dongs is not None or not r.lookup)
     found = once(pages, "_norm", normalized(F.coalesce(F.col(text_col), F.lit(""))))
+    found = with_linear(found, rules)
     found = once(found, "_all", all_candidates(F.col("_norm"), rules))
     if dongs is not None and any(r.lookup for r in rules):
         found = _confirmed(found, rules, dongs)
-    return once(found, "finds", resolve(F.col("_all"))).drop("_norm", "_all")
+    return once(found, "finds", resolve(F.col("_all"))).drop("_norm", "_linear", "_all")
 
 
 def _confirmed(found: DataFrame, rules: tuple[Rule, ...], dongs: DataFrame) -> DataFrame:

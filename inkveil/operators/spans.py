@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.plans import rules as R
 
-#: A text with so long a run of syllables that end a region makes backtracking patterns crawl; address rules pass over it.
+#: A text with so long a run of syllables that end a region makes backtracking patterns crawl; address rules search it in linear time.
 SYLLABLE_RUN = r"(?:[시군구도]\s*){12}"
+#: Unicode white space, and pairs of marks of which a text that holds one takes the next.
+_WHITE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_MARKS = [(chr(a), chr(a + 1)) for a in (*range(1, 9, 2), *range(0x100000, 0x10FFFC, 2))]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,6 +59,41 @@ def spans(text: Column, pattern: str) -> Column:
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
+def re2(pattern: str) -> str:
+    """A pattern of the catalogue for RE2, with Unicode classes as in ``Rule.java``."""
+    out, inside = "", False
+    for t in re.findall(r"\\.|.", pattern, re.DOTALL):
+        if t in (r"\s", r"\d"):
+            chars = _WHITE if t == r"\s" else r"\p{Nd}"
+            out += chars if inside else f"[{chars}]"
+        else:
+            inside = (inside or t == "[") and t != "]"
+            out += t
+    return out
+
+
+def linear_spans(text: Column, patterns: tuple[str, ...]) -> Column:
+    """:func:`spans` of each pattern (without look-around), found by RE2: leftmost-first like Java's matcher, but without backtracking. Null for null."""
+    compiled = [f"({re2(p)})" for p in patterns]
+
+    def marked(text: str, pattern: str) -> list[dict]:
+        a, b = next(m for m in _MARKS if m[0] not in text and m[1] not in text)
+        found, at = [], 0
+        head, *rest = pc.replace_substring_regex(pa.array([text]), pattern, f"{a}\\1{b}")[0].as_py().split(a)
+        at = len(head)
+        for part in rest:
+            match, _, gap = part.partition(b)
+            found.append({"start": at, "end": at + len(match), "match": match})
+            at += len(match) + len(gap)
+        return found
+
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("match", pa.string())])))
+        return pa.array([None if t is None else [marked(t, p) for p in compiled] for t in texts.to_pylist()], kind)
+
+    return F.arrow_udf(run, "array<array<struct<start:int,end:int,match:string>>>")(text)
+
+
 def before(text: Column, start: Column, n: int = R.ANCHOR_WINDOW) -> Column:
     """The ``n`` characters before a place, lower-cased, without white space."""
     first = F.greatest(start - n, F.lit(0))
@@ -82,8 +123,8 @@ def bank_start(text: Column, start: Column) -> Column:
 CANDIDATE = "struct<rule:int,category:string,pattern_type:string,status:string,confidence:double,start:int,end:int,claim_start:int,claim_end:int,match:string>"
 
 
-def candidates(text: Column, index: int, rule: R.Rule) -> Column:
-    """Matches of one rule in normalised text that its checks let stand, as ``array<CANDIDATE>``."""
+def candidates(text: Column, index: int, rule: R.Rule, linear: Column | None = None) -> Column:
+    """Matches of one rule in normalised text that its checks let stand, as ``array<CANDIDATE>``. ``linear``: its matches where backtracking would crawl, else null."""
     none = F.array().cast(f"array<{CANDIDATE}>")
 
     def judged(s: Column) -> Column:
@@ -99,16 +140,21 @@ def candidates(text: Column, index: int, rule: R.Rule) -> Column:
             ).cast(CANDIDATE),
         )
 
-    kept = F.filter(F.transform(spans(text, rule.java), judged), lambda c: c.isNotNull())
-    able = text.rlike(rule.pre)
-    if rule.category == "Address":
-        able = able & ~text.rlike(f"(?U){SYLLABLE_RUN}")
-    return F.when(able, kept).otherwise(none)
+    found = spans(text, rule.java) if linear is None else F.coalesce(linear, spans(text, rule.java))
+    kept = F.filter(F.transform(found, judged), lambda c: c.isNotNull())
+    return F.when(text.rlike(rule.pre), kept).otherwise(none)
+
+
+def with_linear(df: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
+    """Add ``_linear``: matches of the address rules in ``_norm`` where it has a run of syllables, else null."""
+    text = F.col("_norm")
+    return df.withColumn("_linear", linear_spans(F.when(text.rlike(f"(?U){SYLLABLE_RUN}"), text), tuple(r.pattern for r in rules if r.category == "Address")))
 
 
 def all_candidates(text: Column, rules: tuple[R.Rule, ...]) -> Column:
-    """Candidates of all rules, by rule, then place: one pass over the page, no union of scans."""
-    return F.concat(*(candidates(text, i, r) for i, r in enumerate(rules)))
+    """Candidates of all rules, by rule, then place: one pass over the page, no union of scans. Reads ``_linear``."""
+    slow = [i for i, r in enumerate(rules) if r.category == "Address"]
+    return F.concat(*(candidates(text, i, r, F.get("_linear", F.lit(slow.index(i))) if i in slow else None) for i, r in enumerate(rules)))
 
 
 def resolve(found: Column) -> Column:

@@ -1,8 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from inkveil.operators.detect import detect, page_finds
 from inkveil.operators.layout import detect_layout
 from inkveil.operators.redact import post_check, redact_texts
+from inkveil.operators.spans import linear_spans, spans
+from inkveil.plans.rules import RULES
 
 DONGS = "서빙고동 압구정동 역삼동 반포동 성복동 여의도동 용암동".split()
 
@@ -119,3 +122,22 @@ def test_region_with_building_below(spark):
     glyphs = line("경기도 성남시 분당구", 0.1, 0.1, **step) + line("02-123-4567", 0.7, 0.1, **step) + line("매화마을 동신빌라", 0.1, 0.13, **step)
     got = found(spark, glyphs)
     assert any(x[1] == "AddressRegionBuilding" and "매화마을" in x[2] for x in got)
+
+
+@pytest.mark.parametrize("run", ["시 군 구 도\n" * 4, "구" * 40, "시군구" * 400])
+def test_addresses_beside_a_run_of_syllables(spark, run):
+    address = "서울특별시 강남구 테헤란로 123"
+    text = f"주소: {address} 끝. {run} 끝. \x01 주소: {address} 끝"
+    df = spark.createDataFrame([(1, 0, text)], "doc_id long, page_index int, text string")
+    got = [(r.category, r.content, text[r.start : r.end]) for r in detect(df).collect()]
+    assert got == [("Address", address, address)] * 2
+    assert address not in redact_texts(page_finds(df)).first().redacted
+
+
+def test_linear_matches_are_javas(spark):
+    rules = [r for r in RULES if r.category == "Address"]
+    texts = [t for t, _ in CASES if t] + ["궁전 T\u3000동 ９０１호 \U0001f600 한솔아파트 1동\xa02호 강남구 역삼동 12-3, 101동 202호"]
+    df = spark.createDataFrame([(t, "\n".join(texts)) for t in texts], "t string, every string")
+    for c in ("t", "every"):
+        rows = df.select(linear_spans(F.col(c), tuple(r.pattern for r in rules)).alias("a"), F.array(*(spans(F.col(c), r.java) for r in rules)).alias("b")).collect()
+        assert all(r.a == r.b for r in rows) and any(any(r.a) for r in rows)
