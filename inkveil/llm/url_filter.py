@@ -11,8 +11,9 @@ from .shared import ascii_lower, land, salted_left_join
 
 #: Share of a score that follows links; the rest comes from the seeds.
 DAMPING = 0.85
-ROUNDS = 20
-#: Rounds end when no score moves by more than this share of one page.
+#: Rounds after which scores that still move are an error.
+ROUNDS = 1000
+#: Rounds end when no host was reached anew and no score moves by more than this share of itself.
 TOLERANCE = 1e-3
 #: A host is blocked when distrust is more than this share of its trust and distrust.
 BLOCK_SHARE = 0.75
@@ -91,11 +92,11 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
             .select("kind", "node", "seed", "was", (F.col("seed") * (1 - damping) + F.col("flow") * damping).alias("score"))
         )
         after = land(after, "scores")
-        moved = after.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
+        moved = after.agg(F.max(F.abs(F.col("score") - F.col("was")) / F.col("score"))).first()[0]
         scores = after.drop("was")
         if moved is None or moved <= tolerance:
-            break
-    return scores
+            return scores
+    raise RuntimeError(f"scores did not settle in {rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, block_share: float = BLOCK_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,7 +1,9 @@
 import re
 from collections import Counter, defaultdict
 
-from inkveil.llm.url_filter import BLOCK_SHARE, DAMPING, ROUNDS, RULES, judge_urls, op9_url_filters
+import pytest
+
+from inkveil.llm.url_filter import BLOCK_SHARE, DAMPING, ROUNDS, RULES, judge_urls, op9_url_filters, spread
 
 
 def split(url):
@@ -70,3 +72,12 @@ def test_links_carry_trust_and_distrust(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+
+
+def test_small_scores_spread_on(spark):
+    pages = [(0, "http://bad.com/de/1", "")] + [(i, f"http://h{i}.net/", "<a href='//bad.com/de/1'>") for i in range(1, 201)] + [(201, "http://two.net/", "<a href='//h1.net/'>"), (202, "http://three.net/", "<a href='//two.net/'>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.verdict for r in judge_urls(df).collect()} == {"block"}
+    chain = spark.createDataFrame([("trust", f"h{i}", f"h{i + 1}", 1.0) for i in range(5)], "kind string, source string, target string, share double")
+    with pytest.raises(RuntimeError):
+        spread(spark.createDataFrame([("trust", "h0", 1.0)], "kind string, node string, seed double"), chain, rounds=3)
