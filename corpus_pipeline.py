@@ -10,8 +10,8 @@ from inkveil.llm.shared import land
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no quality rule."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    """Documents that break no quality rule but the one on length alone: a clean text stays however long it is."""
+    return quality.judge(docs, tuple(r for r in quality.RULES if r.name != "max_words")).where("kept").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

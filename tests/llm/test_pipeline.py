@@ -26,3 +26,10 @@ def test_stages_keep_columns_and_take_anything(spark, sf_dir):
             assert stage(spark, some, sf_dir).columns == docs.columns
             stage(spark, some, sf_dir).count()
         corpus_pipeline.STAGES[-1][1](spark, some, sf_dir).count()
+
+
+def test_a_long_clean_text_stays(spark, sf_dir):
+    text = " ".join(f"the cat{i} of house{i * 7}" for i in range(260_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert not judge(docs).first().kept
+    assert corpus_pipeline.keep_quality(spark, docs, sf_dir).count() == 1
