@@ -30,20 +30,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = C
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = end_id.to_bytes(4, "little")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in in_portions(texts):
-                ids = [x + end for x in encoder(tokenizer).encode(texts[part])]
-                counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+                ids, counts = encoder(tokenizer).encode_ended(texts[part], end_id)
                 pieces = -(-counts // capacity)
-                doc = np.repeat(np.arange(len(ids)), pieces)
+                doc = np.repeat(np.arange(len(counts)), pieces)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 start = piece * capacity
                 length = np.minimum(capacity, counts[doc] - start)
-                blobs = [ids[d][4 * s : 4 * (s + n)] for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist())]
+                # Pieces lie one after the other as the texts do.
+                offsets = np.append(0, 4 * np.cumsum(length)).astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, len(ids)).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(blobs, pa.binary())],
+                    [batch.column(0).slice(part.start, len(counts)).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), blobs],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 

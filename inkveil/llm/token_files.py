@@ -95,26 +95,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             rows.clear()
             return batch
 
-        end, left, starts, ids, counts = end_id.to_bytes(4, "little"), b"", [], [], []
+        left, starts, ids, counts = np.empty(0, "<u4"), [], [], []
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids.append(batch.column(0))
             for part in in_portions(texts):
                 if not at:
                     put(struct.pack(_HEAD, MAGIC, TaskContext.get().partitionId()))
-                coded = [x + end for x in encoder(tokenizer).encode(texts[part])]
-                counts.append(np.fromiter((len(x) // 4 for x in coded), "<u8", len(coded)))
-                left = b"".join([left, *coded])
-                whole = len(left) // (4 * BLOCK)
-                for block in np.frombuffer(left, "<u4", whole * BLOCK).reshape(whole, BLOCK):
+                coded, n = encoder(tokenizer).encode_ended(texts[part], end_id)
+                counts.append(n.astype("<u8"))
+                left = np.concatenate((left, coded))
+                whole = len(left) // BLOCK
+                for block in left[: whole * BLOCK].reshape(whole, BLOCK):
                     starts.append(at)
                     put(pack_block(block))
-                left = left[4 * BLOCK * whole :]
+                left = left[whole * BLOCK :].copy()
                 yield flushed()
         if at:
-            if left:
+            if len(left):
                 starts.append(at)
-                put(pack_block(np.frombuffer(left, "<u4")))
+                put(pack_block(left))
             index = at
             put(np.array(starts, "<u8").tobytes())
             table = at
