@@ -1,13 +1,15 @@
 """Language-model scoring by deleted interpolation of n-gram estimates.
 
 The probability of a word v after u mixes three estimates, with weights by the bucket (power of two)
-of u's frequency: the bigram estimate, the unigram estimate c(v)/N, and 1/(V+1) for any word, known or
-not. The weights are learned by expectation-maximisation on held-out counts: bigrams are counted on
-the fitting documents, and weighted by how often they occur in a held-out tenth.
-
-All words and bigrams are counted and used. The most frequent are broadcast, a fixed number at most. All others
-stay in stored tables, which are joined to the texts that hold them. A caller may prune words and bigrams
-below a share of its own from the bigram estimate, whose mass for them goes to the unigram estimate.
+of u's frequency: the bigram estimate c(u, v) / c(u), the unigram estimate c(v) / N, and 1 / (V + 1) for
+any word, known or not. The weights are learned by expectation-maximisation on held-out counts: bigrams
+are counted on the fitting documents, and weighted by how often they occur in a held-out tenth.
+
+All words and bigrams are counted and used; none is pruned, and no table of counts is broadcast. Texts are
+cut into words once and stored as portions of word numbers. A portion asks for the counts of its distinct
+words and bigrams: keys are dealt to shares by hash, a share adds up what all portions bring and answers
+each in the order in which it asked, so answers are plain columns of numbers. A bigram comes once from a
+portion, however frequent it is, so no share is hot.
 """
 
 from __future__ import annotations
@@ -21,30 +23,45 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import land
 
-#: Least share of the training tokens of a word in the bigram estimate, and of a bigram; 0 prunes nothing.
-WORD_SHARE = 0.0
-PAIR_SHARE = 0.0
-#: Words and bigrams that are broadcast, at most. Bounds memory only: others are joined.
-CACHED_WORDS = 1_000_000
-CACHED_PAIRS = 3_000_000
 FOLDS = 10
 #: Documents of fold 0 are not learned from; those of fold 1 weight the mixture, the others are fitted on.
 TEST, HELD = 0, 1
-#: Characters of text that a task counts at a time.
+#: Characters of text in a portion, about.
 PORTION = 5_000_000
-#: Cells of held-out counts per power of two of a ratio of estimates.
+#: Tokens for which there is one share of the keys, about; bounds a task's memory, not what is counted.
+SHARE_TOKENS = 1_000_000
+#: Cells of held-out counts per power of two of a ratio of estimates, and the cell of a ratio of zero.
 CELLS = 4
+ZERO = -(10**6)
 ROUNDS = 60
 #: Stands for the end of a text; no word has a space.
 END = b" end"
 #: Stands for the context of a text's first token.
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b" begin"))
 
+_PORTION = "p long, ids binary, known binary, folds binary, sizes binary, tokens binary, words binary, tokens_fit long, tokens_held long, texts_fit long, texts_held long"
+_ASK = "share int, p long, words binary, words_fit binary, words_held binary, pairs binary, pairs_fit binary, pairs_held binary"
+_ANSWER = "share int, p long, words binary, words_fit binary, pairs binary, pairs_fit binary, distinct long, distinct_fit long"
+_COUNTED = "ids binary, known binary, folds binary, sizes binary, tokens binary, words binary, pairs binary, cells array<struct<b:int,two:int,one:int,n:long>>"
+
+
+def _rows(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 by planes of bytes, which compress well when they are small."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
 
 def fold_of(doc_id: int | None) -> int:
     """crc32 of the id as text, by ``FOLDS``; a null id is in fold 0."""
@@ -53,163 +70,194 @@ def fold_of(doc_id: int | None) -> int:
 
 @dataclass
 class Portion:
-    """Some documents' tokens: ``words`` (hashes of distinct tokens), ``tokens`` (index in ``words``), ``doc`` of each token, ``first`` (is it a text's first)."""
+    """Some documents' tokens: ``words`` (hashes of distinct tokens), ``tokens`` (places in ``words``), ``sizes`` (tokens of each document)."""
 
-    row: pa.RecordBatch
+    ids: pa.Array
     folds: np.ndarray
-    words: np.ndarray
+    sizes: np.ndarray
     tokens: np.ndarray
-    doc: np.ndarray
-    first: np.ndarray
+    words: np.ndarray
 
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def contexts(self) -> np.ndarray:
+        """Place of the word before each token; the number of words at a text's beginning."""
+        u = np.empty_like(self.tokens)
+        u[1:] = self.tokens[:-1]
+        u[np.cumsum(self.sizes) - self.sizes] = len(self.words)
+        return u
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct bigrams (context * words + word, as places, sorted), and that of each token."""
+        found, at = np.unique(self.contexts() * max(1, len(self.words)) + self.tokens, return_inverse=True)
+        return found, at.ravel()
+
+    def pair_keys(self, pairs: np.ndarray) -> np.ndarray:
+        """64-bit hashes of bigrams, from those of their words."""
+        u, v = np.divmod(pairs, max(1, len(self.words)))
+        mixed = np.append(self.words, BEGIN)[u] * np.uint64(0x9E3779B97F4A7C15) + self.words[v]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return mixed ^ (mixed >> np.uint64(29))
 
-def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[Portion]:
-    """Tokens of the batches' texts (column 1; A-Z lower-cased, cut at ASCII white space), then one end for each."""
-    for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
-        cuts = np.unique(np.searchsorted(sizes, np.arange(PORTION, sizes[-1] + PORTION if len(sizes) else 0, PORTION), side="right"))
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-            if a < b:
-                yield _portion(batch.slice(a, b - a))
+    @classmethod
+    def of(cls, row: dict) -> Portion:
+        ids = pa.array(np.frombuffer(row["ids"], "<i8"), mask=np.frombuffer(row["known"], np.uint8) == 0)
+        words = np.frombuffer(row["words"], "<u8") if "words_fit" not in row else np.empty(0, np.uint64)
+        return cls(ids, np.frombuffer(row["folds"], np.uint8), unpacked(row["sizes"]), unpacked(row["tokens"]), words)
 
 
-def _portion(row: pa.RecordBatch) -> Portion:
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(row.column(1), "")))
+def _portion(ids: pa.Array, texts: pa.Array) -> Portion:
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     some = pc.not_equal(pc.list_flatten(lists), "")
     coded = pc.list_flatten(lists).filter(some).dictionary_encode()
-    parent = pc.list_parent_indices(lists).filter(some).to_numpy()
-    n = np.bincount(parent, minlength=row.num_rows)
-    ends = np.cumsum(n + 1) - 1
-    words = np.array([xxhash.xxh64_intdigest(w) for w in [*coded.dictionary.cast(pa.binary()).to_pylist(), END]], np.uint64)
-    tokens = np.empty(len(parent) + row.num_rows, np.int64)
+    n = np.bincount(pc.list_parent_indices(lists).filter(some).to_numpy(), minlength=len(texts))
+    words = np.array([*map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist()), xxhash.xxh64_intdigest(END)], np.uint64)
+    tokens = np.empty(int(n.sum()) + len(texts), np.int64)
     is_end = np.zeros(len(tokens), bool)
-    is_end[ends] = True
+    is_end[np.cumsum(n + 1) - 1] = True
     tokens[is_end], tokens[~is_end] = len(words) - 1, coded.indices.to_numpy()
-    first = np.zeros(len(tokens), bool)
-    first[ends - n] = True
-    folds = np.fromiter((fold_of(i) for i in row.column(0).to_pylist()), np.int64, row.num_rows)
-    return Portion(row, folds, words, tokens, np.repeat(np.arange(row.num_rows), n + 1), first)
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Frequent words first, so that most places are small.
+    order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    folds = np.fromiter(map(fold_of, ids.to_pylist()), np.uint8, len(ids))
+    return Portion(ids, folds, n + 1, place[tokens], words[order])
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word`` (64-bit hash), ``n_fit`` and ``n_held``: tokens in fitting and held-out documents."""
+def portions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored portions of the texts' tokens (A-Z lower-cased, cut at ASCII white space, then one end for each text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in portions(batches):
-            fold = p.folds[p.doc]
-            fit, held = (np.bincount(p.tokens[x], minlength=len(p.words)) for x in (fold > HELD, fold == HELD))
-            some = fit + held > 0
-            yield pa.RecordBatch.from_arrays([pa.array(p.words[some].view(np.int64)), pa.array(fit[some]), pa.array(held[some])], ["word", "n_fit", "n_held"])
-
-    return texts.mapInArrow(run, "word long, n_fit long, n_held long").groupBy("word").agg(F.sum("n_fit").alias("n_fit"), F.sum("n_held").alias("n_held"))
-
-
-@dataclass
-class Vocabulary:
-    """Words frequent enough for bigrams, by hash: counts of training (``n``) and of fitting documents. Contexts have two more: the beginning and any rare word."""
-
-    words: np.ndarray
-    n: np.ndarray
-    n_fit: np.ndarray
-    texts: int
-    texts_fit: int
-
-    @property
-    def begin(self) -> int:
-        return len(self.words)
+        p = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+            cuts = np.unique(np.searchsorted(sizes, np.arange(PORTION, sizes[-1] + PORTION if len(sizes) else 0, PORTION), side="right"))
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if a == b:
+                    continue
+                x = _portion(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
+                known = x.ids.is_valid().to_numpy(zero_copy_only=False)
+                sums = [int(part[x.folds > HELD].sum() if fit else part[x.folds == HELD].sum()) for part in (x.sizes, np.ones(len(x.sizes), np.int64)) for fit in (True, False)]
+                blobs = [x.ids.fill_null(0).to_numpy().astype("<i8").tobytes(), known.astype(np.uint8).tobytes(), x.folds.tobytes(), packed(x.sizes), packed(x.tokens), x.words.astype("<u8").tobytes()]
+                yield _rows(_PORTION, [pa.array([p]), *(pa.array([y], pa.binary()) for y in blobs), *(pa.array([y], pa.int64()) for y in sums)])
+                p += 1
 
-    @property
-    def rare(self) -> int:
-        return len(self.words) + 1
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return land(texts.mapInArrow(run, _PORTION), "portions", compression="zstd")
 
-    def index(self, words: np.ndarray) -> np.ndarray:
-        """Place of each hash, or ``rare``."""
-        if not len(self.words):
-            return np.full(len(words), self.rare)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, self.rare)
 
-    def pairs(self, p: Portion) -> tuple[np.ndarray, np.ndarray]:
-        """Context and word of each token."""
-        v = self.index(p.words)[p.tokens]
-        u = np.concatenate(([self.begin], v[:-1]))
-        u[p.first] = self.begin
-        return u, v
+def _dealt(keys: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts keys of one share side by side, and where each share begins."""
+    share = (keys % np.uint64(shares)).astype(np.int64)
+    return np.argsort(share, kind="stable"), np.append(0, np.cumsum(np.bincount(share, minlength=shares)))
 
 
-def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``pair`` (context * (words + 2) + word, both as places), ``n_fit``, ``n_held``."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+def asked(stored: DataFrame, shares: int) -> DataFrame:
+    """For each portion and share of the keys: distinct words and bigrams with how often they occur in fitting and in held-out texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        for p in portions(batches):
-            u, v = vocabulary.pairs(p)
-            fold = p.folds[p.doc]
-            learned = fold != TEST
-            found, n = np.unique((u * (vocabulary.rare + 1) + v)[learned] * 2 + (fold == HELD)[learned], return_counts=True)
-            held = found & 1
-            yield pa.RecordBatch.from_arrays([pa.array(found >> 1), pa.array(n * (1 - held)), pa.array(n * held)], ["pair", "n_fit", "n_held"])
-
-    return texts.mapInArrow(run, "pair long, n_fit long, n_held long").groupBy("pair").agg(F.sum("n_fit").alias("n_fit"), F.sum("n_held").alias("n_held"))
-
-
-@dataclass
-class Bigrams:
-    """Kept bigrams (``pairs``, sorted) with counts, and for each context its count and the share of its mass that no kept bigram has."""
-
-    pairs: np.ndarray
-    n: np.ndarray
-    context: np.ndarray
-    rest: np.ndarray
-
-    @classmethod
-    def of(cls, pairs: np.ndarray, n: np.ndarray, words: np.ndarray, texts: int, whole: bool = False) -> Bigrams:
-        """``whole``: bigrams beyond ``pairs`` are stored, so a context that was seen has no mass left."""
-        context = np.concatenate((words, [texts, 0])).astype(float)
-        kept = np.bincount(pairs // len(context), n, len(context))
-        kept[-1] = 0
-        if whole:
-            kept = context
-        return cls(pairs, n, context, np.where(context > 0, 1 - kept / np.maximum(context, 1), 1.0))
-
-    def estimate(self, u: np.ndarray, v: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """The bigram estimate; ``unigram`` is that of v."""
-        pair = u * len(self.context) + v
-        at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
-        n = np.where(self.pairs[at] == pair, self.n[at], 0) if len(self.pairs) else 0
-        return n / np.maximum(self.context[u], 1) + self.rest[u] * unigram
-
-
-def buckets(context: np.ndarray) -> np.ndarray:
-    """Bucket of each context by its frequency: powers of two; the last context (rare words) has bucket 0."""
-    found = 1 + np.log2(np.maximum(context, 1)).astype(np.int64)
-    found[-1] = 0
-    return found
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = Portion.of(row)
+                fold = x.folds[x.doc]
+                pairs, at = x.pairs()
+                blobs = []
+                for keys, place in ((x.words, x.tokens), (x.pair_keys(pairs), at)):
+                    order, cuts = _dealt(keys, shares)
+                    columns = [keys.astype("<u8")[order]] + [np.bincount(place[some], minlength=len(keys))[order] for some in (fold > HELD, fold == HELD)]
+                    blobs += [[(packed(c[a:b]) if k else c[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])] for k, c in enumerate(columns)]
+                yield _rows(_ASK, [pa.array(np.arange(shares), pa.int32()), pa.array(np.full(shares, row["p"])), *(pa.array(b, pa.binary()) for b in blobs)])
+
+    return stored.mapInArrow(run, _ASK)
+
+
+def _added(table: pa.Table, what: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of one share, their counts in training and in fitting texts, and the place of each key that came."""
+    keys = np.frombuffer(b"".join(table.column(what).to_pylist()), "<u8")
+    fit, held = (np.concatenate([np.empty(0, np.int64), *map(unpacked, table.column(f"{what}_{k}").to_pylist())]) for k in ("fit", "held"))
+    found, at = np.unique(keys, return_inverse=True)
+    fit, held = (np.bincount(at.ravel(), x, len(found)).astype(np.int64) for x in (fit, held))
+    return found, fit + held, fit, at.ravel()
+
+
+def _answers(counted: pa.Table, asking: pa.Table | None) -> pa.Table:
+    """Answer each row of a share with the counts of its keys, in its order. ``asking`` is None if those ask who were counted."""
+    rows = counted if asking is None else asking
+    columns, distinct = [], (0, 0)
+    for what in ("words", "pairs"):
+        found, n, fit, at = _added(counted, what)
+        sizes = np.fromiter((len(b) // 8 for b in rows.column(what).to_pylist()), np.int64, rows.num_rows)
+        if asking is not None:
+            keys = np.frombuffer(b"".join(rows.column(what).to_pylist()), "<u8")
+            at = np.minimum(np.searchsorted(found, keys), max(0, len(found) - 1))
+            known = found[at] == keys if len(found) else np.zeros(len(keys), bool)
+            n, fit, at = np.append(n, 0), np.append(fit, 0), np.where(known, at, len(found))
+        cuts = np.append(0, np.cumsum(sizes))
+        columns += [pa.array([packed(x[at[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (n, fit)]
+        if what == "words":
+            distinct = int((n > 0).sum()), int((fit > 0).sum())
+    # A share tells its numbers of distinct words once.
+    once = [pa.array([x if i == 0 else 0 for i in range(rows.num_rows)], pa.int64()) for x in distinct]
+    return pa.table([rows.column("share"), rows.column("p"), *columns, *once], [c.split()[0] for c in _ANSWER.split(", ")])
 
 
 @dataclass
 class Model:
-    """All that a task needs to score texts but the counts of rare words."""
+    """What the corpus taught: numbers of tokens, distinct words and texts, in training and in fitting documents, the weights by bucket, and the counts as the portions bring them."""
 
-    vocabulary: Vocabulary
-    bigrams: Bigrams
-    weights: np.ndarray
     n: int
-    v: int
-
-    @property
-    def context_weights(self) -> np.ndarray:
-        return self.weights[np.minimum(buckets(self.bigrams.context), len(self.weights) - 1)]
-
-    def linear(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each context a, b: the probability of a rare word is a * its count + b."""
-        w = self.context_weights
-        return (w[:, 0] * self.bigrams.rest + w[:, 1]) / max(1, self.n), w[:, 2] / (self.v + 1)
+    n_fit: int
+    texts: int
+    texts_fit: int
+    shares: int
+    counts: DataFrame
+    v: int = 0
+    v_fit: int = 0
+    weights: np.ndarray | None = None
+
+
+def buckets(count: np.ndarray) -> np.ndarray:
+    """Bucket of each context by its frequency: powers of two from 1 on; 0 for one never seen."""
+    return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64), 0)
+
+
+def _cells(x: Portion, answer: dict, pairs: np.ndarray, at: np.ndarray, model: Model) -> list[dict]:
+    """Held-out bigrams of a portion, by bucket and by their estimates' ratios to 1 / (V + 1)."""
+    held = (x.folds == HELD)[x.doc]
+    n = np.bincount(at[held], minlength=len(pairs))
+    some = np.flatnonzero(n)
+    u, v = np.divmod(pairs[some], len(x.words))
+    cu, cv = np.append(answer["words_fit"], model.texts_fit)[u], answer["words_fit"][v]
+    one = cv / max(1, model.n_fit)
+    two = np.where(cu > 0, answer["pairs_fit"][some] / np.maximum(cu, 1), one)
+    fine = lambda y: np.where(y > 0, np.round(CELLS * np.log2(np.maximum(y, 1e-300) * (model.v_fit + 1))), ZERO).astype(np.int64)
+    cell, place = np.unique(np.stack([buckets(cu), fine(two), fine(one)], 1), axis=0, return_inverse=True)
+    return [{"b": int(b), "two": int(t), "one": int(o), "n": int(k)} for (b, t, o), k in zip(cell, np.bincount(place.ravel(), n[some]))]
+
+
+def counted(stored: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
+    """Stored portions with the counts of each word, and of each token's bigram, and their held-out cells."""
+    told = Model(model.n, model.n_fit, model.texts, model.texts_fit, model.shares, None, model.v, model.v_fit)
+
+    def run(portion: pa.Table, answer: pa.Table) -> pa.Table:
+        out = []
+        for row in portion.to_pylist():
+            x = Portion.of(row)
+            pairs, at = x.pairs()
+            found = {}
+            parts = answer.sort_by("share")
+            for what, keys in (("words", x.words), ("pairs", x.pair_keys(pairs))):
+                order, _ = _dealt(keys, told.shares)
+                for name in (what, f"{what}_fit"):
+                    found[name] = np.empty(len(keys), np.int64)
+                    found[name][order] = np.concatenate([np.empty(0, np.int64), *map(unpacked, parts.column(name).to_pylist())])
+            out.append({k: row[k] for k in ("ids", "known", "folds", "sizes", "tokens")} | {"words": packed(found["words"]), "pairs": packed(found["pairs"][at]), "cells": _cells(x, found, pairs, at, told)})
+        cell = pa.struct([("b", pa.int32()), ("two", pa.int32()), ("one", pa.int32()), ("n", pa.int64())])
+        return pa.Table.from_pylist(out, pa.schema([(c.split()[0], pa.list_(cell) if c.startswith("cells") else pa.binary()) for c in _COUNTED.split(", ")]))
+
+    return stored.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(run, _COUNTED)
 
 
 def learn_weights(cells: np.ndarray, n_buckets: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -229,333 +277,78 @@ def learn_weights(cells: np.ndarray, n_buckets: int, rounds: int = ROUNDS) -> np
     return np.array([one(x) if len(x := cells[cells[:, 0] == b]) else every for b in range(n_buckets)])
 
 
-def held_out_cells(pairs: DataFrame, vocabulary: Vocabulary, bigrams: Bigrams, rare: dict[str, float], n: int, v: int) -> np.ndarray:
-    """Held-out bigrams, added up by bucket and by their estimates' ratios: a grid of bounded size.
+def _learned(counts: DataFrame, model: Model) -> np.ndarray:
+    """Weights from the cells of all portions: a grid of bounded size, whatever the corpus."""
+    grid = counts.select(F.explode("cells").alias("c")).groupBy("c.b", "c.two", "c.one").agg(F.sum("c.n").alias("n")).collect()
+    ratio = lambda x: 0.0 if x == ZERO else 2.0 ** (x / CELLS)
+    cells = np.array([(r.b, ratio(r.two), ratio(r.one), 1.0, r.n) for r in grid], float).reshape(-1, 5)
+    return learn_weights(cells, int(max(model.n, model.texts, 1)).bit_length() + 1)
 
-    A rare word enters with its class's mean: those unseen when fitting have no unigram estimate.
-    """
-    shared = pairs.sparkSession.sparkContext.broadcast((vocabulary, bigrams))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, bigrams = shared.value
-        unigrams = np.concatenate((vocabulary.n_fit, [0, rare["mean_fit"]])) / n
-        by = buckets(bigrams.context)
-        for batch in batches:
-            pair, held = (batch.column(i).to_numpy() for i in (0, 1))
-            u, w = np.divmod(pair, vocabulary.rare + 1)
-            one = unigrams[w]
-            two = bigrams.estimate(u, w, one)
-            fine = lambda x: np.round(CELLS * np.log2(np.maximum(x, 1e-30))).astype(np.int64)
-            some = one > 0
-            cell = np.stack([by[u], np.where(some, fine(two / np.where(some, one, 1)), 0), np.where(some, fine(one * (v + 1)), -(10**6)), w == vocabulary.rare], 1)
-            found, at = np.unique(cell, axis=0, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found.T), pa.array(np.bincount(at.ravel(), held))], ["b", "two", "one", "rare", "n"])
-
-    grid = pairs.where("n_held > 0").select("pair", "n_held").mapInArrow(run, "b long, two long, one long, rare long, n double").groupBy("b", "two", "one", "rare").agg(F.sum("n").alias("n"))
-    rows = []
-    for r in grid.collect():
-        one = 0.0 if r.one == -(10**6) else 2.0 ** (r.one / CELLS)
-        unseen = rare["unseen"] if r.rare else 0.0
-        rows.append((r.b, one * 2.0 ** (r.two / CELLS), one, 1.0, r.n * (1 - unseen)))
-        rows.append((r.b, 0.0, 0.0, 1.0, r.n * unseen))
-    return np.array([r for r in rows if r[4] > 0]).reshape(-1, 5)
-
-
-@dataclass
-class Counts:
-    """Stored counts of all words and, unless pruned, of all bigrams (:func:`rated`), with the least count of a broadcast bigram."""
+def _fitted(docs: DataFrame, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
+    """The model, and the counted portions of its own texts."""
+    stored = portions(docs, id_col, text_col)
+    sums = stored.agg(*(F.sum(f"{what}_{k}") for what in ("tokens", "texts") for k in ("fit", "held")), F.sum(F.octet_length("tokens") / 8)).first()
+    n_fit, n_held, t_fit, t_held, tokens = (int(x or 0) for x in sums)
+    shares = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SHARE_TOKENS))
+    asks = asked(stored, shares)
+    model = Model(n_fit + n_held, n_fit, t_fit + t_held, t_fit, shares, asks)
+    answers = land(asks.groupBy("share").applyInArrow(lambda t: _answers(t, None), _ANSWER), "answers", compression="zstd")
+    model.v, model.v_fit = (x or 0 for x in answers.agg(F.sum("distinct"), F.sum("distinct_fit")).first())
+    counts = land(counted(stored, answers, model), "counted", compression="zstd")
+    model.weights = _learned(counts, model)
+    return model, counts
 
-    words: DataFrame
-    pairs: DataFrame | None = None
-    cached: int = 0
 
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learn from all documents but those of fold 0. The driver gets sums, and a grid of held-out counts of bounded size."""
+    return _fitted(docs, id_col, text_col)[0]
 
-def whole_pairs(p: Portion, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Of each token context and word as places, a key of both, and their hashes.
 
-    The key is made of the places if both are broadcast; else it is a hash, negative as a long, and the
-    hashes are given, which otherwise are 0.
-    """
-    u, v = vocabulary.pairs(p)
-    word = p.words[p.tokens]
-    context = np.concatenate(([BEGIN], word[:-1]))
-    context[p.first] = BEGIN
-    rare = (u == vocabulary.rare) | (v == vocabulary.rare)
-    mixed = context * np.uint64(0x9E3779B97F4A7C15) + word
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) | np.uint64(1 << 63)
-    key = np.where(rare, mixed.view(np.int64), u * (vocabulary.rare + 1) + v)
-    return u, v, key, np.where(rare, context.view(np.int64), 0), np.where(rare, word.view(np.int64), 0)
-
-
-def whole_pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``key, context, word`` (as in :func:`whole_pairs`), ``n_fit``, ``n_held``, of every bigram."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+def _scores(counts: DataFrame, model: Model) -> DataFrame:
+    weights, n, v, texts = model.weights, model.n, model.v, model.texts
+    norm = float(np.log10(n + 0.1 * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in portions(batches):
-            _, _, key, context, word = whole_pairs(p, shared.value)
-            fold = p.folds[p.doc]
-            learned = fold != TEST
-            found, first, at = np.unique(key[learned], return_index=True, return_inverse=True)
-            held = np.bincount(at.ravel(), fold[learned] == HELD, len(found)).astype(np.int64)
-            n = np.bincount(at.ravel(), minlength=len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found, context[learned][first], word[learned][first], n - held, held)], ["key", "context", "word", "n_fit", "n_held"])
-
-    counted = texts.mapInArrow(run, "key long, context long, word long, n_fit long, n_held long")
-    return counted.groupBy("key").agg(F.max("context").alias("context"), F.max("word").alias("word"), F.sum("n_fit").alias("n_fit"), F.sum("n_held").alias("n_held"))
-
-
-_SIDES = ("cu", "cu_fit", "cv", "cv_fit")
-
-
-def _looked_up(rows: DataFrame, words: DataFrame, hashed: str, names: tuple[str, ...], apart: str) -> DataFrame:
-    """Fill counts that are -1 from the stored words (0: none). ``apart`` spreads the rows that need none."""
-    counts = {"n": F.col("_fit") + F.col("_held"), "fit": F.col("_fit")}
-    told = words.select(F.col("word").alias("_word"), F.col("n_fit").alias("_fit"), F.col("n_held").alias("_held"))
-    asks = F.col(names[0]) < 0
-    joined = rows.withColumn("_ask", asks).withColumn("_key", F.when(asks, F.col(hashed)).otherwise(F.col(apart))).join(told, F.col("_ask") & (F.col("_key") == F.col("_word")), "left")
-    filled = {x: F.when(F.col("_ask"), F.coalesce(counts["fit" if x.endswith("_fit") else "n"], F.lit(0))).otherwise(F.col(x)) for x in names}
-    return joined.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in rows.columns))
-
-
-def rated(pairs: DataFrame, vocabulary: Vocabulary, words: DataFrame) -> DataFrame:
-    """Add the counts of each bigram's context (``cu``, ``cu_fit``) and word (``cv``, ``cv_fit``). Only those of words that are not broadcast are joined."""
-    shared = pairs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        n = np.concatenate((vocabulary.n, [vocabulary.texts, -1]))
-        fit = np.concatenate((vocabulary.n_fit, [vocabulary.texts_fit, -1]))
         for batch in batches:
-            key, context, word = (batch.column(i).to_numpy() for i in range(3))
-            hashed = key < 0
-            u, v = np.divmod(np.where(hashed, 0, key), vocabulary.rare + 1)
-            of = lambda x: vocabulary.index(np.ascontiguousarray(x).view(np.uint64))
-            u = np.where(hashed, np.where(context == BEGIN.view(np.int64), vocabulary.begin, of(context)), u)
-            v = np.where(hashed, of(word), v)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in (n[u], fit[u], n[v], fit[v]))], [*batch.schema.names, *_SIDES])
-
-    known = pairs.mapInArrow(run, "key long, context long, word long, n_fit long, n_held long, cu long, cu_fit long, cv long, cv_fit long")
-    rare = _looked_up(known.where("key < 0"), words, "word", ("cv", "cv_fit"), "key")
-    rare = land(_looked_up(rare, words, "context", ("cu", "cu_fit"), "key"), "rare_pairs")
-    return known.where("key >= 0").unionByName(rare)
-
-
-def bucket(count: Column) -> Column:
-    """As :func:`buckets`, with bucket 0 for a context that was never seen."""
-    return F.when(count > 0, F.length(F.bin(count))).otherwise(0)
-
-
-def whole_cells(pairs: DataFrame, n: int, v: int) -> np.ndarray:
-    """Held-out bigrams of :func:`rated`, added up by bucket and by their estimates: a grid of bounded size."""
-    one = F.col("cv_fit") / n
-    two = F.when(F.col("cu_fit") > 0, F.col("n_fit") / F.col("cu_fit")).otherwise(one)
-    fine = lambda x: F.when(x > 0, F.round(CELLS * F.log2(x * (v + 1))).cast("int"))
-    grid = pairs.where("n_held > 0").groupBy(bucket(F.col("cu_fit")).alias("b"), fine(two).alias("two"), fine(one).alias("one")).agg(F.sum("n_held").alias("n"))
-    ratio = lambda x: 0.0 if x is None else 2.0 ** (x / CELLS)
-    return np.array([(r.b, ratio(r.two), ratio(r.one), 1.0, r.n) for r in grid.collect()], float).reshape(-1, 5)
-
-
-def _least(counts: DataFrame, n: Column, most: int) -> int:
-    """The least count that at most ``most`` rows reach, to an eighth of a power of two: the driver gets a few hundred cells."""
-    cells = counts.where(n > 0).groupBy(F.floor(8 * F.log2(n)).alias("cell")).agg(F.min(n).alias("least"), F.max(n).alias("top"), F.count("*").alias("rows")).orderBy(F.desc("cell")).collect()
-    least, rows = (cells[0].top if cells else 0) + 1, 0
-    for r in cells:
-        rows += r.rows
-        if rows > most:
-            break
-        least = r.least
-    return least
-
-
-def _columns(frame: DataFrame) -> list[np.ndarray]:
-    """Collect a small table of longs by column."""
-    return [c.to_numpy() for c in frame.toArrow().combine_chunks().columns]
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, cached_words: int = CACHED_WORDS, cached_pairs: int = CACHED_PAIRS) -> tuple[Model, Counts]:
-    """Learn from all documents but those of fold 0. Returns the model and the stored counts.
-
-    Nothing is pruned unless ``word_share`` or ``pair_share`` is over 0; what is then left is broadcast. The driver gets frequent words and bigrams (at most ``cached_words`` and ``cached_pairs``, or one over the share of either) and a grid
-    of held-out counts, nothing that grows with the corpus beyond that.
-    """
-    whole = not word_share and not pair_share
-    texts = _texts(docs, id_col, text_col)
-    words = land(word_counts(texts), "words")
-    n_word = F.col("n_fit") + F.col("n_held")
-    least_word = _least(words, n_word, cached_words) if whole else 0
-    end = int(np.uint64(xxhash.xxh64_intdigest(END)).view(np.int64))
-    told = words.agg(F.sum(n_word), F.sum("n_fit"), F.count("*"), F.count_if(F.col("n_fit") > 0), F.max(n_word)).first()
-    n, n_fit, v, v_fit = (x or 0 for x in told[:4])
-    frequent = words.where((n_word >= (least_word if whole else word_share * n)) | (F.col("word") == end)).select("word", n_word.alias("n"), "n_fit")
-    word, often, often_fit = _columns(frequent)
-    order = np.argsort(word.view(np.uint64))
-    ends = word == end
-    vocabulary = Vocabulary(word.view(np.uint64)[order], often[order], often_fit[order], int(often[ends].sum()), int(often_fit[ends].sum()))
-
-    if whole:
-        pairs = land(whole_pair_counts(texts, vocabulary), "pairs")
-        least = _least(pairs.where("key >= 0"), n_word, cached_pairs)
-        pair, kept = _columns(pairs.where((F.col("key") >= 0) & (n_word >= least)).select("key", n_word.alias("n")))
-        order = np.argsort(pair)
-        bigrams = Bigrams.of(pair[order], kept[order], vocabulary.n, vocabulary.texts, whole=True)
-        every = rated(pairs, vocabulary, words)
-        most = max(told[4] or 1, vocabulary.texts, 1)
-        weights = learn_weights(whole_cells(every, max(1, n_fit), v_fit), int(most).bit_length() + 1)
-        return Model(vocabulary, bigrams, weights, n, v), Counts(words, every, least)
-
-    pairs = land(pair_counts(texts, vocabulary), "pairs")
-    known = (F.col("pair") % (vocabulary.rare + 1) != vocabulary.rare) & (F.floor(F.col("pair") / (vocabulary.rare + 1)) != vocabulary.rare)
-    pair, kept, kept_fit = _columns(pairs.where(known & (n_word >= pair_share * n)).select("pair", n_word.alias("n"), "n_fit"))
-    order = np.argsort(pair)
-    pair, kept, kept_fit = pair[order], kept[order], kept_fit[order]
-    fitted = Bigrams.of(pair, kept_fit, vocabulary.n_fit, vocabulary.texts_fit)
-    seldom = words.where((n_word < word_share * n) & (F.col("word") != end)).agg(F.sum("n_fit"), F.count_if(F.col("n_fit") > 0), F.sum("n_held"), F.sum(F.when(F.col("n_fit") == 0, F.col("n_held")))).first()
-    seldom = [x or 0 for x in seldom]
-    rare = {"mean_fit": seldom[0] / max(1, seldom[1]), "unseen": seldom[3] / max(1, seldom[2])}
-    cells = held_out_cells(pairs, vocabulary, fitted, rare, max(1, n_fit), v_fit)
-    bigrams = Bigrams.of(pair, kept, vocabulary.n, vocabulary.texts)
-    weights = learn_weights(cells, int(max(buckets(bigrams.context).max(), buckets(fitted.context).max())) + 1)
-    return Model(vocabulary, bigrams, weights, n, v), Counts(words)
-
-
-def score(docs: DataFrame, model: Model, counts: Counts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for row in batch.select(["ids", "known", "folds", "sizes", "tokens", "words", "pairs"]).to_pylist():
+                x = Portion.of(row)
+                words = unpacked(row["words"])
+                # Portion.contexts with the counts in the words' place.
+                x.words = words
+                d, doc, c = len(x.sizes), x.doc, words[x.tokens]
+                cu = np.append(words, texts)[x.contexts()]
+                w = weights[np.minimum(buckets(cu), len(weights) - 1)]
+                one = c / max(1, n)
+                two = np.where(cu > 0, unpacked(row["pairs"]) / np.maximum(cu, 1), one)
+                chance = w[:, 0] * two + w[:, 1] * one + w[:, 2] / (v + 1)
+                add = lambda y: pa.array(np.bincount(doc, y, d))
+                known = np.bincount(doc, c > 0, d).astype(np.int64)
+                base = np.bincount(doc, np.log10(c + 0.1), d) - x.sizes * norm
+                yield pa.RecordBatch.from_arrays(
+                    [x.ids, pa.array(x.folds == TEST), pa.array(x.sizes), pa.array(known), pa.array(np.full(d, n)), pa.array(base), add(np.log10(chance))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return counts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    A task adds up what the broadcast model tells of its texts, and emits a row for each text and each
-    bigram in it that is not broadcast (rare word, if pruned); these rows join the stored counts, and one aggregation by text adds all up.
-
     Defined cases: a null or empty text is one end; a null id is in fold 0; rows that repeat an id are
-    scored each and learned from each; an empty table gives no rows; other columns are ignored.
+    scored each; an empty table gives no rows; other columns are ignored.
     """
-    if counts.pairs is not None:
-        return _whole_score(docs, model, counts, id_col, text_col)
-    words = counts.words
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
+    stored = portions(docs, id_col, text_col)
+    answers = model.counts.groupBy("share").cogroup(asked(stored, model.shares).groupBy("share")).applyInArrow(_answers, _ANSWER)
+    return _scores(counted(stored, answers, model), model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        vocabulary, rows = model.vocabulary, TaskContext.get().partitionId() << 36
-        weights = model.context_weights
-        for p in portions(batches):
-            u, v = vocabulary.pairs(p)
-            d = p.row.num_rows
-            often = v != vocabulary.rare
-            c = vocabulary.n[v[often]]
-            one = c / max(1, model.n)
-            w = weights[u[often]]
-            chance = w[:, 0] * model.bigrams.estimate(u[often], v[often], one) + w[:, 1] * one + w[:, 2] / (model.v + 1)
-            add = lambda x: np.bincount(p.doc[often], x, d)
-            base, scored, known = add(np.log10(c + 0.1)), add(np.log10(chance)), add(np.ones(len(c))).astype(np.int64)
-            # Rare words of each text, with the context they follow.
-            key = np.stack([p.doc[~often], p.tokens[~often], u[~often]], 1)
-            order = np.lexsort(key.T[::-1])
-            key = key[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]).any(axis=1)
-            starts = np.flatnonzero(new)
-            times, key = np.diff(np.append(starts, len(key))), key[starts]
-            ids = pa.concat_arrays([p.row.column(0), pa.nulls(len(key), pa.int64())])
-            row = rows + np.arange(d)
-            both = lambda own, of_rare: pa.array(np.concatenate((own, of_rare)))
-            none = np.zeros(len(key), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    both(row, row[key[:, 0]]), ids, both(p.folds, none - 1), both(np.bincount(p.doc, minlength=d), none), both(known, none), both(base, none.astype(float)), both(scored, none.astype(float)),
-                    both(-row - 1, p.words[key[:, 1]].view(np.int64)), both(np.full(d, -1), key[:, 2]), both(np.zeros(d, np.int64), times),
-                ],
-                ["row", "doc_id", "fold", "n_tokens", "n_known", "base", "score", "word", "context", "times"],
-            )
-            rows += d
-
-    parts = _texts(docs, id_col, text_col).mapInArrow(run, "row long, doc_id long, fold long, n_tokens long, n_known long, base double, score double, word long, context long, times long")
-    a, b = model.linear()
-    spark = docs.sparkSession
-    lines = spark.createDataFrame(pa.table({"context": pa.array(np.arange(len(a))), "a": pa.array(a), "b": pa.array(b)}))
-    counts = words.select("word", (F.col("n_fit") + F.col("n_held")).alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    rare = F.col("times") > 0
-    joined = parts.join(counts, "word", "left").join(F.broadcast(lines), "context", "left")
-    return (
-        joined.groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("fold").alias("fold"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(rare & (c > 0), F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + F.when(rare, F.col("times") * F.log10(c + 0.1)).otherwise(0.0)).alias("base"),
-            F.sum(F.col("score") + F.when(rare, F.col("times") * F.log10(F.col("a") * c + F.col("b"))).otherwise(0.0)).alias("score"),
-        )
-        .select("doc_id", (F.col("fold") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
-    )
-
-
-def _whole_score(docs: DataFrame, model: Model, counts: Counts, id_col: str, text_col: str) -> DataFrame:
-    """Texts' rows hold the score as if bigrams that are not broadcast had no count; the stored ones add what they have beyond that."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        vocabulary, rows = model.vocabulary, TaskContext.get().partitionId() << 36
-        weights, known_pairs = model.context_weights, model.bigrams.pairs
-        cu = np.concatenate((vocabulary.n, [vocabulary.texts, -1]))
-        for p in portions(batches):
-            u, v, key, context, word = whole_pairs(p, vocabulary)
-            d = p.row.num_rows
-            often, local = v != vocabulary.rare, key >= 0
-            add = lambda some, x: np.bincount(p.doc[some], x, d)
-            base, known = add(often, np.log10(vocabulary.n[v[often]] + 0.1)), np.bincount(p.doc[often], minlength=d)
-            one, w = vocabulary.n[v[local]] / max(1, model.n), weights[u[local]]
-            scored = add(local, np.log10(w[:, 0] * model.bigrams.estimate(u[local], v[local], one) + w[:, 1] * one + w[:, 2] / (model.v + 1)))
-            stored = ~local
-            if len(known_pairs):
-                stored |= known_pairs[np.minimum(np.searchsorted(known_pairs, key), len(known_pairs) - 1)] != key
-            else:
-                stored[:] = True
-            stored = np.flatnonzero(stored)
-            stored = stored[np.lexsort((key[stored], p.doc[stored]))]
-            new = np.ones(len(stored), bool)
-            new[1:] = (key[stored[1:]] != key[stored[:-1]]) | (p.doc[stored[1:]] != p.doc[stored[:-1]])
-            starts = np.flatnonzero(new)
-            times, at = np.diff(np.append(starts, len(stored))), stored[starts]
-            row, none = rows + np.arange(d), np.zeros(len(at), np.int64)
-            zero = np.zeros(d, np.int64)
-            both = lambda own, of_pair: pa.array(np.concatenate((own, of_pair)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    both(row, row[p.doc[at]]), pa.concat_arrays([p.row.column(0), pa.nulls(len(at), pa.int64())]), both(p.folds, none - 1), both(np.bincount(p.doc, minlength=d), none), both(known, none), both(base, none.astype(float)), both(scored, none.astype(float)),
-                    both(zero, key[at]), both(zero, context[at]), both(zero, word[at]), both(zero, cu[u[at]]), both(zero, cu[v[at]]), both(zero, times),
-                ],
-                ["row", "doc_id", "fold", "n_tokens", "n_known", "base", "score", "key", "context", "word", "cu", "cv", "times"],
-            )
-            rows += d
-
-    parts = _texts(docs, id_col, text_col).mapInArrow(run, "row long, doc_id long, fold long, n_tokens long, n_known long, base double, score double, key long, context long, word long, cu long, cv long, times long")
-    parts = land(parts, "parts")
-    n, unknown = max(1, model.n), 1 / (model.v + 1)
-    at = F.least(bucket(F.col("cu")), F.lit(len(model.weights) - 1))
-    w0, w1, w2 = (F.get(F.array(*map(F.lit, map(float, x))), at) for x in model.weights.T)
-    seen = F.col("cu") > 0
-    without = F.when(seen, w1).otherwise(w0 + w1) * F.col("cv") / n + w2 * unknown
-    beyond = F.log10(1 + w0 * (F.col("n_fit") + F.col("n_held")) / F.col("cu") / without)
-    more = counts.pairs.where((F.col("key") < 0) | (F.col("n_fit") + F.col("n_held") < counts.cached)).select("key", beyond.alias("beyond"))
-    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
-    names = ["row", "doc_id", "fold", "n_tokens", "n_known", "base", "score"]
-    of_pairs = parts.where("times > 0").select("row", "key", "times").join(more, "key").select("row", none.alias("doc_id"), F.lit(-1).cast("long").alias("fold"), zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("base"), (F.col("times") * F.col("beyond")).alias("score"))
-    rare = parts.where("times > 0 and key < 0").select("row", "key", "context", "word", "cu", "cv", "times", (F.col("cv") < 0).alias("_rare"))
-    rare = _looked_up(_looked_up(rare, counts.words, "word", ("cv",), "key"), counts.words, "context", ("cu",), "key")
-    c, own = F.col("cv"), F.col("_rare")
-    of_rare = rare.select(
-        "row", none.alias("doc_id"), F.lit(-1).cast("long").alias("fold"), zero.alias("n_tokens"), F.when(own & (c > 0), F.col("times")).otherwise(0).alias("n_known"),
-        F.when(own, F.col("times") * F.log10(c + 0.1)).otherwise(0.0).alias("base"), (F.col("times") * F.log10(without)).alias("score"),
-    )
-    norm = float(np.log10(model.n + 0.1 * (model.v + 1)))
-    summed = parts.where("times = 0").select(*names).unionByName(of_pairs).unionByName(of_rare).groupBy("row").agg(*(f("%s" % x).alias(x) for x, f in zip(names[1:], [F.max, F.max, F.sum, F.sum, F.sum, F.sum])))
-    return summed.select("doc_id", (F.col("fold") == TEST).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`fit`, and :func:`score` of the same documents, with each key asked for once. Rows that repeat an id are learned from each."""
+    model, counts = _fitted(docs, id_col, text_col)
+    return _scores(counts, model)
 
 
 def op8_language_model(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, *fit(docs))
+    return fit_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
