@@ -168,7 +168,9 @@ def asked(stored: DataFrame, shares: int) -> DataFrame:
                     order, cuts = _dealt(keys, shares)
                     columns = [keys.astype("<u8")[order]] + [np.bincount(place[some], minlength=len(keys))[order] for some in (fold > HELD, fold == HELD)]
                     blobs += [[(packed(c[a:b]) if k else c[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])] for k, c in enumerate(columns)]
-                yield _rows(_ASK, [pa.array(np.arange(shares), pa.int32()), pa.array(np.full(shares, row["p"])), *(pa.array(b, pa.binary()) for b in blobs)])
+                # Only shares with a key, so rows never outnumber a portion's keys.
+                some = [k for k in range(shares) if blobs[0][k] or blobs[3][k]]
+                yield _rows(_ASK, [pa.array(some, pa.int32()), pa.array([row["p"]] * len(some), pa.int64()), *(pa.array([b[k] for k in some], pa.binary()) for b in blobs)])
 
     return stored.mapInArrow(run, _ASK)
 

@@ -1,5 +1,6 @@
+import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -18,24 +19,25 @@ def fold(i):
     return zlib.crc32(b"" if i is None else str(i).encode()) % 10
 
 
-def brute(docs, weights_of, pair_share, word_share):
-    """Plain Python version of score(), with the mixture's weights given for each context count (None: rare)."""
-    train = [tokens(t) for i, t in docs if fold(i)]
-    c = Counter(w for t in train for w in t)
+def counts_of(texts):
+    """Words, bigrams, and contexts of some token lists."""
+    c = Counter(w for t in texts for w in t)
+    return c, Counter(p for t in texts for p in zip([" begin", *t[:-1]], t)), {**c, " begin": len(texts)}
+
+
+def bucket(count):
+    return 1 + int(math.floor(math.log2(count))) if count else 0
+
+
+def brute(docs, weights):
+    """Plain Python version of score(), with the mixture's weights given."""
+    c, pairs, context = counts_of([tokens(t) for i, t in docs if fold(i)])
     n, v = sum(c.values()), len(c)
-    frequent = {w for w in c if c[w] >= word_share * n} | {" end"}
-    pairs = Counter(p for t in train for p in zip([" begin", *t[:-1]], t))
-    kept = {p: k for p, k in pairs.items() if k >= pair_share * n and p[1] in frequent and (p[0] in frequent or p[0] == " begin")}
-    context = {**c, " begin": len(train)}
-    rest = Counter()
-    for (a, _), k in kept.items():
-        rest[a] += k
 
     def chance(a, b):
-        one = c[b] / max(1, n)
-        known = a in frequent or a == " begin"
-        two = kept.get((a, b), 0) / max(1, context[a]) + (1 - rest[a] / max(1, context[a]) if context[a] else 1) * one if known else one
-        w = weights_of(context[a] if known else None)
+        one, seen = c[b] / max(1, n), context.get(a, 0)
+        two = pairs[a, b] / seen if seen else one
+        w = weights[min(bucket(seen), len(weights) - 1)]
         return w[0] * two + w[1] * one + w[2] / (v + 1)
 
     out = []
@@ -47,19 +49,67 @@ def brute(docs, weights_of, pair_share, word_share):
     return out
 
 
-@pytest.mark.parametrize("shares", [(lm.WORD_SHARE, lm.PAIR_SHARE), (2e-4, 1e-4)])
-def test_against_brute_force(spark, sf_dir, shares):
+def brute_weights(docs, n_buckets, near=lambda x: x, rounds=60):
+    """Expectation-maximisation bigram by bigram; ``near`` rounds an estimate's ratio to 1 / (V + 1)."""
+    c, pairs, context = counts_of([tokens(t) for i, t in docs if fold(i) > 1])
+    n, v = sum(c.values()), len(c)
+    held = defaultdict(list)
+    for i, t in docs:
+        if fold(i) == 1:
+            t = tokens(t)
+            for a, b in zip([" begin", *t[:-1]], t):
+                one, seen = c[b] / max(1, n), context.get(a, 0)
+                two = pairs[a, b] / seen if seen else one
+                held[bucket(seen)].append((near(two * (v + 1)), near(one * (v + 1)), 1.0))
+
+    def learn(estimates):
+        w = [0.4, 0.5, 0.1]
+        for _ in range(rounds):
+            total = [0.5, 0.5, 0.5]
+            for e in estimates:
+                mix = sum(x * y for x, y in zip(w, e))
+                for k in range(3):
+                    total[k] += w[k] * e[k] / mix
+            w = [x / sum(total) for x in total]
+        return w
+
+    every = learn([e for some in held.values() for e in some]) if held else [0.4, 0.5, 0.1]
+    return np.array([learn(held[b]) if held.get(b) else every for b in range(n_buckets)])
+
+
+def rows_of(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
-    model, words = lm.fit(frame, word_share=shares[0], pair_share=shares[1])
+    return frame, [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+
+
+def same(got, expected):
+    expected = {r[0]: r for r in expected}
+    assert {r[0] for r in got} == set(expected) and len(got) == len(expected)
+    for r in map(tuple, got):
+        assert r[:5] == expected[r[0]][:5]
+        assert np.allclose(r[5:], expected[r[0]][5:], rtol=1e-9)
+
+
+@pytest.mark.parametrize("portion, share", [(lm.PORTION, lm.SHARE_TOKENS), (20_000, 3_000)])
+def test_against_brute_force(spark, sf_dir, monkeypatch, portion, share):
+    monkeypatch.setattr(lm, "PORTION", portion)
+    monkeypatch.setattr(lm, "SHARE_TOKENS", share)
+    frame, docs = rows_of(spark, sf_dir)
+    model = lm.fit(frame)
     assert np.allclose(model.weights.sum(axis=1), 1) and (model.weights > 0).all()
-    weights_of = lambda c: model.weights[0 if c is None else 1 + int(np.log2(max(c, 1)))]
-    expected = {r[0]: r for r in brute(docs, weights_of, *shares[::-1])}
-    got = {r.doc_id: tuple(r) for r in lm.score(frame, model, words).collect()}
-    assert set(got) == set(expected)
-    for i, r in got.items():
-        assert r[:5] == expected[i][:5]
-        assert np.allclose(r[5:], expected[i][5:], rtol=1e-9)
+    expected = brute(docs, model.weights)
+    same(lm.score(frame, model).collect(), expected)
+    same(lm.fit_and_score(frame).collect(), expected)
+
+
+def test_weights_against_brute_force(spark, sf_dir):
+    frame, docs = rows_of(spark, sf_dir)
+    docs = docs[:150]
+    weights = lm.fit(spark.createDataFrame(docs, "doc_id long, text string")).weights
+    near = lambda x: 2 ** (round(lm.CELLS * math.log2(x)) / lm.CELLS) if x else 0.0
+    assert np.allclose(weights, brute_weights(docs, len(weights), near), atol=1e-6)
+    # The grid of estimates moves the weights but little.
+    assert np.abs(weights - brute_weights(docs, len(weights))).max() < 0.03
 
 
 def test_model_beats_the_base_on_held_out_texts(spark, sf_dir):
@@ -67,56 +117,13 @@ def test_model_beats_the_base_on_held_out_texts(spark, sf_dir):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_probabilities_add_up_to_one(spark):
-    texts = [(i, " ".join("abcde"[(i * k) % 5] for k in range(1, 9))) for i in range(40)]
-    frame = spark.createDataFrame(texts, "doc_id long, text string")
-    model, words = lm.fit(frame)
-    known = ["a", "b", "c", "d", "e", "unseen"]
-    probes = spark.createDataFrame([(k, f"a {w}") for k, w in enumerate(known)] + [(9, "a")], "doc_id long, text string")
-    s = {r.doc_id: r.score for r in lm.score(probes, model, words).collect()}
-    # P(w | a) for each word, by taking P(a) and P(end | w) off; the end after a comes from the text "a".
-    w = model.context_weights
-    total = 0.0
-    for k, x in enumerate(known):
-        h = np.uint64(lm.xxhash.xxh64_intdigest(x.encode()))
-        end = np.uint64(lm.xxhash.xxh64_intdigest(lm.END))
-        u, e, b = (int(model.vocabulary.index(np.array([z]))[0]) for z in (h, end, np.uint64(lm.xxhash.xxh64_intdigest(b"a"))))
-
-        def p(ctx, v):
-            one = model.vocabulary.n[v] / model.n if v != model.vocabulary.rare else 0.0
-            two = model.bigrams.estimate(np.array([ctx]), np.array([v]), np.array([one]))[0]
-            return w[ctx] @ [two, one, 1 / (model.v + 1)]
-
-        first = p(model.vocabulary.begin, b)
-        total += 10 ** s[k] / first / p(u, e)
-        last = 10 ** s[9] / first
-    assert total + last == pytest.approx(1, abs=1e-9)
-
-
 def test_edge_cases(spark):
     rows = [(None, "a b", 1), (1, None, 2), (2, "", 3), (2, "", 3), (3, "word " * 50_000, 4), (4, "A\x0bb\tunseen\x0c", 5)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, word int")
-    model, words = lm.fit(frame)
-    out = lm.score(frame, model, words).collect()
+    out = lm.fit_and_score(frame).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in out) == [(-1, 3), (1, 1), (2, 1), (2, 1), (3, 50_001), (4, 4)]
     assert all(np.isfinite(r.score) for r in out)
     empty = frame.limit(0)
-    model, words = lm.fit(empty)
-    assert lm.score(empty, model, words).count() == 0
-    assert all(np.isfinite(r.score) for r in lm.score(frame, model, words).collect())
-
-
-@pytest.mark.parametrize("cached", [(300, 100), (0, 0)])
-def test_nothing_is_pruned_whatever_is_broadcast(spark, sf_dir, cached):
-    frame = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
-    docs = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    whole, _ = lm.fit(frame)
-    model, counts = lm.fit(frame, cached_words=cached[0], cached_pairs=cached[1])
-    assert len(model.vocabulary.words) < len(whole.vocabulary.words)
-    assert np.allclose(model.weights, whole.weights)
-    weights_of = lambda c: model.weights[0 if c is None else 1 + int(np.log2(max(c, 1)))]
-    expected = {r[0]: r for r in brute(docs, weights_of, 0, 0)}
-    for r in map(tuple, lm.score(frame, model, counts).collect()):
-        assert r[:5] == expected[r[0]][:5]
-        assert np.allclose(r[5:], expected[r[0]][5:], rtol=1e-9)
+    model = lm.fit(empty)
+    assert lm.score(empty, model).count() == 0 and lm.fit_and_score(empty).count() == 0
+    assert all(np.isfinite(r.score) for r in lm.score(frame, model).collect())
