@@ -32,9 +32,11 @@ FOLDS = 10
 #: Documents of fold 0 are not learned from; those of fold 1 weight the mixture, the others are fitted on.
 TEST, HELD = 0, 1
 #: Characters of text in a portion, about.
-PORTION = 5_000_000
+PORTION = 4_000_000
 #: Tokens for which there is one share of the keys, about; bounds a task's memory, not what is counted.
 SHARE_TOKENS = 1_000_000
+#: Stored rows are large: row groups end after some 16 MB, so that a reader holds few rows at once.
+ROWS_APART = {"compression": "zstd", "parquet.block.size": str(1 << 24), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Cells of held-out counts per power of two of a ratio of estimates, and the cell of a ratio of zero.
 CELLS = 4
 ZERO = -(10**6)
@@ -44,7 +46,7 @@ END = b" end"
 #: Stands for the context of a text's first token.
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b" begin"))
 
-_PORTION = "p long, ids binary, known binary, folds binary, sizes binary, tokens binary, words binary, tokens_fit long, tokens_held long, texts_fit long, texts_held long"
+_PORTION = "p long, ids binary, known binary, folds binary, sizes binary, tokens binary, words binary, tokens_fit long, tokens_held long, texts_fit long, texts_held long, tokens_all long"
 _ASK = "share int, p long, words binary, words_fit binary, words_held binary, pairs binary, pairs_fit binary, pairs_held binary"
 _ANSWER = "share int, p long, words binary, words_fit binary, pairs binary, pairs_fit binary, distinct long, distinct_fit long"
 _COUNTED = "ids binary, known binary, folds binary, sizes binary, tokens binary, words binary, pairs binary, cells array<struct<b:int,two:int,one:int,n:long>>"
@@ -55,12 +57,28 @@ def _rows(schema: str, columns: list) -> pa.RecordBatch:
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers from 0 by planes of bytes, which compress well when they are small."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers from 0 by as many planes of bytes as the largest has, after a byte that tells how many."""
+    if not len(numbers):
+        return b""
+    planes = max(1, -(-int(numbers.max()).bit_length() // 8))
+    return bytes([planes]) + np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    if not data:
+        return np.empty(0, np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    numbers = np.zeros((planes.shape[1], 8), np.uint8)
+    numbers[:, : data[0]] = planes.T
+    return numbers.view("<i8").ravel()
+
+
+def _each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: a portion is large, so a batch's are not unpacked together."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+            pa.default_memory_pool().release_unused()
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -104,7 +122,7 @@ class Portion:
     @classmethod
     def of(cls, row: dict) -> Portion:
         ids = pa.array(np.frombuffer(row["ids"], "<i8"), mask=np.frombuffer(row["known"], np.uint8) == 0)
-        words = np.frombuffer(row["words"], "<u8") if "words_fit" not in row else np.empty(0, np.uint64)
+        words = np.frombuffer(row["words"], "<u8") if "pairs" not in row else np.empty(0, np.uint64)
         return cls(ids, np.frombuffer(row["folds"], np.uint8), unpacked(row["sizes"]), unpacked(row["tokens"]), words)
 
 
@@ -140,12 +158,14 @@ def portions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 x = _portion(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
                 known = x.ids.is_valid().to_numpy(zero_copy_only=False)
                 sums = [int(part[x.folds > HELD].sum() if fit else part[x.folds == HELD].sum()) for part in (x.sizes, np.ones(len(x.sizes), np.int64)) for fit in (True, False)]
+                sums.append(len(x.tokens))
                 blobs = [x.ids.fill_null(0).to_numpy().astype("<i8").tobytes(), known.astype(np.uint8).tobytes(), x.folds.tobytes(), packed(x.sizes), packed(x.tokens), x.words.astype("<u8").tobytes()]
                 yield _rows(_PORTION, [pa.array([p]), *(pa.array([y], pa.binary()) for y in blobs), *(pa.array([y], pa.int64()) for y in sums)])
                 p += 1
+                pa.default_memory_pool().release_unused()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return land(texts.mapInArrow(run, _PORTION), "portions", compression="zstd")
+    return land(texts.mapInArrow(run, _PORTION), "portions", **ROWS_APART)
 
 
 def _dealt(keys: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,19 +178,18 @@ def asked(stored: DataFrame, shares: int) -> DataFrame:
     """For each portion and share of the keys: distinct words and bigrams with how often they occur in fitting and in held-out texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                x = Portion.of(row)
-                fold = x.folds[x.doc]
-                pairs, at = x.pairs()
-                blobs = []
-                for keys, place in ((x.words, x.tokens), (x.pair_keys(pairs), at)):
-                    order, cuts = _dealt(keys, shares)
-                    columns = [keys.astype("<u8")[order]] + [np.bincount(place[some], minlength=len(keys))[order] for some in (fold > HELD, fold == HELD)]
-                    blobs += [[(packed(c[a:b]) if k else c[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])] for k, c in enumerate(columns)]
-                # Only shares with a key, so rows never outnumber a portion's keys.
-                some = [k for k in range(shares) if blobs[0][k] or blobs[3][k]]
-                yield _rows(_ASK, [pa.array(some, pa.int32()), pa.array([row["p"]] * len(some), pa.int64()), *(pa.array([b[k] for k in some], pa.binary()) for b in blobs)])
+        for row in _each_row(batches):
+            x = Portion.of(row)
+            fold = x.folds[x.doc]
+            pairs, at = x.pairs()
+            blobs = []
+            for keys, place in ((x.words, x.tokens), (x.pair_keys(pairs), at)):
+                order, cuts = _dealt(keys, shares)
+                columns = [keys.astype("<u8")[order]] + [np.bincount(place[some], minlength=len(keys))[order] for some in (fold > HELD, fold == HELD)]
+                blobs += [[(packed(c[a:b]) if k else c[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])] for k, c in enumerate(columns)]
+            # Only shares with a key, so rows never outnumber a portion's keys.
+            some = [k for k in range(shares) if blobs[0][k] or blobs[3][k]]
+            yield _rows(_ASK, [pa.array(some, pa.int32()), pa.array([row["p"]] * len(some), pa.int64()), *(pa.array([b[k] for k in some], pa.binary()) for b in blobs)])
 
     return stored.mapInArrow(run, _ASK)
 
@@ -290,14 +309,14 @@ def _learned(counts: DataFrame, model: Model) -> np.ndarray:
 def _fitted(docs: DataFrame, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
     """The model, and the counted portions of its own texts."""
     stored = portions(docs, id_col, text_col)
-    sums = stored.agg(*(F.sum(f"{what}_{k}") for what in ("tokens", "texts") for k in ("fit", "held")), F.sum(F.octet_length("tokens") / 8)).first()
+    sums = stored.agg(*(F.sum(f"{what}_{k}") for what in ("tokens", "texts") for k in ("fit", "held")), F.sum("tokens_all")).first()
     n_fit, n_held, t_fit, t_held, tokens = (int(x or 0) for x in sums)
     shares = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SHARE_TOKENS))
     asks = asked(stored, shares)
     model = Model(n_fit + n_held, n_fit, t_fit + t_held, t_fit, shares, asks)
-    answers = land(asks.groupBy("share").applyInArrow(lambda t: _answers(t, None), _ANSWER), "answers", compression="zstd")
+    answers = land(asks.groupBy("share").applyInArrow(lambda t: _answers(t, None), _ANSWER), "answers", **ROWS_APART)
     model.v, model.v_fit = (x or 0 for x in answers.agg(F.sum("distinct"), F.sum("distinct_fit")).first())
-    counts = land(counted(stored, answers, model), "counted", compression="zstd")
+    counts = land(counted(stored, answers, model), "counted", **ROWS_APART)
     model.weights = _learned(counts, model)
     return model, counts
 
@@ -312,27 +331,26 @@ def _scores(counts: DataFrame, model: Model) -> DataFrame:
     norm = float(np.log10(n + 0.1 * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.select(["ids", "known", "folds", "sizes", "tokens", "words", "pairs"]).to_pylist():
-                x = Portion.of(row)
-                words = unpacked(row["words"])
-                # Portion.contexts with the counts in the words' place.
-                x.words = words
-                d, doc, c = len(x.sizes), x.doc, words[x.tokens]
-                cu = np.append(words, texts)[x.contexts()]
-                w = weights[np.minimum(buckets(cu), len(weights) - 1)]
-                one = c / max(1, n)
-                two = np.where(cu > 0, unpacked(row["pairs"]) / np.maximum(cu, 1), one)
-                chance = w[:, 0] * two + w[:, 1] * one + w[:, 2] / (v + 1)
-                add = lambda y: pa.array(np.bincount(doc, y, d))
-                known = np.bincount(doc, c > 0, d).astype(np.int64)
-                base = np.bincount(doc, np.log10(c + 0.1), d) - x.sizes * norm
-                yield pa.RecordBatch.from_arrays(
-                    [x.ids, pa.array(x.folds == TEST), pa.array(x.sizes), pa.array(known), pa.array(np.full(d, n)), pa.array(base), add(np.log10(chance))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return counts.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for row in _each_row(batches):
+            x = Portion.of(row)
+            words = unpacked(row["words"])
+            # Portion.contexts with the counts in the words' place.
+            x.words = words
+            d, doc, c = len(x.sizes), x.doc, words[x.tokens]
+            cu = np.append(words, texts)[x.contexts()]
+            w = weights[np.minimum(buckets(cu), len(weights) - 1)]
+            one = c / max(1, n)
+            two = np.where(cu > 0, unpacked(row["pairs"]) / np.maximum(cu, 1), one)
+            chance = w[:, 0] * two + w[:, 1] * one + w[:, 2] / (v + 1)
+            add = lambda y: pa.array(np.bincount(doc, y, d))
+            known = np.bincount(doc, c > 0, d).astype(np.int64)
+            base = np.bincount(doc, np.log10(c + 0.1), d) - x.sizes * norm
+            yield pa.RecordBatch.from_arrays(
+                [x.ids, pa.array(x.folds == TEST), pa.array(x.sizes), pa.array(known), pa.array(np.full(d, n)), pa.array(base), add(np.log10(chance))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return counts.select("ids", "known", "folds", "sizes", "tokens", "words", "pairs").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
