@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, land
+from .shared import SPACE, keep_rows, land
 
 #: Characters of the normalised text that lead the sort key; the digest that follows tells longer texts apart.
 PREFIX = 32
@@ -69,6 +69,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed(True)
 
 
+def _normalised(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+", "")
+
+
+def _rank(rank: str | None) -> Column:
+    return F.coalesce(F.expr(rank or "0L").cast("long"), F.lit(1 - 2**63))
+
+
 def groups_of_equals(docs: DataFrame, rank: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose texts are equal once ASCII white space is deleted.
 
@@ -85,11 +93,10 @@ def groups_of_equals(docs: DataFrame, rank: str | None = None, id_col: str = "do
     null id comes first among equals; rows that repeat an id count each for the group's size and share
     the id's verdict; an empty table gives no rows; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.expr(rank or "0L").cast("long"), F.lit(1 - 2**63)).alias("rank"),
-        F.regexp_replace(text, f"{SPACE}+", "").alias("norm"),
+        _rank(rank).alias("rank"),
+        _normalised(text_col).alias("norm"),
     ).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
     key = [F.substring("norm", 1, PREFIX), F.col("text_sha256")]
     ordered = rows.repartitionByRange(*key, F.col("doc_id")).sortWithinPartitions(*key, F.col("norm"), F.desc("rank"), F.col("doc_id"))
@@ -113,9 +120,14 @@ def groups_of_equals(docs: DataFrame, rank: str | None = None, id_col: str = "do
 
 
 def drop_copies(docs: DataFrame, rank: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the copies that :func:`groups_of_equals` drops, with all their columns."""
-    dropped = groups_of_equals(docs, rank, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each group of :func:`groups_of_equals`, with all its columns.
+
+    Defined cases: as there; rows are told by id and text, so of rows that repeat an id each text keeps
+    one; rows alike in both leave one, of the greatest rank; null ids are ids like others; any further
+    columns are kept.
+    """
+    verdicts = groups_of_equals(docs, rank, id_col, text_col).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    return keep_rows(docs, verdicts, id_col, F.sha2(_normalised(text_col).cast("binary"), 256), _rank(rank))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

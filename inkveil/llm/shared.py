@@ -69,3 +69,30 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, row: list[str]
     """
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt_of(*map(F.col, row), salts=salts)).join(spread, [key, "_salt"], "left").drop("_salt")
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, led by as many underscores as no column of ``frames`` has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, digest: Column, prefer: Column) -> DataFrame:
+    """Rows of ``docs`` that ``verdicts`` (``doc_id, digest, kept``; a row for each of ``docs``) keep, with all their columns.
+
+    A row is told by its id and digest, so rows that repeat an id with other texts have verdicts of
+    their own. Of rows alike in both, the one with the greatest ``prefer`` stays; only those are aggregated.
+    """
+    i, d, row = unused("_id", docs), unused("_digest", docs), unused("_row", docs)
+    known = verdicts.select(F.col("doc_id").alias(i), F.col("digest").alias(d), F.col("kept").alias(row))
+    dropped = known.where(~F.col(row)).select(i, d).distinct()
+    repeated = land(known.where(F.col(row)).groupBy(i, d).agg(F.count("*").alias(row)).where(F.col(row) > 1).select(i, d), "repeated")
+    alike = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & digest.eqNullSafe(F.col(d))
+    if repeated.isEmpty():
+        return docs.join(dropped, alike, "left_anti")
+    plain = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    best = F.max_by(F.struct(*docs.columns), F.struct(prefer, F.xxhash64(*plain)))
+    once = docs.join(repeated, alike, "left_semi").groupBy(F.col(id_col).alias(i), digest.alias(d)).agg(best.alias(row)).select(f"{row}.*")
+    return docs.join(dropped.unionByName(repeated), alike, "left_anti").unionByName(once)

@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import land, salted_left_join
+from .shared import keep_rows, land, salted_left_join
 
 BITS = 64
 SEED = 42
@@ -42,15 +42,16 @@ def fingerprint(text: str | None, words: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every whole text, as a signed long of the same bits."""
+def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+    """``doc_id, fp, digest``: the fingerprint of every whole text, as a signed long of the same bits, and what the caller tells rows by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    told = F.lit(None).cast("string") if digest is None else digest
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), told.alias("digest")).mapInArrow(run, "doc_id long, fp long, digest string")
 
 
 def _signed(bits: tuple[int, ...]) -> int:
@@ -122,25 +123,35 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str =
     words than a shingle are one shingle; null ids are never a group's smallest unless it has no
     other; repeated rows each come back; an empty table gives no rows; other columns are ignored.
     """
-    marked = land(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    firsts = land(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    found = land(links(firsts.select("fp"), radius), "links")
-    roots = components(found)
-    linked = land(roots.join(firsts, roots.node == firsts.fp).select("fp", "root", "first_id"), "roots")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("smallest"))
+    return _grouped(docs, words, radius, id_col, text_col).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, words: int, radius: int, id_col: str, text_col: str, digest: Column | None = None) -> DataFrame:
+    """``doc_id, fp, digest, best`` for each row; ``best``: its group's smallest ``doc_id``, null last, and of its rows the smallest ``digest``."""
+    marked = land(fingerprints(docs, words, id_col, text_col, digest), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    firsts = land(marked.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
+    roots = components(land(links(firsts.select("fp"), radius), "links"))
+    linked = land(roots.join(firsts, roots.node == firsts.fp).select("fp", "root", "first"), "roots")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
     named = linked.join(smallest, "root").select("fp", "smallest")
-    ids = firsts.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first_id").alias("component_id"))
+    best = firsts.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("best"))
     # A hot fingerprint may hold a third of the documents: salted on the document.
-    return salted_left_join(marked, ids, "fp", ["doc_id"]).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return salted_left_join(marked, best, "fp", ["doc_id", "digest"])
 
 
 def one_of_each_group(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each near-duplicate group only, with all their columns."""
-    gone = near_groups(docs, words, radius, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each group of :func:`near_groups`, that with the smallest id, with all its columns.
+
+    Defined cases: as there; rows are told by id and text, so rows that repeat an id with texts of
+    other groups stay; of rows of a group that share its smallest id one stays; a null id stays only if its
+    group has no other; any further columns are kept.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    marked = _grouped(docs, words, radius, id_col, text_col, digest)
+    verdicts = marked.select("doc_id", "digest", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))).alias("kept"))
+    return keep_rows(docs, verdicts, id_col, digest, F.lit(0))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
-
-

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from inkveil.llm.quality import judge
 
@@ -33,3 +35,16 @@ def test_a_long_clean_text_stays(spark, sf_dir):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert not judge(docs).first().kept
     assert corpus_pipeline.keep_quality(spark, docs, sf_dir).count() == 1
+
+
+def test_dedup_stages_tell_rows_by_id_and_text(spark, sf_dir):
+    rows = [(3, "a", 1), (5, "a", 2), (5, "b c", 3), (5, "bc", 9), (7, "d", 4), (7, "d", 4), (None, "a", 5), (None, "e", 6), (None, "e", 7), (None, "f", 8), (8, None, 0), (9, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int").select("doc_id", "text", "_id", "_id", F.lit(1).alias("kept")).toDF("doc_id", "text", "_id", "digest", "kept")
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, sf_dir)
+    assert exact.columns == docs.columns
+    got = sorted(((r.doc_id or 0), r.text or "") for r in exact.collect())
+    assert got == [(0, "a"), (0, "e"), (0, "f"), (5, "b c"), (7, "d"), (8, "")]
+    near = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert near.columns == docs.columns
+    got = sorted(((r.doc_id or 0), r.text or "") for r in near.collect())
+    assert got == [(0, "e"), (0, "f"), (3, "a"), (5, "b c"), (5, "bc"), (7, "d"), (8, "")]
