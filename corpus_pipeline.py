@@ -15,12 +15,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space, the longest, then the one with the smallest id."""
+    """Of texts equal but for white space, the longest, then the one with the smallest id.
+
+    Null texts are empty; repeated rows leave one; a repeated or null id loses no other text.
+    """
     return exact_dedup.drop_copies(docs, rank="length(coalesce(text, ''))")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links, the document with the smallest id."""
+    """Of each group that SimHash links, the document with the smallest id.
+
+    Null texts are empty; repeated rows leave one; a repeated id loses no text of another group; a null
+    id stays if its group has no other.
+    """
     return simhash.one_of_each_group(docs)
 
 
