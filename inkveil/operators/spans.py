@@ -142,7 +142,7 @@ def candidates(text: Column, index: int, rule: R.Rule, linear: Column | None = N
 
     found = spans(text, rule.java) if linear is None else F.coalesce(linear, spans(text, rule.java))
     kept = F.filter(F.transform(found, judged), lambda c: c.isNotNull())
-    return F.when(text.rlike(rule.pre), kept).otherwise(none)
+    return F.when(text.rlike("(?U)" + rule.pre), kept).otherwise(none)
 
 
 def with_linear(df: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:

@@ -31,9 +31,11 @@ CARD = r"(?:\d{4}[-.\s/]\d{4}[-.\s/]\d{4}[-.\s/]\d{1,7}|\d{13,19})"
 PASSPORT = r"[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 AREA_CODES = "02|031|032|033|041|042|043|044|051|052|053|054|055|061|062|063|064|070|080"
-PHONE = rf"(?:01[016789][-.\s]?\d{{3,4}}[-.\s]?\d{{4}}(?:,\s?\d{{4}}){{0,99}})|(?:\(?(?:{AREA_CODES})\)?[-.\s]?\d{{3,4}}[-.\s]?\d{{4}}(?:,\s?\d{{4}}){{0,99}})"
-PHONE_BARE = r"(?:\(\d{1,4}\)[-.\s]?)?\d{3,4}[-.\s]?\d{4}(?:,\s?\d{4}){0,99}"
-PHONE_LOCAL = r"\d{3,4}[-.]\d{4}(?:,\s?\d{4}){0,99}"
+#: Further last numbers of a phone number's line, as they stand in the patterns below.
+TAILS = r"(?:,\s?\d{4})*"
+PHONE = rf"(?:01[016789][-.\s]?\d{{3,4}}[-.\s]?\d{{4}}(?:,\s?\d{{4}})*)|(?:\(?(?:{AREA_CODES})\)?[-.\s]?\d{{3,4}}[-.\s]?\d{{4}}(?:,\s?\d{{4}})*)"
+PHONE_BARE = r"(?:\(\d{1,4}\)[-.\s]?)?\d{3,4}[-.\s]?\d{4}(?:,\s?\d{4})*"
+PHONE_LOCAL = r"\d{3,4}[-.]\d{4}(?:,\s?\d{4})*"
 ACCOUNT = r"\d{2,6}[-\s]\d{2,6}[-\s]\d{1,6}(?:[-\s]\d{1,6})?"
 _MONTH, _DAY = "(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12]\d|0?[1-9])"
 BIRTH = rf"(?:(?:18|19|20)\d{{2}}|\d{{2}})(?:\s*년\s*{_MONTH}\s*월\s*{_DAY}\s*일|\s*[.\-/]\s*{_MONTH}\s*[.\-/]\s*{_DAY}\s*\.?)"
@@ -47,9 +49,8 @@ STRONG_REGION = rf"(?:{_SIDO}{_GU}{{1,2}}|{_SHORT}{_GU}{{1,2}})"
 TOWN = r"(?:[가-힣]{1,10}\s{0,2}(?:읍|면)\s*)?"
 ROAD = r"[가-힣A-Za-z0-9]{1,20}\s{0,2}(?:대로|로|길)\s*\d+(?:-\d+)?"
 LOT = r"[가-힣]{1,10}[\s\d]{0,3}(?:읍|면|동|리)\s*\d+(?:-\d+)?(?:번지)?"
-# The optional comma binds its white space, so that a long run of blanks is read once; repeats are bounded, as
-# Java's matcher calls itself for each.
-DETAIL = r"(?:\s*(?:,\s*)?(?:[A-Za-z0-9]{1,4}\s*(?:동|층|호|가|번지)|\d{1,3}\s*-\s*\d{1,3})){0,50}"
+# The optional comma binds its white space, so that a long run of blanks is read once.
+DETAIL = r"(?:\s*(?:,\s*)?(?:[A-Za-z0-9]{1,4}\s*(?:동|층|호|가|번지)|\d{1,3}\s*-\s*\d{1,3}))*"
 DONG = r"[가-힣]{1,6}[\s\d]{0,3}(?:동|리)"
 DAMAGED_DONG = r"[가-힣]{2,5}(?:를|롱|둥|등)"
 BRANDS = r"자이|래미안|힐스테이트|더\s?샵|롯데캐슬|푸르지오|편한세상|SK\s?뷰|아이파크|위브"
@@ -90,9 +91,14 @@ class Rule:
 
     @property
     def java(self) -> str:
-        """The pattern with Unicode classes, as in the other dialects that it has to agree with."""
-        core = rf"(?<!\d)(?:{self.pattern})(?!\d)" if self.digit_boundary else self.pattern
-        return "(?U)" + core
+        """The pattern with Unicode classes, as in the other dialects that it has to agree with.
+
+        Java's matcher calls itself for each repeat of a group unless the repeat is possessive. Tails and
+        details end a pattern, where giving repeats back cannot help, so they are made so: any number matches.
+        """
+        if self.digit_boundary:
+            return rf"(?U)(?<!\d)(?:{self.pattern})(?!\d)"
+        return "(?U)" + self.pattern.replace(TAILS, TAILS + "+").replace(DETAIL, DETAIL + "+")
 
 
 _FAX_OR_PHONE = (Anchor(FAX_WORDS, "FaxNumber"), Anchor(PHONE_WORDS))

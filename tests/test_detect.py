@@ -141,3 +141,18 @@ def test_linear_matches_are_javas(spark):
     for c in ("t", "every"):
         rows = df.select(linear_spans(F.col(c), tuple(r.pattern for r in rules)).alias("a"), F.array(*(spans(F.col(c), r.java) for r in rules)).alias("b")).collect()
         assert all(r.a == r.b for r in rows) and any(any(r.a) for r in rows)
+
+
+@pytest.mark.parametrize("n", [105, 10_000])
+def test_lists_of_any_length(spark, n):
+    tails = ", ".join(f"{i % 10_000:04}" for i in range(n))
+    details = " ".join(f"{i % 900 + 1}동" for i in range(n))
+    texts = [(1, f"연락처 010-1234-5678, {tails}"), (2, f"전송: 2679-8328, {tails}"), (3, f"주소: 서울특별시 강남구 테헤란로 123 {details}")]
+    finds = {r.doc_id: r.content for r in detect(spark.createDataFrame(texts, "doc_id long, text string").withColumn("page_index", F.lit(0))).collect()}
+    assert finds == {i: t.partition(" ")[2] for i, t in texts}
+
+
+def test_prefilters_see_other_digits_and_blanks(spark):
+    texts = [(1, "주민등록번호 ٩٠١٢٣١-١٢٣٤٥٦٣ 확인"), (2, "계좌 123 45 678901 로 입금")]
+    found = detect(spark.createDataFrame(texts, "doc_id long, text string").withColumn("page_index", F.lit(0))).collect()
+    assert {(r.doc_id, r.category, r.content) for r in found} == {(1, "RRN", "٩٠١٢٣١-١٢٣٤٥٦٣"), (2, "BankAccount", "123 45 678901")}
