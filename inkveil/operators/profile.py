@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import fingerprint, has_text
+from inkveil.sources.scratch import land
 
 
 def profile(pages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -39,19 +40,19 @@ def same_source(opened: DataFrame, saved: DataFrame) -> DataFrame:
 def preorder(outline: DataFrame) -> DataFrame:
     """Add ``depth`` and ``position`` (pre-order, from 0) to outline nodes (``doc_id, node_id, parent_id, ord, title, page_index``).
 
-    A recursive query walks the tree by level; a node's path of ordinals sorts parents before children.
+    Paths double: in each round a node puts its ancestor's path before its own and goes on from there, so a
+    tree takes as many rounds as the logarithm of its depth. A node's path of ordinals sorts parents
+    before children. Nodes that reach no root are left out; parents in a circle are an error.
     """
-    outline.createOrReplaceTempView("_outline")
-    paths = outline.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(doc_id, node_id, path) AS (
-          SELECT doc_id, node_id, array(ord) FROM _outline WHERE parent_id IS NULL
-          UNION ALL
-          SELECT o.doc_id, o.node_id, concat(w.path, array(o.ord)) FROM _outline o JOIN walk w ON o.doc_id = w.doc_id AND o.parent_id = w.node_id
-        )
-        SELECT * FROM walk
-        """
-    )
+    paths = land(outline.select("doc_id", "node_id", F.col("parent_id").alias("up"), F.array("ord").alias("path")))
+    reach, nodes = 1, outline.count()
+    while not paths.where(F.col("up").isNotNull()).isEmpty():
+        if reach > nodes:
+            raise ValueError("an outline has parents in a circle")
+        above = paths.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        climbed = paths.where(F.col("up").isNotNull()).join(above, ["doc_id", "up"]).select("doc_id", "node_id", F.col("next").alias("up"), F.concat("head", "path").alias("path"))
+        paths, reach = land(paths.where(F.col("up").isNull()).unionByName(climbed)), 2 * reach
+    paths = paths.drop("up")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("path", "node_id")) - 1
     return outline.join(paths, ["doc_id", "node_id"]).withColumn("depth", F.size("path") - 1).withColumn("position", place).drop("path")
 

@@ -115,10 +115,10 @@ def reanchor(items: DataFrame, pages: DataFrame, text_col: str = "text") -> Data
 
 
 def shift_group(items: DataFrame, dx: float, dy: float, keys: list[str] | None = None) -> DataFrame:
-    """Move each group (by ``keys``) by one shift, cut so that the whole group stays on the page."""
+    """Move each group (by ``keys``) by one shift, cut so that the whole group stays on the page; one larger than the page ends at its left or top."""
     w = Window.partitionBy(*(keys or PAGE))
     b = F.col("bbox")
-    cut = lambda d, low, high: F.least(F.greatest(F.lit(d), -low), 1 - high)
+    cut = lambda d, low, high: F.greatest(F.least(F.lit(d), 1 - high), -low)
     x = cut(dx, F.min(b["x"]).over(w), F.max(b["x"] + b["width"]).over(w))
     y = cut(dy, F.min(b["y"]).over(w), F.max(b["y"] + b["height"]).over(w))
     return items.withColumn("_dx", x).withColumn("_dy", y).withColumn("bbox", geometry.box(b["x"] + F.col("_dx"), b["y"] + F.col("_dy"), b["width"], b["height"])).drop("_dx", "_dy")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,18 @@ def page_glyphs(raw: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "page_index").agg(F.transform(F.array_sort(F.collect_list(glyph)), lambda g: g.dropFields("n")).alias("glyphs"))
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Review documents, one JSON file or line each. Unknown fields are ignored, missing zones and items are empty, broken JSON is an error."""
-    docs = spark.read.schema(REVIEW_SCHEMA).option("mode", "FAILFAST").json(path)
+def read_reviews(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """Review documents: one to a line, or with ``pretty`` one to a file over any number of lines.
+
+    Unknown fields are ignored, missing zones and items are empty, broken JSON is an error; a path that
+    does not exist has no documents.
+    """
+    try:
+        docs = spark.read.schema(REVIEW_SCHEMA).option("mode", "FAILFAST").option("multiLine", pretty).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        docs = spark.createDataFrame([], REVIEW_SCHEMA)
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(docs.schema[c].dataType)).alias(c)
     return docs.select("doc_id", "source", empty("pages"), empty("items"), "history", empty("exclusion_zones"))
 
@@ -52,8 +62,11 @@ def review_path(path):
     return F.concat(path, F.lit(REVIEW_SUFFIX))
 
 
-def assemble_reviews(sources: DataFrame, pages: DataFrame, items: DataFrame, history: DataFrame, zones: DataFrame) -> DataFrame:
-    """One nested review document for each source; each part is gathered by document before the join."""
+def assemble_reviews(sources: DataFrame, pages: DataFrame, items: DataFrame, history: DataFrame, zones: DataFrame, cursors: DataFrame | None = None) -> DataFrame:
+    """One nested review document for each source, as :func:`read_reviews` reads it; each part is gathered by document before the join.
+
+    ``cursors`` (``doc_id, cursor``) tells how much of a history holds; without it all does.
+    """
 
     def part(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in df.columns if c != "doc_id")))).alias(name))
@@ -62,7 +75,10 @@ def assemble_reviews(sources: DataFrame, pages: DataFrame, items: DataFrame, his
     for df, name in ((pages, "pages"), (items, "items"), (history, "history"), (zones, "exclusion_zones")):
         gathered = part(df, name)
         out = out.join(gathered, "doc_id", "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(gathered.schema[name].dataType)))
-    return out
+    told = F.lit(None).cast("int")
+    if cursors is not None:
+        out, told = out.join(cursors.select("doc_id", F.col("cursor").alias("_cursor")), "doc_id", "left"), F.col("_cursor")
+    return out.withColumn("history", F.struct(F.col("history").alias("entries"), F.coalesce(told, F.size("history")).cast("int").alias("cursor"))).drop("_cursor")
 
 
 def exchange_rows(items: DataFrame, filenames: DataFrame) -> DataFrame:
@@ -106,8 +122,6 @@ def imported_items(rows: DataFrame, now) -> DataFrame:
 
 def read_excluded(spark: SparkSession, path: str) -> list[str]:
     """Excluded categories, a short list kept as JSON lines (``category``); none if nothing was saved."""
-    from pyspark.errors import AnalysisException
-
     try:
         return [r.category for r in spark.read.schema("category string").json(path).collect()]
     except AnalysisException as e:

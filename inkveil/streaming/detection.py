@@ -35,5 +35,5 @@ def save_latest(states: DataFrame, path: str, checkpoint: str, every: str = "800
 
 
 def latest_states(spark, path: str) -> DataFrame:
-    """The last state of each document over all batches."""
-    return spark.read.parquet(path).groupBy("doc_id").agg(F.max_by(F.struct("at", "state"), "batch").alias("s")).select("doc_id", "s.*")
+    """The state of each document with the latest ``at`` over all batches; of several the last batch's."""
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.max_by(F.struct("at", "state"), F.struct("at", "batch")).alias("s")).select("doc_id", "s.*")

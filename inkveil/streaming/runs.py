@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from inkveil.sources.scratch import work_folder
+
 
 def folder_of(spark: SparkSession, sf_dir: str, table: str) -> tuple[str, str]:
     """Folder and file pattern under which a stream finds a table, which is one file or a folder of files."""
@@ -16,16 +15,6 @@ def folder_of(spark: SparkSession, sf_dir: str, table: str) -> tuple[str, str]:
     return (sf_dir, f"{table}.parquet") if alone else (path, "*.parquet")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a temporary one in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{named}/inkveil-stream/{uuid.uuid4().hex}"
-
-
 def to_end(stream: DataFrame) -> DataFrame:
     """Run a stream over all files there are now, exactly once each, into a Parquet table; return the table."""
     folder = work_folder(stream.sparkSession)
