@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,29 +19,39 @@ SEED = 42
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The SimHash of one text, unsigned; 0 for a text without words.
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of one text, repeats included, in blocks; nothing for a text without words.
 
-    Words are runs without ASCII white space, A-Z lower-cased. Shingles of ``words`` words, repeats
-    included, are joined by a space; a text of fewer words is one shingle. A bit is 1 if it is set in
-    over half the shingles' XXH64.
+    Words are runs without ASCII white space, A-Z lower-cased. Shingles of ``words`` words are joined
+    by a space; a text of fewer words is one shingle.
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in tokens), np.int64, len(tokens)))
     n = max(1, len(tokens) - words + 1)
     last = min(words, len(tokens)) - 1
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[last:] - 1).tolist()
-    counts = np.zeros(BITS, np.int64)
     for at in range(0, n, BLOCK):
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])], np.uint64)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of all hashes, unsigned; 0 if there are none."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in blocks:
+        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """The SimHash of one text's shingles of ``words`` words, unsigned; 0 for a text without words."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
     """``doc_id, fp, digest``: the fingerprint of every whole text, as a signed long of the same bits, and what the caller tells rows by."""
 
@@ -140,18 +150,5 @@ def _grouped(docs: DataFrame, words: int, radius: int, id_col: str, text_col: st
     return salted_left_join(marked, best, "fp", ["doc_id", "digest"])
 
 
-def one_of_each_group(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of :func:`near_groups`, that with the smallest id, with all its columns.
-
-    Defined cases: as there; rows are told by id and text, so rows that repeat an id with texts of
-    other groups stay; of rows of a group that share its smallest id one stays; a null id stays only if its
-    group has no other; any further columns are kept.
-    """
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    marked = _grouped(docs, words, radius, id_col, text_col, digest)
-    verdicts = marked.select("doc_id", "digest", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))).alias("kept"))
-    return keep_rows(docs, verdicts, id_col, digest, F.lit(0))
-
-
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")

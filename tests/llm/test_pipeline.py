@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from inkveil.llm.quality import judge
 
+from .test_near_copies import brute_groups
 from .test_packing import check_places
-from .test_simhash import brute_components, brute_fingerprint
 
 
 def test_pipeline_against_brute_force(spark, sf_dir):
@@ -13,8 +13,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     best = {}
     for i, t in sorted(good.items(), key=lambda x: (-len(x[1]), x[0])):
         best.setdefault("".join(t.translate({c: None for c in (9, 10, 11, 12, 13, 32)})), i)
-    left = {i: brute_fingerprint(good[i]) for i in best.values()}
-    expected = {i for i, c in brute_components(left).items() if i == c}
+    expected = set(brute_groups({i: good[i] for i in best.values()}).values())
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == expected
     assert check_places(rows, 4096) * 4096 < 1.1 * sum(r.length for r in rows) + 4096
