@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm import exact_dedup, packing, quality, simhash
+from inkveil.llm import exact_dedup, near_copies, packing, quality
 from inkveil.llm.shared import land
 
 
@@ -23,12 +23,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links, the document with the smallest id.
+    """Of each group that links of similarity 0.8 or more over five-word shingles make, the document with the smallest id.
 
-    Null texts are empty; repeated rows leave one; a repeated id loses no text of another group; a null
+    SimHash balls and bands of minima gather the candidates, shared shingles decide. Null texts are empty; repeated rows leave one; a repeated id loses no text of another group; a null
     id stays if its group has no other.
     """
-    return simhash.one_of_each_group(docs)
+    return near_copies.one_of_each_group(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
