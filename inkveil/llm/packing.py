@@ -109,9 +109,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
 
     Works on the histogram, which has ``capacity`` entries however many pieces there are. Exact fills
     with two or three others can use up the short pieces that many long ones need; so plans with fills
-    of up to three, two, one and no others are made, and the one with the fewest sequences is taken.
+    of up to three, two and one others are made, and the one with the fewest sequences is taken.
     """
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(times for _, times in p))
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
 
 
 def _plan(counts: dict[int, int], capacity: int, most: int) -> list[Pattern]:
