@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import salted_left_join, shared_path
+from .shared import land, salted_left_join, shared_path
 
 DATE = "2000-01-01T00:00:00Z"
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to array<string>, refers_to string, payload_digest string, payload_bytes long, digest_ok boolean, fields map<string,string>, payload binary"
@@ -198,7 +198,8 @@ def resolve_revisits(found: DataFrame) -> DataFrame:
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    records = read_warc(spark, path).select("record_id", "type", "concurrent_to", "refers_to", "payload_digest", "payload_bytes", "digest_ok", "fields")
+    # Landed, as archives are dear to parse and captures read their records three times.
+    records = land(read_warc(spark, path).select("record_id", "type", "concurrent_to", "refers_to", "payload_digest", "payload_bytes", "digest_ok", "fields"), "records")
     found = resolve_revisits(captures(records))
     page = lambda fields: F.col(fields)["page_id"].cast("long")
     digest = F.when(F.coalesce("response.digest_ok", F.lit(True)), F.col("response.payload_digest")).otherwise(F.raise_error(F.lit("a payload does not have its digest")))
