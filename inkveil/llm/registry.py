@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, packing, quality, sentencepiece_stream, sharding, simhash, token_files, url_filter, warc
+from . import exact_dedup, language_model, packing, quality, sentencepiece_stream, sharding, simhash, token_files, url_filter, warc, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_model": language_model.op8_language_model,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE_SQL = {
