@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, neighbours, packing, quality, sentencepiece_stream, sharding, simhash, token_files, url_filter, warc, whitening
+from . import exact_dedup, hard_negatives, language_model, neighbours, packing, quality, sentencepiece_stream, sharding, simhash, token_files, url_filter, warc, whitening
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_model": language_model.op8_language_model,
     "op9_url_filters": url_filter.op9_url_filters,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_neighbours": neighbours.op12_neighbours,
     "op13_whitening": whitening.op13_whitening,
 }
@@ -22,4 +23,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
 }
