@@ -32,7 +32,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     rows, size = x.shape
     half = 1
     while half < size:
-        pairs = x.reshape(rows, -1, 2, half)
+        pairs = x.reshape(rows, size // (2 * half), 2, half)
         x = np.stack((pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]), axis=2).reshape(rows, size)
         half *= 2
     return x / np.sqrt(size)
