@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import keep_rows, land, salted_left_join
@@ -92,51 +92,64 @@ def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     return own.join(theirs, ["pivot", "copy"]).where(alike).select("node", "pivot")
 
 
+def _by_rare_shingles(nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """``node, pivot``: every pair of ``nodes`` (``node, n, part``) of different parts that can have the similarity.
+
+    Prefix filter: shingles are put in one order, those in the fewest of these texts first. Two sets of that similarity
+    share a shingle among the first of each, n - similarity * n + 1, so an equi-join on these misses no pair; a passage
+    that many unlike texts share stands behind what they have of their own. Of the texts with a shingle, those of the part
+    that has most of them meet only the others, never each other.
+    """
+    listed = nodes.join(shingles, "node").select("node", "n", "part", F.explode("shingles").alias("s"))
+    common = listed.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1")
+    ranked = listed.join(common, "s", "left").groupBy("node", "n", "part").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "s"))).alias("order"))
+    length = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
+    first = ranked.select("node", "n", "part", F.explode(F.slice("order", F.lit(1), length)).alias("o")).where("o.texts > 1")
+    first = land(first.select("node", "n", "part", F.col("o.s").alias("s")), "first")
+    parts = first.groupBy("s", "part").agg(F.count("*").alias("texts"))
+    most = parts.groupBy("s").agg(F.max_by("part", F.struct("texts", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    shared = land(first.join(most.drop("parts"), "s"), "shared")
+    few = shared.where("part <> most").select("s", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("part").alias("pivot_part"))
+    met = shared.join(few, "s").where((F.col("part") != F.col("pivot_part")) & (F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n")))
+    # two of the few meet twice
+    return met.where((F.col("part") == F.col("most")) | (F.col("node") < F.col("pivot"))).select("node", "pivot").distinct()
+
+
 def similar_links(nodes: DataFrame, shingles: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """``a, b``: verified links between ``nodes`` (``node, n, fp, bands``), by bucket and by ball.
-
-    A node is in a bucket for each band of its minima and one for its fingerprint. A bucket's members are compared
-    with its pivot, the member with most company in all its buckets, which is the text that others derive from; so
-    a large group of copies costs a comparison for each copy, not for each pair. Those not linked to it are compared
-    with the next pivots, twice as many each round, until every member was linked to a pivot or compared with all
-    that were left: no bucket has a limit. Fingerprints within ``radius`` bits meet in balls (:func:`simhash.links`)
-    and are verified alike.
+    """``a, b``: verified links that join all of ``nodes`` (``node, n, fp, bands``) which share a bucket or a ball and have the similarity.
+
+    A node is in a bucket for each band of its minima and one for its fingerprint. First every member of a bucket is
+    compared with its pivot, the member with most company in all its buckets, which is the text that others derive
+    from; so a large group of copies costs a comparison for each copy, not for each pair. Fingerprints within ``radius``
+    bits meet in balls (:func:`simhash.links`) and are verified alike. Where a bucket's members then are in more than one
+    part, every pair of different parts that can be similar is found through rare shingles and verified, so
+    no link between parts is lost, and nothing is compared within a part.
     """
     keyed = nodes.select("node", "n", F.explode(F.array_append("bands", F.xxhash64(F.lit("fp"), "fp"))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     crowded = land(salted_left_join(keyed, sizes, "key", ["node"]).where(F.col("size").isNotNull()), "crowded")
     weights = crowded.groupBy("node").agg(F.sum("size").alias("weight"))
-    rest = land(crowded.drop("size").join(weights, "node").select("key", "node", "n", "weight"), "rest")
+    members = land(crowded.drop("size").join(weights, "node").select("key", "node", "n", "weight"), "members")
 
     firsts = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"))
     near = links(firsts.select("fp"), radius)
     side = lambda fp, node, n: firsts.select(F.col("fp").alias(fp), F.col("first.node").alias(node), F.col("first.n").alias(n))
     balls = near.join(side("a", "node", "n"), "a").join(side("b", "pivot", "pivot_n"), "b").select("node", "n", "pivot", "pivot_n")
 
-    found, tried, pivots_at_once = None, None, 1
-    while True:
-        best = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-        pivots = rest.withColumn("place", F.row_number().over(best)).where(F.col("place") <= pivots_at_once)
-        pivots = land(pivots.select("key", F.col("node").alias("pivot"), F.col("n").alias("pivot_n")), "pivots")
-        met = land(salted_left_join(rest, pivots, "key", ["node"]).where(F.col("node") != F.col("pivot")), "met")
-        pairs = met.select("node", "n", "pivot", "pivot_n")
-        pairs = pairs.unionByName(balls) if found is None else pairs
-        fit = F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n")
-        pairs = pairs.where(fit).select("node", "pivot").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "pivot"], "left_anti")
-        pairs = land(pairs, "pairs")
-        new = land(_verified(pairs, shingles, similarity), "similar")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = new if found is None else found.unionByName(new)
-        linked = met.join(found, ["node", "pivot"], "left_semi").select("key", "node")
-        gone = linked.unionByName(pivots.select("key", F.col("pivot").alias("node"))).distinct()
-        left = land(rest.join(gone, ["key", "node"], "left_anti"), "left")
-        sizes = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        rest = land(salted_left_join(left, sizes, "key", ["node"]).where(F.col("size").isNotNull()).drop("size"), "rest")
-        if rest.isEmpty():
-            return found.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        pivots_at_once *= 2
+    best = F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node")))
+    pivots = members.groupBy("key").agg(best.alias("best")).select("key", F.col("best.node").alias("pivot"), F.col("best.n").alias("pivot_n"))
+    met = salted_left_join(members, pivots, "key", ["node"]).where(F.col("node") != F.col("pivot")).select("node", "n", "pivot", "pivot_n")
+    fit = F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n")
+    pairs = land(met.unionByName(balls).where(fit).select("node", "pivot").distinct(), "pairs")
+    linked = land(_verified(pairs, shingles, similarity), "linked")
+
+    roots = components(linked.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    placed = land(members.drop("weight").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part")), "placed")
+    open_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", F.lit(True).alias("open"))
+    left = salted_left_join(placed, open_keys, "key", ["node"]).where("open").select("node", "n", "part").distinct()
+    across = land(_by_rare_shingles(land(left, "open"), shingles, similarity), "across")
+    both = linked.unionByName(_verified(across, shingles, similarity))
+    return both.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from inkveil.llm import near_copies
 from inkveil.llm.near_copies import one_of_each_group, similar_groups
 
 
@@ -61,6 +62,40 @@ def test_large_group_of_edits_and_shared_passages(spark):
     assert sum(got[i] == i for i in range(400, 700)) == 300
 
 
+def test_chains_of_copies_hold_together(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+
+    def edited(words, k):
+        out = list(words)
+        for at in rng.sample(range(len(out)), k):
+            out[at] = word()
+        return out
+
+    base = [word() for _ in range(200)]
+    children = [edited(base, 1) for _ in range(150)]
+    texts = dict(enumerate(" ".join(w) for w in [base, *children, *(edited(c, 4) for c in children)]))
+    # a chain of ten links, each of whose ends is unlike all but its neighbours
+    chain = [[word() for _ in range(200)]]
+    for _ in range(10):
+        chain.append(edited(chain[-1], 3))
+    texts |= {1000 - i: " ".join(w) for i, w in enumerate(chain)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.best.doc_id for r in similar_groups(docs).collect()}
+    assert got == brute_groups(texts)
+    assert len(set(got.values())) <= 3
+
+
+def test_a_passage_of_many_unlike_texts_makes_no_pairs(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [(i, " ".join([f"w{rng.randrange(10**7)}" for _ in range(30)] + passage)) for i in range(1500)]
+    marked = near_copies._marks(spark.createDataFrame(texts, "doc_id long, text string"), 5, "doc_id", "text", F.lit(""))
+    nodes = marked.select(F.col("doc_id").alias("node"), "n", F.col("doc_id").alias("part"))
+    shingles = marked.select(F.col("doc_id").alias("node"), "shingles")
+    assert near_copies._by_rare_shingles(nodes, shingles, 0.8).count() == 0
+
+
 def test_edge_cases(spark):
     long = "a b c d e f g " * 3000
     rows = [(5, None), (7, ""), (2, "one two"), (2, "one two"), (9, "ONE\ttwo"), (4, long), (3, " \t"), (None, long + "h"), (None, "x y"), (2, "other text")]
