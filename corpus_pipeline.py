@@ -10,8 +10,11 @@ from inkveil.llm.shared import land
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no quality rule but the one on length alone: a clean text stays however long it is."""
-    return quality.judge(docs, tuple(r for r in quality.RULES if r.name != "max_words")).where("kept").select(*docs.columns)
+    """Documents that break no quality rule, with all their columns as they are.
+
+    Null texts are empty and have too few words; repeated rows are judged alike, each for itself; an empty table gives none.
+    """
+    return quality.keep_good(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +28,17 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of similarity 0.8 or more over five-word shingles make, the document with the smallest id.
 
-    SimHash balls and bands of minima gather the candidates, shared shingles decide. Null texts are empty; repeated rows leave one; a repeated id loses no text of another group; a null
-    id stays if its group has no other.
+    SimHash balls, bands of minima and rare shingles gather the candidates, shared shingles decide. Null texts are empty;
+    repeated rows leave one; a repeated id loses no text of another group; a null id stays if its group has no other.
     """
     return near_copies.one_of_each_group(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document, with its place in a sequence of 4096 ids."""
+    """A row for each piece of a document, with its place in a sequence of 4096 ids.
+
+    Null and empty texts are their end id; repeated rows are placed each for itself; an empty table gives none.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
