@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 #: Function words of the languages that the corpus may hold; a text of prose has some of them.
 STOP_WORDS = (
     "the of and to a in is that it for on was with as be by at this are or "
@@ -30,7 +32,6 @@ class Rule:
 #: The production table. Ratios have n_words or n_lines as divisor; a text without any fails min_words first.
 RULES = (
     Rule("min_words", "n_words", low=50),
-    Rule("max_words", "n_words", high=1_000_000),
     Rule("repeat_words", "try_divide(n_repeat_words, n_words)", high=0.5),
     Rule("mean_word_length", "try_divide(word_chars, n_words)", low=2, high=15),
     Rule("symbols", "try_divide(n_symbols, n_words)", high=0.6),
@@ -118,12 +119,27 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
 
     One projection, no shuffle. Defined cases: a null text is empty and has no words, so it breaks
     ``min_words``; a ratio without a divisor breaks nothing; repeated rows are judged alike, each on
-    its own; an empty table gives no rows; other columns pass through.
+    its own; an empty table gives no rows; other columns pass through, but those of the names of
+    measures and verdicts are replaced (:func:`keep_good` keeps them).
     """
     judged = measures(docs, text_col).withColumn("broken", compile_rules(rules))
     return judged.withColumn("kept", F.size("broken") == 0)
 
 
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows that break no rule, with all their columns as they are, whatever their names.
+
+    Defined cases: as in :func:`judge`.
+    """
+    ours = {c.lower() for c in (*MEASURES, "broken", "kept")}
+    held = docs
+    for c in docs.columns:
+        if c.lower() in ours:
+            held = held.withColumnRenamed(c, unused(f"_{c}", held))
+    good = judge(held, rules, dict(zip(docs.columns, held.columns))[text_col]).where("kept")
+    return good.select(*(F.col(f"`{h}`").alias(c) for c, h in zip(docs.columns, held.columns)))
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -162,7 +178,7 @@ m AS (
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= 1000000
+  NOT base_failed
     AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND n_symbols <= 0.6 * n_words
     AND n_dup_lines <= 0.5 * n_lines AND n_bullet_lines <= 0.9 * n_lines AND n_ellipsis_lines <= 0.5 * n_lines
     AND n_letter_words >= 0.3 * n_words AND n_stop_words >= 2 AS kept

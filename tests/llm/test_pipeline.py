@@ -32,10 +32,17 @@ def test_stages_keep_columns_and_take_anything(spark, sf_dir):
 def test_a_long_clean_text_stays(spark, sf_dir):
     text = " ".join(f"the cat{i} of house{i * 7}" for i in range(260_000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert not judge(docs).first().kept
+    assert judge(docs).first().kept
     assert corpus_pipeline.keep_quality(spark, docs, sf_dir).count() == 1
 
 
+def test_quality_keeps_columns_of_its_measures_names(spark, sf_dir):
+    rows = [(1, "the cat of house " * 5 + " ".join(f"and w{i} to" for i in range(60)), "mine", 7, "x", None, 3.5)] * 2 + [(2, "short", "mine", 7, "x", None, 3.5), (3, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int, broken string, Word_Chars string, _kept double")
+    got = corpus_pipeline.keep_quality(spark, docs, sf_dir)
+    assert got.schema == docs.schema and got.collect() == docs.where("doc_id = 1").collect()
+
+
 def test_dedup_stages_tell_rows_by_id_and_text(spark, sf_dir):
     rows = [(3, "a", 1), (5, "a", 2), (5, "b c", 3), (5, "bc", 9), (7, "d", 4), (7, "d", 4), (None, "a", 5), (None, "e", 6), (None, "e", 7), (None, "f", 8), (8, None, 0), (9, "", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id int").select("doc_id", "text", "_id", "_id", F.lit(1).alias("kept")).toDF("doc_id", "text", "_id", "digest", "kept")
