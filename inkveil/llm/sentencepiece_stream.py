@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .tokens import in_portions
 
 SPACE = "▁"
-#: Words, and pairs of pieces, that a worker remembers, 100 to 200 bytes each; beyond it starts anew.
+#: Stretches between space marks, and pairs of pieces, that a worker remembers, 100 to 200 bytes each; beyond it starts anew.
 CACHE = 700_000
-#: Longer runs without a cut are searched as a stream and not remembered.
-LONG_WORD = 64
+#: Characters that are normalised at once, up to the next place that allows a cut.
+NORMAL = 1 << 16
 UNREACHED = float("-inf")
 
 
@@ -53,8 +53,12 @@ class Model:
         # Byte-pair scores are ranks: whole numbers from 0 down.
         self.merges = all(s == int(s) and s <= 0 for s in self.scores.values())
         # A text may be cut before a space mark, unless a piece has one after another character.
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if not any(SPACE in name.lstrip(SPACE) for name in self.ids) else r"(?s).+")
-        self.words: dict[str, bytes] = {}
+        self.cuts = not any(SPACE in name.lstrip(SPACE) for name in self.ids)
+        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.cuts else r"(?s).+")
+        self.apart = re.compile("(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
+        # The mark that the library puts in front, where it does not merge with a space that is there.
+        self.extra = len(p.normalize(" a")) - len(SPACE + "a")
+        self.stretches: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         # From this id on there are plain pieces only.
         self.first_plain = max((i for i in range(n) if not plain[i]), default=-1) + 1
@@ -112,45 +116,32 @@ class Model:
         self.pairs[key] = answer
         return answer
 
-    def step(self, window: str, at: int, back: list[int], score: list[float], last: str) -> None:
-        """Append the back-pointer and score of the place ``at``. ``last`` is the piece before the window."""
-        low = max(0, at - self.longest)
-        if self.merges:
-            for s in range(low, at):
-                piece = window[s:at]
-                if piece in self.whole:
-                    before = window[s - back[s] : s] if s else last
-                    if not before or self.agree(before, piece):
-                        back.append(at - s)
-                        score.append(0.0)
-                        return
-            back.append(1)
-            score.append(0.0)
-            return
-        best, n = UNREACHED, 1
-        for s in range(low, at):
-            gain = self.scores.get(window[s:at], self.worst if s == at - 1 else None)
-            if gain is not None and score[s] + gain > best:
-                best, n = score[s] + gain, at - s
-        back.append(n)
-        score.append(best)
-
-    def pieces(self, word: str) -> list[str]:
-        """The same search over a short word: all back-pointers fit, and pairs are looked up by id."""
-        back, score = [0], [0.0]
-        if not self.merges:
-            for at in range(1, len(word) + 1):
-                self.step(word, at, back, score, "")
-            return self.path(word, back, len(word))
+    def search(self, text: str) -> Iterator[list[str]]:
+        """Pieces of a text, in lists that are final when they are given out.
+
+        Every ``4 * longest`` characters the search looks for the boundary that all paths still open share, gives out
+        what is before it and forgets it.
+        """
+        base, back, kept = 0, [0], [-1] if self.merges else [0.0]
+        step = self._merge if self.merges else self._gain
+        for start in range(0, len(text), 4 * self.longest):
+            stop = min(len(text), start + 4 * self.longest)
+            step(text, base, start, stop, back, kept)
+            common = len(back) - 1 if stop == len(text) else self.shared(back, len(back) - 1)
+            if common:
+                yield self.path(text[base : base + common], back, common)
+                base, back, kept = base + common, [0, *back[common + 1 :]], kept[common:]
+
+    def _merge(self, text: str, base: int, start: int, stop: int, back: list[int], ends: list[int]) -> None:
+        """Append the back-pointers of the places from ``start`` to ``stop``, and ``ends``, the pieces that end there (-1: none), of a byte-pair model."""
         whole, known, n, longest = self.whole.get, self.pairs.get, len(self.names), self.longest
-        ends = [-1]
-        for at in range(1, len(word) + 1):
+        for at in range(start + 1, stop + 1):
             # Short pieces are the likely ones; only one length can fit.
-            for s in range(at - 1, at - longest - 1 if at > longest else -1, -1):
-                k = whole(word[s:at])
+            for s in range(at - 1, max(at - longest, base) - 1, -1):
+                k = whole(text[s:at])
                 if k is None:
                     continue
-                if s and (t := ends[s]) >= 0:
+                if (t := ends[s - base]) >= 0:
                     ok = known(t * n + k)
                     if not (self.agree(self.names[t], self.names[k]) if ok is None else ok):
                         continue
@@ -160,20 +151,17 @@ class Model:
             else:
                 ends.append(-1)
                 back.append(1)
-        return self.path(word, back, len(word))
-
-    def search(self, chars: Iterable[str]) -> Iterator[list[str]]:
-        """Pieces of a stream of characters, in lists that are final when they are given out."""
-        window, back, score, last = "", [0], [0.0], ""
-        for c in chars:
-            window += c
-            self.step(window, len(window), back, score, last)
-            if len(window) % (4 * self.longest) == 0 and (common := self.shared(back, len(window))):
-                pieces = self.path(window, back, common)
-                yield pieces
-                window, back, score, last = window[common:], [0, *back[common + 1 :]], score[common:], pieces[-1]
-        if window:
-            yield self.path(window, back, len(window))
+
+    def _gain(self, text: str, base: int, start: int, stop: int, back: list[int], score: list[float]) -> None:
+        """Append the back-pointers of the places from ``start`` to ``stop``, and the best ``score`` up to each, of a unigram model."""
+        for at in range(start + 1, stop + 1):
+            best, n = UNREACHED, 1
+            for s in range(max(base, at - self.longest), at):
+                gain = self.scores.get(text[s:at], self.worst if s == at - 1 else None)
+                if gain is not None and score[s - base] + gain > best:
+                    best, n = score[s - base] + gain, at - s
+            back.append(n)
+            score.append(best)
 
     def shared(self, back: list[int], end: int) -> int:
         """The last boundary on the paths to all places that a later piece can start from."""
@@ -205,19 +193,34 @@ class Model:
                 out.append(self.unknown)
         return out.tobytes()
 
+    def normal(self, text: str) -> Iterator[str]:
+        """The normalised text, block by block; blocks end before a space between ASCII letters or digits, where nothing is composed."""
+        at = 0
+        while at < len(text):
+            cut = self.apart.search(text, at + NORMAL) if self.cuts and len(text) - at > NORMAL else None
+            end = cut.start() if cut else len(text)
+            block = self.library.normalize(text[at:end])
+            yield block[self.extra :] if at else block
+            at = end
+
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text; null counts as empty."""
+        """Ids of a whole text; null counts as empty.
+
+        A space mark is a boundary of every path, so the search commits there, and what it committed from one to the
+        next at once is remembered.
+        """
         out = []
-        for word in self.cut.findall(self.library.normalize(text or "")):
-            if len(word) > LONG_WORD:
-                out += map(self.ids_of, self.search(word))
-                continue
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = self.ids_of(self.pieces(word))
-            out.append(ids)
-        if len(self.words) > CACHE:
-            self.words.clear()
+        for block in self.normal(text or ""):
+            for stretch in self.cut.findall(block):
+                ids = self.stretches.get(stretch)
+                if ids is None:
+                    parts = [self.ids_of(pieces) for pieces in self.search(stretch)]
+                    ids = b"".join(parts)
+                    if len(parts) == 1:
+                        self.stretches[stretch] = ids
+                out.append(ids)
+            if len(self.stretches) > CACHE:
+                self.stretches.clear()
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

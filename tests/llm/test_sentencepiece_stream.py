@@ -39,14 +39,33 @@ def test_drawn_texts(lib):
         assert m.decode(np.array(ids, "<u4").tobytes()) == lib.decode(ids)
 
 
-def test_stream_commits_early(lib):
+def test_search_commits_early(lib):
     m = Model(PATH)
     text = m.library.normalize("there" * 4000)
-    parts = list(m.search(iter(text)))
+    parts = list(m.search(text))
     assert max(map(len, parts)) < 10 * m.longest and len(parts) > 100
     assert numbers(m.ids_of(p for part in parts for p in part)) == lib.encode("there" * 4000)
 
 
+def test_window_stays_small_on_a_text_of_ten_million_characters(lib, monkeypatch):
+    m, draw, widest = Model(PATH), random.Random(2), [0, 0]
+    shared, normalize = m.shared, m.library.normalize
+    monkeypatch.setattr(m, "shared", lambda back, end: widest.__setitem__(0, max(widest[0], len(back))) or shared(back, end))
+    words = ["".join(draw.choices("abcdefgh", k=draw.randrange(1, 90))) for _ in range(2000)]
+    text = "x" * 70_000 + " " + " ".join(draw.choices(words, k=215_000))
+    assert len(text) > 9_500_000
+    monkeypatch.setattr(m, "library", type("Library", (), {"normalize": lambda self, t: widest.__setitem__(1, max(widest[1], len(t))) or normalize(t)})())
+    assert numbers(m.encode(text)) == lib.encode(text)
+    assert 0 < widest[0] < 20 * m.longest and widest[1] < 150_000
+
+
+def test_blocks_are_normalised_as_the_whole(lib):
+    m, draw = Model(PATH), random.Random(3)
+    for k in (0, 1, 70_000, 200_000):
+        text = "".join(draw.choices("ab c  \t́é", k=k))
+        assert "".join(m.normal(text)) == lib.normalize(text)
+
+
 def test_unigram_path_has_the_best_score():
     m = Model(PATH)
     m.merges, draw = False, random.Random(1)
