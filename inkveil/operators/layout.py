@@ -19,12 +19,12 @@ from pyspark.sql import types as T
 from inkveil.functions import geometry
 from inkveil.functions.text import normalized
 from inkveil.operators.detect import PAGE, _confirmed
-from inkveil.operators.spans import CANDIDATE, all_candidates, once, spans, with_linear
+from inkveil.operators.spans import CANDIDATE, all_candidates, greedy, once, spans, with_linear
 from inkveil.plans import rules as R
 
 # Fixed values, in widths (of a seed's middle glyph) across and heights down.
 COLUMN_GAP, NAME_MARGIN, LEFT_SLACK, EDGE_SLACK = 2.0, 0.8, 0.25, 0.1
-SAME_LINE, NEXT_LINE, LINE_GAP = 0.6, 0.2, 3.5
+SAME_LINE, LINE_GAP = 0.6, 3.5
 #: Lines below an address that may belong to its cell; none below a building's line.
 MORE_LINES = 2
 BARS = "|│┃｜∣ǀ⏐￨ｌ"
@@ -51,57 +51,45 @@ class _Page:
         self.right, self.yc, self.xc = self.x + self.w, self.y + self.h / 2, self.x + self.w / 2
         self.bar = np.isin(self.ch, list(BARS))
         code = self.ch.view("<u4") if len(self.ch) else np.empty(0, np.uint32)
-        self.hangul = (code >= 0xAC00) & (code <= 0xD7A3)
-        self.digit = (code >= 48) & (code <= 57)
-        self.counted = self.hangul | self.digit | ((code | 32) >= 97) & ((code | 32) <= 122) | (self.ch == "-")
-
-    def right_edge(self, line: np.ndarray, seed_right: float, cw: float, wall: float) -> float:
-        """Sweep right from the seed to the first wall or gap."""
-        run = np.flatnonzero(line & self.counted & (self.right > seed_right + EDGE_SLACK * cw))
-        edge = seed_right
-        for i in run[np.argsort(self.x[run], kind="stable")]:
-            if self.x[i] >= wall or self.x[i] - edge > COLUMN_GAP * cw:
-                break
-            edge = max(edge, self.right[i])
-        return edge
-
-    def left_edge(self, line: np.ndarray, seed_left: float, cw: float, wall: float) -> float:
-        """Sweep left from the seed; without any boundary the text is prose, and the seed's edge holds.
-
-        A postal code ends the cell; any other number of three digits or more is outside it.
+        hangul, digit = (code >= 0xAC00) & (code <= 0xD7A3), (code >= 48) & (code <= 57)
+        self.counted = hangul | digit | ((code | 32) >= 97) & ((code | 32) <= 122) | (self.ch == "-")
+
+    def span(self, line: np.ndarray, seed: np.ndarray, cw: float) -> tuple[float, float]:
+        """Left and right edge of the cell on the seed's line: as far as glyphs follow without a gap or a wall.
+
+        To the left a postal code is the cell's end, and any other number of three digits or more is outside it.
+        Where nothing bounds the text on the left it is prose, and the seed's own edge holds.
         """
-        run = np.flatnonzero(line & self.counted & (self.x < seed_left - EDGE_SLACK * cw))
-        edge, before_token, token = seed_left, seed_left, ""
-        for i in run[np.argsort(-self.right[run], kind="stable")]:
-            if self.x[i] <= wall or edge - self.right[i] > COLUMN_GAP * cw:
-                ended = True
-                break
-            if self.digit[i] or self.ch[i] == "-":
-                before_token = before_token if token else edge
-                token = self.ch[i] + token
-            elif _postal(token) or sum(c != "-" for c in token) >= 3:
-                return edge if _postal(token) else before_token
-            else:
-                token = ""
-            edge = min(edge, self.x[i])
-        else:
-            ended = False
-        if _postal(token):
-            return edge
-        if sum(c != "-" for c in token) >= 3:
-            return before_token
-        return edge if ended else seed_left
-
-    def lines(self, ch: float) -> list[tuple[float, np.ndarray]]:
-        """Glyphs by line from the top, each line with the height of its first."""
+        left, right, slack = self.x[seed].min(), self.right[seed].max(), EDGE_SLACK * cw
+        bars = np.flatnonzero(line & self.bar)
+        east_wall = self.right[bars][self.x[bars] >= right - slack].min(initial=np.inf)
+        west_wall = self.x[bars][self.right[bars] <= left + slack].max(initial=-np.inf)
+
+        east = np.flatnonzero(line & self.counted & (self.right > right + slack))
+        east = east[np.argsort(self.x[east], kind="stable")]
+        reach = np.maximum.accumulate(np.concatenate(([right], self.right[east])))
+        east_end = reach[_first((self.x[east] >= east_wall) | (self.x[east] - reach[:-1] > COLUMN_GAP * cw))]
+
+        west = np.flatnonzero(line & self.counted & (self.x < left - slack))
+        west = west[np.argsort(-self.right[west], kind="stable")]
+        reach = np.minimum.accumulate(np.concatenate(([left], self.x[west])))
+        n = _first((self.x[west] <= west_wall) | (reach[:-1] - self.right[west] > COLUMN_GAP * cw))
+        for number in re.finditer("[0-9-]+", "".join(self.ch[west[:n]])):
+            token = number.group()[::-1]
+            if _postal(token):
+                return reach[number.end()], east_end
+            if len(token.replace("-", "")) >= 3:
+                return reach[number.start()], east_end
+        return (reach[n] if n < len(west) else left), east_end
+
+    def lines(self, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+        """Glyphs from the top, and where among them each line starts: a line takes what is within the tolerance of its first."""
         order = np.argsort(self.yc, kind="stable")
-        found: list[tuple[float, list[int]]] = []
-        for i in order:
-            if found and abs(self.yc[i] - found[-1][0]) < SAME_LINE * ch:
-                found[-1][1].append(i)
-            else:
-                found.append((self.yc[i], [i]))
-        return [(y, np.array(i)) for y, i in found]
+        yc, starts = self.yc[order], [0]
+        while starts[-1] < len(yc):
+            first = starts[-1]
+            starts.append(first + int(np.searchsorted(yc[first:] - yc[first], tolerance)))
+        return order, np.array(starts[:-1])
 
     def cell(self, start: int, end: int, more: int) -> list[int]:
         """Places of the glyphs of the cell around ``[start, end)``, in reading order."""
@@ -110,34 +98,28 @@ class _Page:
             return seed.tolist()
         cw, ch = _middle(self.w[seed]), _middle(self.h[seed])
         at = float(np.sort(self.yc[seed])[len(seed) // 2])
-        left, right = self.x[seed].min(), self.right[seed].max()
-        line = np.abs(self.yc - at) < SAME_LINE * ch
-        walls_left = self.x[line & self.bar & (self.right <= left + EDGE_SLACK * cw)]
-        walls_right = self.right[line & self.bar & (self.x >= right - EDGE_SLACK * cw)]
-        cell_right = self.right_edge(line, right, cw, walls_right.min(initial=np.inf))
-        cell_left = self.left_edge(line, left, cw, walls_left.max(initial=-np.inf))
-        column = ~self.bar & (self.xc >= cell_left - LEFT_SLACK * cw) & (self.xc <= cell_right + COLUMN_GAP * cw)
-        chosen: list[int] = []
-        last, begun, below = at, False, 0
-        for y, ids in self.lines(ch):
-            if not begun:
-                if abs(y - at) >= SAME_LINE * ch:
-                    continue
-                begun = True
-            elif y <= last + NEXT_LINE * ch:
-                continue
-            else:
-                below += 1
-                own = ids[column[ids]]
-                if below > more or y - last > LINE_GAP * ch or (self.right[ids] < cell_left - NAME_MARGIN * cw).any() or not len(own):
-                    break
-                if _LINE_REGION.match("".join(self.ch[own[np.argsort(self.x[own], kind="stable")]])):
-                    break
-            chosen += ids[column[ids]].tolist()
-            last = y
-        all_ids = np.union1d(chosen, seed).astype(int)
-        rank = np.round(self.yc[all_ids] / (SAME_LINE * ch))
-        return all_ids[np.lexsort((self.x[all_ids], rank))].tolist()
+        left, right = self.span(np.abs(self.yc - at) < SAME_LINE * ch, seed, cw)
+        column = ~self.bar & (self.xc >= left - LEFT_SLACK * cw) & (self.xc <= right + COLUMN_GAP * cw)
+
+        order, starts = self.lines(SAME_LINE * ch)
+        heights = self.yc[order[starts]]
+        own = int(np.argmax(np.abs(heights - at) < SAME_LINE * ch))
+        below = slice(own + 1, own + 1 + more)
+        fits = np.diff(heights)[own : own + more] <= LINE_GAP * ch
+        fits &= np.minimum.reduceat(self.right[order], starts)[below] >= left - NAME_MARGIN * cw
+        fits &= np.add.reduceat(column[order].astype(int), starts)[below] > 0
+        bounds = np.append(starts, len(order))
+        in_column = [ids[column[ids]] for ids in (order[bounds[i] : bounds[i + 1]] for i in range(own, own + 1 + _first(~fits)))]
+        read = ["".join(self.ch[ids[np.argsort(self.x[ids], kind="stable")]]) for ids in in_column[1:]]
+        kept = 1 + _first(np.array([bool(_LINE_REGION.match(t)) for t in read], bool))
+
+        ids = np.union1d(np.concatenate(in_column[:kept]), seed).astype(int)
+        return ids[np.lexsort((self.x[ids], np.round(self.yc[ids] / (SAME_LINE * ch))))].tolist()
+
+
+def _first(stops: np.ndarray) -> int:
+    """How many come before the first stop."""
+    return int(np.argmax(np.append(stops, True)))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
@@ -182,18 +164,18 @@ def page_cells(pages: DataFrame, rules: tuple[R.Rule, ...] = R.RULES, dongs: Dat
     step = step.withColumn("_cells", cells("text", axis("x"), axis("y"), axis("w"), axis("h"), both("claim_start", "start"), both("claim_end", "end"), more))
 
     with_cells = F.transform("_all", lambda c, i: F.struct(*(c[f].alias(f) for f in _FIELDS), F.get("_cells", i).alias("claimed")))
-    found = F.aggregate(
-        with_cells,
-        F.array().cast(_FOUND),
-        lambda kept, c: F.when(F.exists(kept, lambda k: F.arrays_overlap(k["claimed"], F.sequence(c["start"], c["end"] - 1)) | F.coalesce((k["claim_start"] < c["end"]) & (c["start"] < k["claim_end"]), F.lit(False))), kept).otherwise(F.concat(kept, F.array(c))),
-    )
+    test = lambda c: F.sequence(c["start"], c["end"] - 1)
+    clash = lambda k, c: F.arrays_overlap(k["claimed"], test(c)) | F.coalesce((k["claim_start"] < c["end"]) & (c["start"] < k["claim_end"]), F.lit(False))
+    low = lambda c: F.least(c["start"], c["claim_start"], F.array_min(c["claimed"]))
+    high = lambda c: F.greatest(c["end"], c["claim_end"], F.array_max(c["claimed"]) + 1)
+    found = greedy(with_cells, _FOUND, low, high, clash)
     step = once(step, "finds", found)
     step = once(step, "_taken", F.flatten(F.transform("finds", lambda f: F.concat(f["claimed"], F.sequence(f["claim_start"], f["claim_end"] - 1)))))
     return once(step, "_more", _late_finds(len(rules))).withColumn("finds", F.concat("finds", "_more")).drop("_more", "_norm", "_linear", "_all", "_late", "_cells", "_taken")
 
 
 _FIELDS = [c.split(":")[0] for c in CANDIDATE.removeprefix("struct<").removesuffix(">").split(",")]
-_FOUND = f"array<{CANDIDATE.removesuffix('>')},claimed:array<int>>>"
+_FOUND = f"{CANDIDATE.removesuffix('>')},claimed:array<int>>"
 
 
 def _late_finds(rule: int) -> Column:
@@ -208,7 +190,8 @@ def _late_finds(rule: int) -> Column:
             s["start"].alias("start"), s["end"].alias("end"), s["start"].alias("claim_start"), s["end"].alias("claim_end"), s["match"].alias("match"), s["claimed"].alias("claimed"),
         ),
     )
-    return F.aggregate(finds, F.array().cast(_FOUND), lambda kept, c: F.when(F.exists(kept, lambda k: F.arrays_overlap(k["claimed"], c["claimed"])), kept).otherwise(F.concat(kept, F.array(c))))
+    overlap = lambda k, c: F.arrays_overlap(k["claimed"], c["claimed"])
+    return greedy(finds, _FOUND, lambda c: F.array_min(c["claimed"]), lambda c: F.array_max(c["claimed"]) + 1, overlap)
 
 
 def detect_layout(pages: DataFrame, rules: tuple[R.Rule, ...] = R.RULES, dongs: DataFrame | None = None, excluded: Iterable[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.plans import rules as R
@@ -157,10 +157,70 @@ def all_candidates(text: Column, rules: tuple[R.Rule, ...]) -> Column:
     return F.concat(*(candidates(text, i, r, F.get("_linear", F.lit(slow.index(i))) if i in slow else None) for i, r in enumerate(rules)))
 
 
+Test = Callable[[Column, Column], Column]
+Place = Callable[[Column], Column]
+
+
+def _fold(found: Column, kind: str, clash: Test) -> Column:
+    """What stays of candidates in the given order: those that do not clash with one that stays before them."""
+    kept = F.array().cast(f"array<{kind}>")
+    return F.aggregate(found, kept, lambda kept, c: F.when(F.exists(kept, lambda k: clash(k, c)), kept).otherwise(F.concat(kept, F.array(c))))
+
+
+def greedy(found: Column, kind: str, low: Place, high: Place, clash: Test) -> Column:
+    """:func:`_fold` in near-linear time, for candidates (``kind``) that clash only if their hulls from ``low`` to ``high`` overlap.
+
+    Sorted by place, the candidates fall into islands that no hull joins; each is folded alone. Of hulls in order of their
+    lows, the i first all end before the next begins just if the i-th smallest end does, so two sorted arrays show
+    the borders, and no running maximum is carried along.
+    """
+
+    def by_islands(placed: Column) -> Column:
+        def cut(ends: Column) -> Column:
+            border = lambda i: (i == 0) | (F.get(ends, i - 1) <= F.get(placed, i)["low"])
+            starts = F.filter(F.sequence(F.lit(0), F.size(placed) - 1), border)
+            return let(starts, lambda s: F.transform(s, lambda a, j: F.slice(placed, a + 1, F.coalesce(F.get(s, j + 1), F.size(placed)) - a)))
+
+        in_order = lambda xs: F.sort_array(F.transform(xs, lambda x: F.struct(x["at"].alias("at"), x["c"].alias("c"))))
+        stays = lambda xs: F.when(F.size(xs) == 1, in_order(xs)).otherwise(_fold(in_order(xs), f"struct<at:int,c:{kind}>", lambda k, c: clash(k["c"], c["c"])))
+        left = F.flatten(F.transform(let(F.sort_array(F.transform(placed, lambda x: x["high"])), cut), stays))
+        return F.transform(F.sort_array(left), lambda x: x["c"])
+
+    placed = lambda cs: F.sort_array(F.transform(cs, lambda c, i: F.struct(low(c).cast("int").alias("low"), high(c).cast("int").alias("high"), i.alias("at"), c.alias("c"))))
+    return F.when(F.size(found) < 2, found).otherwise(let(placed(found), by_islands))
+
+
+def _clash(k: Column, c: Column) -> Column:
+    """Does what one claims overlap what the other matched?"""
+    return (k["claim_start"] < c["end"]) & (c["start"] < k["claim_end"])
+
+
+def _low(c: Column) -> Column:
+    return F.least(c["start"], c["claim_start"])
+
+
+def _high(c: Column) -> Column:
+    return F.greatest(c["end"], c["claim_end"])
+
+
 def resolve(found: Column) -> Column:
     """Greedy claims in the given order: a candidate stays unless it overlaps what an earlier one claims."""
-    return F.aggregate(
-        found,
-        F.array().cast(f"array<{CANDIDATE}>"),
-        lambda kept, c: F.when(F.exists(kept, lambda k: (k["claim_start"] < c["end"]) & (c["start"] < k["claim_end"])), kept).otherwise(F.concat(kept, F.array(c))),
-    )
+    return greedy(found, CANDIDATE, _low, _high, _clash)
+
+
+def resolve_table(candidates: DataFrame, page: list[str], order: list[str]) -> DataFrame:
+    """Greedy claims over a table: rows of ``candidates`` (``start, end, claim_start, claim_end``) that stay on their ``page``, taken by ``order``.
+
+    Islands are cut by a window: one begins where no candidate before it reaches. Only an island is gathered, so a page may
+    have any number of candidates. ``order`` must tell a page's rows apart. Defined cases: rows with a null place
+    never clash and stay; pages with null keys are pages; an empty table gives no rows; other columns come along.
+    """
+    at = Window.partitionBy(*page).orderBy("_low", "_high", *order)
+    placed = candidates.withColumn("_low", F.least("start", "claim_start")).withColumn("_high", F.greatest("end", "claim_end"))
+    reach = F.max("_high").over(at.rowsBetween(Window.unboundedPreceding, -1))
+    cut = placed.withColumn("_new", F.coalesce(F.col("_low") >= reach, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(at))
+    row = F.struct(*(F.col(c) for c in order), F.struct(*candidates.columns).alias("c"))
+    islands = cut.groupBy(*page, "_island").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    kind = islands.schema["_rows"].dataType.elementType.simpleString()
+    stayed = _fold(F.col("_rows"), kind, lambda k, c: F.coalesce(_clash(k["c"], c["c"]), F.lit(False)))
+    return islands.select(F.explode(stayed).alias("_r")).select("_r.c.*")
