@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.text import normalized
 from inkveil.operators import dictionary
-from inkveil.operators.spans import all_candidates, once, resolve, with_linear
+from inkveil.operators.spans import blocks, cut, once, resolve, with_candidates
 from inkveil.plans.rules import RULES, Rule
 
 PAGE = ["doc_id", "page_index"]
@@ -24,11 +24,10 @@ def page_finds(pages: DataFrame, rules: tuple[Rule, ...] = RULES, dongs: DataFra
     """
     rules = tuple(r for r in rules if dongs is not None or not r.lookup)
     found = once(pages, "_norm", normalized(F.coalesce(F.col(text_col), F.lit(""))))
-    found = with_linear(found, rules)
-    found = once(found, "_all", all_candidates(F.col("_norm"), rules))
+    found = with_candidates(found, rules)
     if dongs is not None and any(r.lookup for r in rules):
         found = _confirmed(found, rules, dongs)
-    return once(found, "finds", resolve(F.col("_all"))).drop("_norm", "_linear", "_all")
+    return once(found, "finds", resolve(F.col("_all"))).drop("_norm", "_all")
 
 
 def _confirmed(found: DataFrame, rules: tuple[Rule, ...], dongs: DataFrame) -> DataFrame:
@@ -47,11 +46,11 @@ def items(found: DataFrame, excluded: Iterable[str] = (), text_col: str = "text"
 
     Excluded categories go last of all, as they hold their places against lower rules.
     """
-    flat = found.select(*PAGE, F.col(text_col).alias("_text"), F.explode("finds").alias("f"))
+    flat = found.select(*PAGE, blocks(F.col(text_col)).alias("_text"), F.explode("finds").alias("f"))
     order = Window.partitionBy("doc_id").orderBy("page_index", "f.rule", "f.start")
     numbered = flat.withColumn("_n", F.row_number().over(order) - 1)
     kept = numbered.where(~F.col("f.category").isin(list(excluded))) if excluded else numbered
-    content = F.substring(F.col("_text"), F.col("f.claim_start") + 1, F.col("f.claim_end") - F.col("f.claim_start"))
+    content = cut(F.col("_text"), F.col("f.claim_start"), F.col("f.claim_end") - F.col("f.claim_start"))
     return kept.select(
         "doc_id",
         F.concat(F.lit("r-"), F.col("_n")).alias("id"),

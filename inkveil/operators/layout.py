@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from inkveil.functions import geometry
 from inkveil.functions.text import normalized
 from inkveil.operators.detect import PAGE, _confirmed
-from inkveil.operators.spans import CANDIDATE, all_candidates, greedy, once, spans, with_linear
+from inkveil.operators.spans import CANDIDATE, greedy, once, spans, with_candidates
 from inkveil.plans import rules as R
 
 # Fixed values, in widths (of a seed's middle glyph) across and heights down.
@@ -149,8 +149,8 @@ def page_cells(pages: DataFrame, rules: tuple[R.Rule, ...] = R.RULES, dongs: Dat
         number = c["pattern_type"].isin("RRN", "Card")
         return ~(number & (geometry.line_count(boxes) > 2)) & ~((c["pattern_type"] == "Card") & geometry.cell_gap(boxes))
 
-    step = with_linear(step, rules)
-    step = once(step, "_all", F.filter(all_candidates(F.col("_norm"), rules), stands))
+    step = with_candidates(step, rules)
+    step = once(step, "_all", F.filter("_all", stands))
     if dongs is not None and any(r.lookup for r in rules):
         step = _confirmed(step, rules, dongs)
     region = F.when(F.col("_norm").rlike("[시군구도]"), spans(F.col("_norm"), "(?U)" + R.REGION + R.TOWN)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
@@ -171,7 +171,7 @@ def page_cells(pages: DataFrame, rules: tuple[R.Rule, ...] = R.RULES, dongs: Dat
     found = greedy(with_cells, _FOUND, low, high, clash)
     step = once(step, "finds", found)
     step = once(step, "_taken", F.flatten(F.transform("finds", lambda f: F.concat(f["claimed"], F.sequence(f["claim_start"], f["claim_end"] - 1)))))
-    return once(step, "_more", _late_finds(len(rules))).withColumn("finds", F.concat("finds", "_more")).drop("_more", "_norm", "_linear", "_all", "_late", "_cells", "_taken")
+    return once(step, "_more", _late_finds(len(rules))).withColumn("finds", F.concat("finds", "_more")).drop("_more", "_norm", "_all", "_late", "_cells", "_taken")
 
 
 _FIELDS = [c.split(":")[0] for c in CANDIDATE.removeprefix("struct<").removesuffix(">").split(",")]

@@ -94,10 +94,44 @@ def linear_spans(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.arrow_udf(run, "array<array<struct<start:int,end:int,match:string>>>")(text)
 
 
-def before(text: Column, start: Column, n: int = R.ANCHOR_WINDOW) -> Column:
-    """The ``n`` characters before a place, lower-cased, without white space."""
+_SPANS = "array<struct<start:int,end:int,match:string>>"
+
+
+def _let_sql(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def spans_sql(text: str, pattern: str) -> str:
+    """:func:`spans` as SQL text. A page's rules make thousands of expressions, which Spark parses faster than Python can send them."""
+    total = lambda part: f"aggregate({part}, 0, (a, x) -> a + x)"
+    inner = f"transform(part, (x, i) -> bs[j] + {total('slice(part, 1, i + 1)')})"
+    sums = _let_sql("parts", "transform(sequence(0, cast((size(ls) - 1) / w as int)), k -> slice(ls, k * w + 1, w))", _let_sql("bs", _let_sql("ss", f"transform(parts, part -> {total('part')})", f"transform(ss, (x, i) -> {total('slice(ss, 1, i)')})"), f"flatten(transform(parts, (part, j) -> {inner}))"))
+    lengths = f"zip_with(slice(split({text}, r'{pattern}', -1), 1, size(ms)), ms, (g, m) -> length(g) + length(m))"
+    ends = _let_sql("ls", lengths, _let_sql("w", "cast(ceil(sqrt(size(ls))) as int)", sums))
+    placed = _let_sql("es", ends, "zip_with(ms, es, (m, e) -> named_struct('start', e - length(m), 'end', e, 'match', m))")
+    return _let_sql("ms", f"regexp_extract_all({text}, r'{pattern}', 0)", f"if(size(ms) > 0, {placed}, cast(array() as {_SPANS}))")
+
+
+#: Characters of a block of :func:`blocks`.
+BLOCK = 2048
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of :data:`BLOCK` characters, so that a place far on is reached without counting all characters before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from ``start`` on, as ``substring`` gives them, of a text in :func:`blocks`."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((start + length) / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start - first * BLOCK + 1, length)
+
+
+def before(blocks: Column, start: Column, n: int = R.ANCHOR_WINDOW) -> Column:
+    """The ``n`` characters before a place of a text in :func:`blocks`, lower-cased, without white space."""
     first = F.greatest(start - n, F.lit(0))
-    return F.regexp_replace(F.lower(F.substring(text, first + 1, start - first)), r"(?U)\s+", "")
+    return F.regexp_replace(F.lower(cut(blocks, first, start - first)), r"(?U)\s+", "")
 
 
 def anchor(context: Column, rule: R.Rule) -> Column:
@@ -123,38 +157,91 @@ def bank_start(text: Column, start: Column) -> Column:
 CANDIDATE = "struct<rule:int,category:string,pattern_type:string,status:string,confidence:double,start:int,end:int,claim_start:int,claim_end:int,match:string>"
 
 
-def candidates(text: Column, index: int, rule: R.Rule, linear: Column | None = None) -> Column:
-    """Matches of one rule in normalised text that its checks let stand, as ``array<CANDIDATE>``. ``linear``: its matches where backtracking would crawl, else null."""
-    none = F.array().cast(f"array<{CANDIDATE}>")
+def _hits_sql(i: int, rule: R.Rule, linear: int | None) -> str:
+    """SQL for all matches of rule ``i`` on a page, by place. ``linear``: its number among those in ``_linear``, where they are found already."""
+    part = _PARTS.get(rule.around)
+    if part:
+        within = f"filter({part[0]}, p -> p.match rlike r'(?U){rule.pre}')"
+        found = f"flatten(transform({within}, p -> transform({spans_sql('p.match', rule.java)}, s -> named_struct('start', s.start + p.start, 'end', s.end + p.start, 'match', s.match))))"
+    else:
+        found = spans_sql("_norm", rule.java) if linear is None else f"_linear[{linear}]"
+    named = f"transform({found}, s -> named_struct('rule', {i}, 'start', s.start, 'end', s.end, 'match', s.match))"
+    return f"if(_norm rlike r'(?U){rule.pre}', {named}, cast(array() as array<struct<rule:int,start:int,end:int,match:string>>))"
 
-    def judged(s: Column) -> Column:
-        found, said = anchor(before(text, s["start"]), rule), rule.validate(s["match"])
-        claim = bank_start(text, s["start"]) if rule.category == "BankAccount" else s["start"]
-        sure = F.round(F.least(F.lit(1.0), F.lit(rule.base) + said["bonus"] + found["boost"]), 2)
-        stays = said["ok"] & found.isNotNull()
-        return F.when(
-            stays,
-            F.struct(
-                F.lit(index).alias("rule"), found["category"].alias("category"), found["pattern_type"].alias("pattern_type"), said["status"].alias("status"), sure.alias("confidence"),
-                s["start"].alias("start"), s["end"].alias("end"), claim.alias("claim_start"), s["end"].alias("claim_end"), s["match"].alias("match"),
-            ).cast(CANDIDATE),
-        )
 
-    found = spans(text, rule.java) if linear is None else F.coalesce(linear, spans(text, rule.java))
-    kept = F.filter(F.transform(found, judged), lambda c: c.isNotNull())
-    return F.when(text.rlike("(?U)" + rule.pre), kept).otherwise(none)
+def _told_sql(rules: tuple[R.Rule, ...]) -> str:
+    """SQL that adds ``told`` to each of ``_hits``: category, pattern type and boost by the first anchor group with a word before it, null where the rule needs one; and ``claim``, where its claim begins."""
+    text = lambda t: "'" + t.replace("'", "''") + "'"
+    kind = "struct<category:string,pattern_type:string,boost:double>"
 
+    def told(rule: R.Rule) -> str:
+        as_struct = lambda category, pattern_type, boost: f"named_struct('category', {text(category)}, 'pattern_type', {text(pattern_type)}, 'boost', {boost}D)"
+        groups = [(" OR ".join(f"contains(c, {text(w)})" for w in g.words), as_struct(g.category or rule.category, g.category or rule.pattern_type, R.ANCHOR_BOOST)) for g in rule.anchors]
+        other = f"cast(null as {kind})" if rule.required else as_struct(rule.category, rule.pattern_type, 0.0)
+        return "CASE " + " ".join(f"WHEN {words} THEN {then}" for words, then in groups) + f" ELSE {other} END"
 
-def with_linear(df: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
-    """Add ``_linear``: matches of the address rules in ``_norm`` where it has a run of syllables, else null."""
-    text = F.col("_norm")
-    return df.withColumn("_linear", linear_spans(F.when(text.rlike(f"(?U){SYLLABLE_RUN}"), text), tuple(r.pattern for r in rules if r.category == "Address")))
+    n = R.ANCHOR_WINDOW
+    joined = f"array_join(slice(_blocks, cast(f div {BLOCK} as int) + 1, cast(h.start div {BLOCK} - f div {BLOCK} as int) + 1), '')"
+    context = _let_sql("f", f"greatest(h.start - {n}, 0)", rf"regexp_replace(lower(substring({joined}, f % {BLOCK} + 1, h.start - f)), r'(?U)\s+', '')")
+    by_rule = "CASE h.rule " + " ".join(f"WHEN {i} THEN {told(r)}" for i, r in enumerate(rules)) + " END"
+    banks = [str(i) for i, r in enumerate(rules) if r.category == "BankAccount"]
+    named = rf"length(regexp_extract(substring(_norm, 1, h.start), r'[가-힣]*(?:{'|'.join(R.BANK_ENDINGS)})(?U:\s*)$', 0))"
+    claim = f"if(h.rule IN ({', '.join(banks)}) AND t IS NOT NULL, h.start - {named}, h.start)" if banks else "h.start"
+    return f"transform(_hits, h -> {_let_sql('t', _let_sql('c', context, by_rule), f'named_struct({_HIT}, {chr(39)}told{chr(39)}, t, {chr(39)}claim{chr(39)}, {claim})')})"
+
+
+_HIT = ", ".join(f"'{c}', h.{c}" for c in ("rule", "start", "end", "match"))
+_PARTS = {R.NUMBERS: ("_numbers", r"(?U)\d"), R.MAILS: ("_mails", "@")}
+
+
+def _judged(hit: Column, rules: tuple[R.Rule, ...]) -> Column:
+    """A hit of ``_told`` as a candidate; null if its rule's check or its missing anchor refuses it."""
+    checks = {}
+    for i, r in enumerate(rules):
+        checks.setdefault(r.validate, []).append(i)
+    said = reduce(lambda other, c: F.when(hit["rule"].isin(checks[c]), c(hit["match"])).otherwise(other), checks, F.lit(None))
+    base = F.get(F.array(*(F.lit(r.base) for r in rules)), hit["rule"])
+
+    def candidate(said: Column) -> Column:
+        told = hit["told"]
+        sure = F.round(F.least(F.lit(1.0), base + said["bonus"] + told["boost"]), 2)
+        fields = [hit["rule"], told["category"], told["pattern_type"], said["status"], sure, hit["start"], hit["end"], hit["claim"], hit["end"], hit["match"]]
+        return F.when(said["ok"] & told.isNotNull(), F.struct(*fields).cast(CANDIDATE))
 
+    return let(said, candidate)
 
-def all_candidates(text: Column, rules: tuple[R.Rule, ...]) -> Column:
-    """Candidates of all rules, by rule, then place: one pass over the page, no union of scans. Reads ``_linear``."""
+
+def with_candidates(df: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
+    """Add ``_all``: candidates of all ``rules`` in ``_norm``, by rule, then place, in one pass over the page.
+
+    First the page is searched for the few parts that hold digits or an ``@``; rules for numbers and mail then run there only.
+    Pages with so long a run of syllables that backtracking address rules crawl are the only ones whose address
+    rules are matched in Python, in linear time; no other page passes through it.
+    """
+    if not rules:
+        return df.withColumn("_all", F.array().cast(f"array<{CANDIDATE}>"))
+    text = F.col("_norm")
+    anything = r"_norm rlike r'(?U)[\d@가-힣]|APT'"
+    added = {"_blocks": f"if({anything}, regexp_extract_all(_norm, r'(?s).{{1,{BLOCK}}}', 0), cast(array() as array<string>))"}
+    for around, (name, pre) in _PARTS.items():
+        if any(r.around == around for r in rules):
+            added[name] = f"if(_norm rlike r'{pre}', {spans_sql('_norm', '(?U)' + around)}, cast(array() as {_SPANS}))"
+    df = once(df, "_parts", F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in added.items()) + ")"))
+    df = df.select("*", *(F.col(f"_parts.{k}").alias(k) for k in added)).drop("_parts")
     slow = [i for i, r in enumerate(rules) if r.category == "Address"]
-    return F.concat(*(candidates(text, i, r, F.get("_linear", F.lit(slow.index(i))) if i in slow else None) for i, r in enumerate(rules)))
+
+    def searched(df: DataFrame, linear: bool) -> DataFrame:
+        hits = ", ".join(_hits_sql(i, r, slow.index(i) if linear and i in slow else None) for i, r in enumerate(rules))
+        return once(once(df, "_hits", F.expr(f"concat({hits})")), "_told", F.expr(_told_sql(rules))).drop("_linear", "_hits", *added)
+
+    if slow:
+        crawls = text.rlike(f"(?U){SYLLABLE_RUN}")
+        crawling = df.where(crawls).withColumn("_linear", linear_spans(text, tuple(rules[i].pattern for i in slow)))
+        found = searched(df.where(~crawls), False).unionByName(searched(crawling, True))
+    else:
+        found = searched(df, False)
+    kept = F.filter(F.transform("_told", lambda h: _judged(h, rules)), lambda c: c.isNotNull())
+    return once(found, "_all", kept).drop("_told")
 
 
 Test = Callable[[Column, Column], Column]

@@ -9,7 +9,7 @@ from inkveil.functions import checks, geometry, text
 from inkveil.operators import changelog, dictionary, profile, redact, review
 from inkveil.operators.detect import detect, page_finds
 from inkveil.operators.layout import detect_layout
-from inkveil.operators.spans import anchor, before
+from inkveil.operators.spans import anchor, before, blocks
 from inkveil.plans import derived as D
 from inkveil.plans import detection_sql as Q
 from inkveil.plans.derived import boxed, flat, load
@@ -163,7 +163,7 @@ def dong_fuzzy(spark):
 @query("customer", sql=f"SELECT doc_id, CASE WHEN contains(c, '팩스') THEN 'FaxNumber' WHEN contains(c, '연락처') THEN 'PhoneNumber' END AS category FROM (SELECT doc_id, regexp_replace(lower(substr(text, 1, 6)), '\\s', '', 'g') AS c FROM ({D.SENTENCES}))")
 def anchor_context(spark):
     phone = next(r for r in RULES if r.pattern_type == "PhoneNumber" and r.required)
-    return spark.sql(D.SENTENCES).select("doc_id", anchor(before(F.col("text"), F.lit(6)), phone)["category"].alias("category"))
+    return spark.sql(D.SENTENCES).select("doc_id", anchor(before(blocks(F.col("text")), F.lit(6)), phone)["category"].alias("category"))
 
 
 # Redaction.

@@ -29,7 +29,8 @@ ANCHOR_WINDOW = 24
 RRN = r"\d{6}[-\s]?\d{7}"
 CARD = r"(?:\d{4}[-.\s/]\d{4}[-.\s/]\d{4}[-.\s/]\d{1,7}|\d{13,19})"
 PASSPORT = r"[MSROD](?:\d{8}|\d{3}[A-Z]\d{4})"
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+LOCAL, DOMAIN = r"[A-Za-z0-9._%+\-]", r"[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+EMAIL = f"{LOCAL}+@{DOMAIN}"
 AREA_CODES = "02|031|032|033|041|042|043|044|051|052|053|054|055|061|062|063|064|070|080"
 #: Further last numbers of a phone number's line, as they stand in the patterns below.
 TAILS = r"(?:,\s?\d{4})*"
@@ -62,6 +63,12 @@ DAMAGED_LOT = r"(?:[가-힣]{0,4}[\s\d]{0,3}동\s*)?\d{1,4}\s*-\s*\d{1,4}(?:번
 LATE_BUILDING = r"(?:마을|마를|아파트|APT|빌라|빌리지|타운|단지|주공|맨션|연립|빌딩)"
 
 
+# Parts of a page outside of which the rules cannot match: a number's match begins with a digit or with one of these
+# characters before a digit, and goes on in characters of its class; an address of mail lies around an ``@``.
+NUMBERS = r"[(MSROD]?\d[\d\s\-./,()A-Z년월일]*+"
+MAILS = rf"(?<![A-Za-z0-9._%+@\-]){LOCAL}*+@[A-Za-z0-9._%+@\-]*+"
+
+
 @dataclass(frozen=True)
 class Anchor:
     """Words of which one before a match raises its confidence, and may change its category."""
@@ -95,10 +102,18 @@ class Rule:
 
         Java's matcher calls itself for each repeat of a group unless the repeat is possessive. Tails and
         details end a pattern, where giving repeats back cannot help, so they are made so: any number matches.
+        A mail address begins where its run of characters does, or after the match before it: without that, each
+        character of a long run would be tried.
         """
         if self.digit_boundary:
             return rf"(?U)(?<!\d)(?:{self.pattern})(?!\d)"
-        return "(?U)" + self.pattern.replace(TAILS, TAILS + "+").replace(DETAIL, DETAIL + "+")
+        mail = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{DOMAIN}"
+        return "(?U)" + self.pattern.replace(EMAIL, mail).replace(TAILS, TAILS + "+").replace(DETAIL, DETAIL + "+")
+
+    @property
+    def around(self) -> str | None:
+        """The pattern of the parts of a page that hold all matches; None: any part can."""
+        return None if self.category == "Address" else MAILS if self.category == "Email" else NUMBERS
 
 
 _FAX_OR_PHONE = (Anchor(FAX_WORDS, "FaxNumber"), Anchor(PHONE_WORDS))
