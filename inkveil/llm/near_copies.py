@@ -19,6 +19,8 @@ BANDS, ROWS = 24, 6
 BLOCK = 1 << 11
 #: Bytes of shingles in one batch.
 PORTION = 8_000_000
+#: A shingle in no more than so many of the texts that are left is tried first.
+RARE = 16
 #: Pairs of one pivot that one task verifies; more are spread over copies of the pivot.
 PAIRS_AT_ONCE = 1000
 
@@ -92,27 +94,38 @@ def _verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
     return own.join(theirs, ["pivot", "copy"]).where(alike).select("node", "pivot")
 
 
-def _by_rare_shingles(nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """``node, pivot``: every pair of ``nodes`` (``node, n, part``) of different parts that can have the similarity.
+def _prefixes(nodes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """``s, node, n, at, texts``: the first shingles of each of ``nodes`` (``node, n``) that others of them have, too.
 
-    Prefix filter: shingles are put in one order, those in the fewest of these texts first. Two sets of that similarity
-    share a shingle among the first of each, n - similarity * n + 1, so an equi-join on these misses no pair; a passage
-    that many unlike texts share stands behind what they have of their own. Of the texts with a shingle, those of the part
-    that has most of them meet only the others, never each other.
+    Shingles are put in one order, those in the fewest of these texts first; ``at`` is a shingle's place in its text's
+    order, from 1. Two sets of the similarity share a shingle among the first n - similarity * n + 1 of each. A
+    passage that many unlike texts share stands behind what they have of their own.
     """
-    listed = nodes.join(shingles, "node").select("node", "n", "part", F.explode("shingles").alias("s"))
+    listed = nodes.join(shingles, "node").select("node", "n", F.explode("shingles").alias("s"))
     common = listed.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1")
-    ranked = listed.join(common, "s", "left").groupBy("node", "n", "part").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "s"))).alias("order"))
+    ranked = listed.join(common, "s", "left").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("texts", F.lit(1)).alias("texts"), "s"))).alias("order"))
     length = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int")
-    first = ranked.select("node", "n", "part", F.explode(F.slice("order", F.lit(1), length)).alias("o")).where("o.texts > 1")
-    first = land(first.select("node", "n", "part", F.col("o.s").alias("s")), "first")
-    parts = first.groupBy("s", "part").agg(F.count("*").alias("texts"))
-    most = parts.groupBy("s").agg(F.max_by("part", F.struct("texts", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    shared = land(first.join(most.drop("parts"), "s"), "shared")
-    few = shared.where("part <> most").select("s", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("part").alias("pivot_part"))
-    met = shared.join(few, "s").where((F.col("part") != F.col("pivot_part")) & (F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n")))
-    # two of the few meet twice
-    return met.where((F.col("part") == F.col("most")) | (F.col("node") < F.col("pivot"))).select("node", "pivot").distinct()
+    first = ranked.select("node", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "o")).where("o.texts > 1")
+    return first.select(F.col("o.s").alias("s"), "node", "n", (F.col("at") + 1).alias("at"), F.col("o.texts").alias("texts"))
+
+
+def _across(first: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """``node, pivot``: every pair of different parts (``parts``: ``node, part``) that meets in ``first`` (:func:`_prefixes`) and can have the similarity.
+
+    Of the texts with a shingle, those of the part that has most of them meet only the others, never each other. The
+    first shingle that two texts share leaves room for as many more as stand behind it in both: where that is too few for
+    the similarity, they are no pair.
+    """
+    placed = land(first.join(parts, "node"), "placed")
+    counts = placed.groupBy("s", "part").agg(F.count("*").alias("texts"))
+    most = counts.groupBy("s").agg(F.max_by("part", F.struct("texts", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    shared = land(placed.drop("texts").join(most.drop("parts"), "s"), "shared")
+    few = shared.where("part <> most").select("s", *(F.col(c).alias(f"pivot{u}") for c, u in (("node", ""), ("n", "_n"), ("at", "_at"), ("part", "_part"))))
+    room = 1 + F.least(F.col("n") - F.col("at"), F.col("pivot_n") - F.col("pivot_at"))
+    fits = room >= similarity / (1 + similarity) * (F.col("n") + F.col("pivot_n")) - 1e-6
+    once = (F.col("part") == F.col("most")) | (F.col("node") < F.col("pivot"))  # two of the few meet twice
+    met = shared.join(few, (shared.s == few.s) & (F.col("part") != F.col("pivot_part")) & once & fits)
+    return met.select("node", "pivot").distinct()
 
 
 def similar_links(nodes: DataFrame, shingles: DataFrame, similarity: float, radius: int) -> DataFrame:
@@ -146,10 +159,16 @@ def similar_links(nodes: DataFrame, shingles: DataFrame, similarity: float, radi
     roots = components(linked.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     placed = land(members.drop("weight").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part")), "placed")
     open_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", F.lit(True).alias("open"))
-    left = salted_left_join(placed, open_keys, "key", ["node"]).where("open").select("node", "n", "part").distinct()
-    across = land(_by_rare_shingles(land(left, "open"), shingles, similarity), "across")
-    both = linked.unionByName(_verified(across, shingles, similarity))
-    return both.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    left = land(salted_left_join(placed, open_keys, "key", ["node"]).where("open").select("node", "n", "part").distinct(), "open")
+    first, parts = land(_prefixes(left.select("node", "n"), shingles, similarity), "prefixes"), left.select("node", "part")
+    # What few texts share joins most parts, so that what many share has few pairs left to try.
+    for some in (first.where(F.col("texts") <= RARE), first.where(F.col("texts") > RARE)):
+        new = land(_verified(land(_across(some, parts, similarity), "across"), shingles, similarity), "linked")
+        linked = linked.unionByName(new)
+        named = lambda node, part: parts.select(F.col("node").alias(node), F.col("part").alias(part))
+        joined = components(new.join(named("node", "a"), "node").join(named("pivot", "b"), "pivot").select("a", "b").distinct())
+        parts = land(parts.join(joined.select(F.col("node").alias("part"), "root"), "part", "left").select("node", F.coalesce("root", "part").alias("part")), "parts")
+    return linked.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

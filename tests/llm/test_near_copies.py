@@ -91,9 +91,10 @@ def test_a_passage_of_many_unlike_texts_makes_no_pairs(spark):
     passage = [f"p{i}" for i in range(90)]
     texts = [(i, " ".join([f"w{rng.randrange(10**7)}" for _ in range(30)] + passage)) for i in range(1500)]
     marked = near_copies._marks(spark.createDataFrame(texts, "doc_id long, text string"), 5, "doc_id", "text", F.lit(""))
-    nodes = marked.select(F.col("doc_id").alias("node"), "n", F.col("doc_id").alias("part"))
     shingles = marked.select(F.col("doc_id").alias("node"), "shingles")
-    assert near_copies._by_rare_shingles(nodes, shingles, 0.8).count() == 0
+    first = near_copies._prefixes(marked.select(F.col("doc_id").alias("node"), "n"), shingles, 0.8)
+    parts = marked.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("part"))
+    assert near_copies._across(first, parts, 0.8).count() == 0
 
 
 def test_edge_cases(spark):
