@@ -55,6 +55,11 @@ def delete_entries(items: DataFrame, group_id: str | None = None) -> DataFrame:
     return items.select("doc_id", n.alias("n"), F.lit("delete").alias("action"), F.col("id").alias("item_id"), F.col("state").alias("before"), F.lit(None).cast(items.schema["state"].dataType).alias("after"), F.lit(group_id).cast("string").alias("group_id"))
 
 
+def delete_listed(items: DataFrame, listed: DataFrame) -> DataFrame:
+    """One delete entry, a step of its own, for each of ``items`` (``doc_id, id, state``) that ``listed`` (``doc_id, id``) names; names without an item are ignored."""
+    return delete_entries(items.join(listed.select("doc_id", "id"), ["doc_id", "id"], "left_semi"))
+
+
 def add_and_absorb(box: DataFrame, absorbed: DataFrame, group_id: str) -> DataFrame:
     """Entries of one step: the items that a new box absorbs go, then the box (``doc_id, id, state``) comes."""
     gone = delete_entries(absorbed, group_id)

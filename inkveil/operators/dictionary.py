@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import compact
@@ -26,13 +26,30 @@ def exact(rows: DataFrame, dongs: DataFrame, text_col: str, key: list[str]) -> D
     return ends.join(names, "ending", "left_semi").select(*key).distinct()
 
 
-def fuzzy(rows: DataFrame, dongs: DataFrame, text_col: str, key: list[str]) -> DataFrame:
-    """Keys of rows whose text ends in a district with one character wrong: an ending of 3 to 6 characters, not in 동 or 리, one edit off at most.
+def _variants(name: Column) -> Column:
+    """A name and all that is left of it without one character, each once."""
+    n = F.length(name)
+    shorter = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, n)))
+    return F.array_distinct(F.concat(F.array(name), F.when(n > 0, shorter).otherwise(F.array().cast("array<string>"))))
+
+
+def near_names(asked: DataFrame, names: DataFrame, asked_col: str, name_col: str) -> DataFrame:
+    """Pairs of ``asked`` and ``names`` (their columns of these names, each value once) at an edit distance of one at most.
+
+    Deletion neighbourhoods: each side emits itself and all its forms with one character less; two strings one edit apart
+    share such a form, whether the edit inserts, deletes or replaces, so an equi-join on forms misses none, and the distance
+    is then verified. A form is shared by a few names only, however long the dictionary, so no key is hot.
 
-    Joined on the length of the name, so each ending meets names of three lengths only.
+    Defined cases: null values pair with nothing; an empty value pairs with single characters; empty tables give no rows.
     """
-    ends = _endings(rows.where(~F.col(text_col).rlike(r"(?U)[동리]\s*$")), text_col, 3, 6, "구시군읍면도", whole=False)
-    ends = ends.withColumn("length", F.explode(F.expr("sequence(length(ending) - 1, length(ending) + 1)")))
-    names = dongs.select(compact(F.col("dong")).alias("name")).distinct().withColumn("length", F.length("name"))
-    near = F.levenshtein("ending", "name", 1) >= 0
-    return ends.join(names, "length").where(near & (F.length("ending") >= 3)).select(*key).distinct()
+    spread = lambda df, c: df.where(F.col(c).isNotNull()).select(c).distinct().withColumn("_form", F.explode(_variants(F.col(c))))
+    met = spread(asked, asked_col).join(spread(names, name_col), "_form").select(asked_col, name_col).distinct()
+    return met.where(F.levenshtein(asked_col, name_col, 1) >= 0)
+
+
+def fuzzy(rows: DataFrame, dongs: DataFrame, text_col: str, key: list[str]) -> DataFrame:
+    """Keys of rows whose text ends in a district with one character wrong: an ending of 3 to 6 characters, not in 동 or 리, one edit off at most."""
+    ends = _endings(rows.where(~F.col(text_col).rlike(r"(?U)[동리]\s*$")), text_col, 3, 6, "구시군읍면도", whole=False).where(F.length("ending") >= 3)
+    names = dongs.select(compact(F.col("dong")).alias("name"))
+    known = near_names(ends, names, "ending", "name").select("ending").distinct()
+    return ends.join(known, "ending", "left_semi").select(*key).distinct()

@@ -68,3 +68,8 @@ def section_of(pages: DataFrame, outline: DataFrame) -> DataFrame:
     both = rows.unionByName(nodes.withColumn("row", F.lit(None).cast(rows.schema["row"].dataType)))
     w = Window.partitionBy("doc_id").orderBy("at", "position").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("section", F.last("node", ignorenulls=True).over(w)).where(F.col("row").isNotNull()).select("row.*", "section")
+
+
+def node_counts(outline: DataFrame) -> DataFrame:
+    """For each document of an outline (``doc_id, node_id, parent_id, page_index``): nodes, nodes at the top, and nodes that lead to a page."""
+    return outline.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("parent_id").isNull()).alias("n_top"), F.count("page_index").alias("n_placed"))

@@ -34,6 +34,28 @@ def route_pages(boxes: DataFrame, objects: DataFrame) -> DataFrame:
     return pages.join(largest, ["doc_id", "page"], "left").select("doc_id", "page", "n_boxes", "area", F.when(F.col("largest") > OVERSIZE * F.col("area"), "page").otherwise("spans").alias("route"))
 
 
+def carry_out(glyphs: DataFrame, boxes: DataFrame, objects: DataFrame) -> DataFrame:
+    """Glyphs (``doc_id, page, box``) with the ``route`` of their page and ``removed``: what goes is marked, so both outputs come from one plan.
+
+    On a page with the route ``page`` (:func:`route_pages`) all glyphs go; on one with ``spans`` those that overlap a box. Pages
+    without boxes have no route and lose nothing. Rows that are left: ``where("NOT removed")``; the count of what each
+    route removed: :func:`removed_counts`. Repeated boxes count once for a glyph; null keys match no page.
+    """
+    routes = route_pages(boxes, objects).select("doc_id", "page", "route")
+    routed = glyphs.join(routes, ["doc_id", "page"], "left")
+    hit = routed.where("route = 'spans'").select("doc_id", "page", "box").distinct().alias("g")
+    b = boxes.select("doc_id", "page", "bbox").alias("b")
+    on = (F.col("g.doc_id") == F.col("b.doc_id")) & (F.col("g.page") == F.col("b.page")) & geometry.overlaps(F.col("g.box"), F.col("b.bbox"))
+    under = hit.join(b, on, "left_semi").withColumn("_under", F.lit(True))
+    marked = routed.join(under, ["doc_id", "page", "box"], "left")
+    return marked.withColumn("removed", (F.coalesce(F.col("route") == "page", F.lit(False))) | F.coalesce("_under", F.lit(False))).drop("_under")
+
+
+def removed_counts(carried: DataFrame) -> DataFrame:
+    """For each page of :func:`carry_out`: its route, and how many glyphs went and stayed."""
+    return carried.groupBy("doc_id", "page", "route").agg(F.count_if("removed").alias("n_removed"), F.count_if(~F.col("removed")).alias("n_left"))
+
+
 def residue(redacted: DataFrame, text_col: str = "text") -> DataFrame:
     """Finds of ``redacted`` pages (``finds, redacted`` and the original text) whose content still stands in the redacted text; empty if all is well.
 

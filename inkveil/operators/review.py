@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import geometry
 from inkveil.functions.text import category_label
+from inkveil.operators.spans import running_sum
 
 PAGE = ["doc_id", "page"]
 
@@ -50,9 +51,19 @@ def save_filter(items: DataFrame, categories: list[str] | None) -> DataFrame:
     return items.withColumn("redact", F.lit(True) if categories is None else F.col("category").isin(categories) if categories else F.lit(False))
 
 
+def save_summary(items: DataFrame, categories: list[str] | None) -> DataFrame:
+    """For each document of :func:`save_filter`: how many items a save redacts, and how many the category filter hides from it."""
+    told = save_filter(items, categories)
+    return told.groupBy("doc_id").agg(F.count_if("redact").alias("n_redacted"), F.count_if(~F.col("redact")).alias("n_hidden"))
+
+
 def list_order(column: str = "position", descending: bool = False) -> list[Column]:
-    """Order of the list by ``category`` (label), ``content``, ``page`` or position; ties by position and id."""
-    key = {"category": [category_label(F.col("category"))], "content": [F.col("content")], "page": [F.col("page")]}.get(column, [])
+    """Order of the list by ``category`` (label), ``content``, ``page`` or position; ties by position and id.
+
+    Labels and contents are in Korean order: Hangul before Latin letters, and these without regard to case first.
+    """
+    korean = lambda c: F.collate(c, "ko")
+    key = {"category": [korean(category_label(F.col("category")))], "content": [korean(F.col("content"))], "page": [F.col("page")]}.get(column, [])
     place = [F.col("page"), F.col("bbox.y"), F.col("bbox.x"), F.col("id")]
     return [c.desc() if descending else c.asc() for c in [*key, *place]]
 
@@ -114,36 +125,99 @@ def reanchor(items: DataFrame, pages: DataFrame, text_col: str = "text") -> Data
     return joined.withColumn("found_at", found).withColumn("position_uncertain", F.col("found_at").isNull()).drop("_page")
 
 
-def shift_group(items: DataFrame, dx: float, dy: float, keys: list[str] | None = None) -> DataFrame:
-    """Move each group (by ``keys``) by one shift, cut so that the whole group stays on the page; one larger than the page ends at its left or top."""
+def reanchor_boxes(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Items (``doc_id, page, bbox, content``) with the box around the first place where their content stands on their page, and ``found_at``.
+
+    ``pages`` (``doc_id, page_index, glyphs``) are put together to texts, as they are; a glyph may hold several characters
+    or none, so the hit's characters are led back to the glyphs that they come from. What is not found keeps its box and is
+    ``position_uncertain``.
+
+    Defined cases: an empty or null content, a page that is missing and one without glyphs find nothing; of repeated
+    pages one is used; items with null keys find nothing; other columns come along.
+    """
+    box = lambda g: geometry.box(g["x"].cast("double"), g["y"].cast("double"), g["w"].cast("double"), g["h"].cast("double"))
+    drawn = pages.groupBy("doc_id", F.col("page_index").alias("page")).agg(F.first("glyphs").alias("_glyphs"))
+    texts = F.transform("_glyphs", lambda g: F.coalesce(g["ch"], F.lit("")))
+    read = drawn.withColumn("_page", F.array_join(texts, "")).withColumn("_single", F.forall(texts, lambda t: F.length(t) == 1))
+    joined = items.join(read, PAGE, "left")
+    at = F.expr("position(content, _page)")
+    step = joined.withColumn("found_at", F.when((F.coalesce(F.length("content"), F.lit(0)) > 0) & (at > 0), at - 1))
+    start, size = F.col("found_at"), F.length("content")
+    # With one character a glyph, places are glyphs; else a glyph counts if its characters and the hit's overlap.
+    ends = running_sum(F.transform("_glyphs", lambda g: F.length(F.coalesce(g["ch"], F.lit("")))))
+    placed = F.zip_with("_glyphs", ends, lambda g, e: F.struct(g.alias("g"), (e - F.length(F.coalesce(g["ch"], F.lit("")))).alias("s"), e.alias("e")))
+    several = F.transform(F.filter(placed, lambda p: (p["e"] > start) & (p["s"] < start + size) & (p["e"] > p["s"])), lambda p: p["g"])
+    hit = F.when(F.col("_single"), F.slice("_glyphs", start + 1, size)).otherwise(several)
+    found = F.when(start.isNotNull(), geometry.union_box(F.transform(hit, box)))
+    boxed = step.withColumn("_found", found).withColumn("bbox", F.coalesce("_found", "bbox"))
+    return boxed.withColumn("position_uncertain", start.isNull()).drop("_glyphs", "_page", "_single", "_found")
+
+
+#: The whole page, for groups that no margin binds.
+_PAGE_BOUNDS = "named_struct('min_x', 0D, 'min_y', 0D, 'max_x', 1D, 'max_y', 1D)"
+
+
+def _bounded(items: DataFrame, zones: DataFrame | None) -> DataFrame:
+    """Add ``_b``: what the margins of the page's zone (``doc_id, page, margins``) leave free; without one the whole page."""
+    if zones is None:
+        return items.withColumn("_b", F.expr(_PAGE_BOUNDS))
+    free = zones.select(*PAGE, geometry.bounds(F.col("margins")).alias("_b"))
+    return items.join(free, PAGE, "left").withColumn("_b", F.coalesce("_b", F.expr(_PAGE_BOUNDS)))
+
+
+def shift_group(items: DataFrame, dx: float, dy: float, keys: list[str] | None = None, zones: DataFrame | None = None) -> DataFrame:
+    """Move each group (by ``keys``) by one shift, cut so that the whole group stays within its page or what ``zones`` leave of it.
+
+    A group larger than that ends at its left or top. A group over several pages keeps within the tightest of their bounds.
+    """
     w = Window.partitionBy(*(keys or PAGE))
     b = F.col("bbox")
-    cut = lambda d, low, high: F.greatest(F.least(F.lit(d), 1 - high), -low)
-    x = cut(dx, F.min(b["x"]).over(w), F.max(b["x"] + b["width"]).over(w))
-    y = cut(dy, F.min(b["y"]).over(w), F.max(b["y"] + b["height"]).over(w))
-    return items.withColumn("_dx", x).withColumn("_dy", y).withColumn("bbox", geometry.box(b["x"] + F.col("_dx"), b["y"] + F.col("_dy"), b["width"], b["height"])).drop("_dx", "_dy")
+    held = _bounded(items, zones)
+    edge = lambda name, f: f(F.col(f"_b.{name}")).over(w)
+    cut = lambda d, low, high, least, most: F.greatest(F.least(F.lit(d), most - high), least - low)
+    x = cut(dx, F.min(b["x"]).over(w), F.max(b["x"] + b["width"]).over(w), edge("min_x", F.max), edge("max_x", F.min))
+    y = cut(dy, F.min(b["y"]).over(w), F.max(b["y"] + b["height"]).over(w), edge("min_y", F.max), edge("max_y", F.min))
+    moved = held.withColumn("_dx", x).withColumn("_dy", y).withColumn("bbox", geometry.box(b["x"] + F.col("_dx"), b["y"] + F.col("_dy"), b["width"], b["height"]))
+    return moved.drop("_dx", "_dy", "_b")
 
 
-def scale_group(items: DataFrame, x: float, y: float, width: float, height: float, keys: list[str] | None = None) -> DataFrame:
-    """Map each group's common box onto the given one; an axis of no size keeps its scale."""
+def scale_group(items: DataFrame, x: float, y: float, width: float, height: float, keys: list[str] | None = None, zones: DataFrame | None = None) -> DataFrame:
+    """Map each group's common box onto the given one; an axis of no size keeps its scale. With ``zones`` each box is cut to what they leave free of its page."""
     w = Window.partitionBy(*(keys or PAGE))
     b = F.col("bbox")
     left, top = F.min(b["x"]).over(w), F.min(b["y"]).over(w)
     wide, high = F.max(b["x"] + b["width"]).over(w) - left, F.max(b["y"] + b["height"]).over(w) - top
     step = items.withColumns({"_l": left, "_t": top, "_sx": F.when(wide > 0, width / wide).otherwise(1.0), "_sy": F.when(high > 0, height / high).otherwise(1.0)})
     new = geometry.box(x + (b["x"] - F.col("_l")) * F.col("_sx"), y + (b["y"] - F.col("_t")) * F.col("_sy"), b["width"] * F.col("_sx"), b["height"] * F.col("_sy"))
-    return step.withColumn("bbox", new).drop("_l", "_t", "_sx", "_sy")
+    scaled = step.withColumn("bbox", new).drop("_l", "_t", "_sx", "_sy")
+    if zones is None:
+        return scaled
+    free = F.col("_b")
+    inside = lambda at, size, low, most: (F.least(F.greatest(at, low), most), F.least(F.greatest(at + size, low), most))
+    (x0, x1), (y0, y1) = inside(b["x"], b["width"], free["min_x"], free["max_x"]), inside(b["y"], b["height"], free["min_y"], free["max_y"])
+    return _bounded(scaled, zones).withColumn("bbox", geometry.box(x0, y0, x1 - x0, y1 - y0)).drop("_b")
+
+
+#: Boxes of a template at most: it is one group drawn by hand, and goes into the plan.
+TEMPLATE_BOXES = 1000
 
 
 def stamp(template: DataFrame, pages: DataFrame) -> DataFrame:
-    """Copy a group of boxes (``n, bbox``; as small as one page's) to each page's anchor (``doc_id, page, x, y``), moved back where it would leave the page, sizes kept."""
-    b = F.col("bbox")
-    w = Window.partitionBy()
-    rel = template.select("n", b["width"].alias("w"), b["height"].alias("h"), (b["x"] - F.min(b["x"]).over(w)).alias("ox"), (b["y"] - F.min(b["y"]).over(w)).alias("oy"))
-    group = rel.agg(F.collect_list(F.struct("n", "w", "h", "ox", "oy")).alias("boxes"), F.max(F.col("ox") + F.col("w")).alias("wide"), F.max(F.col("oy") + F.col("h")).alias("high"))
-    hit = lambda at, size: F.greatest(F.least(F.col(at), 1 - F.col(size)), F.lit(0.0))
-    placed = pages.withColumn("_one", F.lit(1)).join(F.broadcast(group.withColumn("_one", F.lit(1))), "_one").select("doc_id", "page", hit("x", "wide").alias("ax"), hit("y", "high").alias("ay"), F.explode("boxes").alias("t"))
-    return placed.select("doc_id", "page", F.col("t.n").alias("n"), geometry.box(F.col("ax") + F.col("t.ox"), F.col("ay") + F.col("t.oy"), F.col("t.w"), F.col("t.h")).alias("bbox"))
+    """Copy a group of boxes (``n, bbox``) to each page's anchor (``doc_id, page, x, y``), moved back where it would leave the page, sizes kept.
+
+    The template is read to the driver, with an error for more than :data:`TEMPLATE_BOXES` boxes, and is a constant
+    of the plan, so that stamping is one projection of the pages. An empty template gives no rows.
+    """
+    rows = template.select("n", "bbox.x", "bbox.y", "bbox.width", "bbox.height").orderBy("n").limit(TEMPLATE_BOXES + 1).collect()
+    if len(rows) > TEMPLATE_BOXES:
+        raise ValueError(f"a template has {TEMPLATE_BOXES} boxes at most")
+    left, top = (min((r[c] for r in rows), default=0.0) for c in ("x", "y"))
+    wide, high = (max((r[c] + r[s] for r in rows), default=0.0) - at for c, s, at in (("x", "width", left), ("y", "height", top)))
+    kind = f"array<struct<n:{template.schema['n'].dataType.simpleString()},x:double,y:double,width:double,height:double>>"
+    boxes = F.array(*(F.struct(F.lit(r["n"]), F.lit(r["x"] - left), F.lit(r["y"] - top), F.lit(r["width"]), F.lit(r["height"])) for r in rows)).cast(kind)
+    hit = lambda at, size: F.greatest(F.least(F.col(at), F.lit(1 - size)), F.lit(0.0))
+    placed = pages.select("doc_id", "page", hit("x", wide).alias("ax"), hit("y", high).alias("ay"), F.explode(boxes).alias("t"))
+    return placed.select("doc_id", "page", F.col("t.n").alias("n"), geometry.box(F.col("ax") + F.col("t.x"), F.col("ay") + F.col("t.y"), F.col("t.width"), F.col("t.height")).alias("bbox"))
 
 
 def exclude_margins(glyphs: DataFrame, zones: DataFrame) -> DataFrame:
@@ -157,6 +231,19 @@ def upsert_zones(zones: DataFrame, new: DataFrame) -> DataFrame:
     return zones.join(new, PAGE, "left_anti").unionByName(new)
 
 
+def same_margins(pages: DataFrame, margins: Column) -> DataFrame:
+    """Zones that give all ``pages`` (``doc_id, page``) the same margins, clamped."""
+    m = geometry.clamp_margins(*(margins[c] for c in ("top", "bottom", "left", "right")))
+    return pages.select(*PAGE).distinct().withColumn("margins", m)
+
+
+def replace_imported(items: DataFrame, log: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and log after an import: a document with imported rows has those only, and its log is empty; others stay as they are."""
+    documents = imported.select("doc_id").distinct()
+    own = items.join(documents, "doc_id", "left_anti")
+    return own.unionByName(imported, allowMissingColumns=True), log.join(documents, "doc_id", "left_anti")
+
+
 def summary(items: DataFrame) -> DataFrame:
     """Counts by category, validation and confidence band, with subtotals."""
     band = F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.5, "middle").otherwise("low")

@@ -182,7 +182,7 @@ def redact_residual(spark):
 
 
 _OBJECTS = "SELECT doc_id, page, CASE n % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'form' ELSE 'text' END AS kind, x, y, width * (1 + n % 24) AS width, height * (1 + n % 12) AS height FROM (" + D.GLYPHS + ") g"
-_OVER = "a.x < b.x + b.width AND b.x < a.x + a.width AND a.y < b.y + b.height AND b.y < a.y + a.height"
+_OVER = _BOXES_OVER = "a.x < b.x + b.width AND b.x < a.x + a.width AND a.y < b.y + b.height AND b.y < a.y + a.height"
 
 
 @query(

@@ -7,7 +7,7 @@ import sys
 import duckdb
 import pytest
 
-from inkveil.plans import catalogue
+from inkveil.plans import catalogue, placed  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
