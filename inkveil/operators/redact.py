@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +21,32 @@ def redact_texts(found: DataFrame, categories: list[str] | None = None, token: b
     return found.withColumn("redacted", masked(F.coalesce(F.col(text_col), F.lit("")), finds, token))
 
 
+def _overlapping(left: DataFrame, right: DataFrame, box: str, kept: list[str]) -> DataFrame:
+    """``kept`` of ``left`` (``doc_id, page`` and ``box``) and ``right``'s ``bbox``, for each pair on a page that overlaps, once.
+
+    Both sides are put in the cells of the page's grid that they touch and meet there; a pair counts in the cell that owns it.
+    """
+    cells = lambda df, c: df.withColumn("_cell", F.explode(geometry.grid_cells(F.col(c))))
+    a = cells(left.select("doc_id", "page", box, *kept), box).alias("a")
+    b = cells(right.select("doc_id", "page", "bbox"), "bbox").alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "page", "_cell")))
+    ours, theirs = F.col(f"a.{box}"), F.col("b.bbox")
+    met = a.join(b, same & geometry.overlaps(ours, theirs) & (F.col("a._cell") == geometry.owner_cell(ours, theirs)))
+    return met.select("a.doc_id", "a.page", *(F.col(f"a.{c}") for c in kept), F.col("b.bbox").alias("other"))
+
+
 def redact_glyphs(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Glyphs (``doc_id, page, box``) that overlap no box of their page."""
-    g, b = glyphs.alias("g"), boxes.select("doc_id", "page", "bbox").alias("b")
-    return g.join(b, (F.col("g.doc_id") == F.col("b.doc_id")) & (F.col("g.page") == F.col("b.page")) & geometry.overlaps(F.col("g.box"), F.col("b.bbox")), "left_anti")
+    """Glyphs (``doc_id, page, box``) that overlap no box of their page. A glyph is small: it meets boxes in the few cells of the grid that it touches."""
+    g = glyphs.withColumn("_box", F.col("box"))
+    under = _overlapping(g.select("doc_id", "page", "box", "_box").distinct(), boxes, "box", ["_box"]).select("doc_id", "page", "_box").distinct()
+    return g.join(under, ["doc_id", "page", "_box"], "left_anti").select(*glyphs.columns)
 
 
 def route_pages(boxes: DataFrame, objects: DataFrame) -> DataFrame:
     """``doc_id, page, n_boxes, area, route``: ``page`` where a form or image object overlaps a box and is over three times the boxes' area, else ``spans``."""
     pages = boxes.groupBy("doc_id", "page").agg(F.count("*").alias("n_boxes"), F.sum(F.col("bbox.width") * F.col("bbox.height")).alias("area"))
-    b, o = boxes.alias("b"), objects.where(F.col("kind").isin("form", "image")).alias("o")
-    on = (F.col("b.doc_id") == F.col("o.doc_id")) & (F.col("b.page") == F.col("o.page")) & geometry.overlaps(F.col("b.bbox"), F.col("o.bbox"))
-    largest = b.join(o, on).groupBy("b.doc_id", "b.page").agg(F.max(F.col("o.bbox.width") * F.col("o.bbox.height")).alias("largest"))
+    held = objects.where(F.col("kind").isin("form", "image")).withColumn("area", F.col("bbox.width") * F.col("bbox.height")).withColumnRenamed("bbox", "box")
+    largest = _overlapping(held, boxes, "box", ["area"]).groupBy("doc_id", "page").agg(F.max("area").alias("largest"))
     return pages.join(largest, ["doc_id", "page"], "left").select("doc_id", "page", "n_boxes", "area", F.when(F.col("largest") > OVERSIZE * F.col("area"), "page").otherwise("spans").alias("route"))
 
 
@@ -43,10 +59,8 @@ def carry_out(glyphs: DataFrame, boxes: DataFrame, objects: DataFrame) -> DataFr
     """
     routes = route_pages(boxes, objects).select("doc_id", "page", "route")
     routed = glyphs.join(routes, ["doc_id", "page"], "left")
-    hit = routed.where("route = 'spans'").select("doc_id", "page", "box").distinct().alias("g")
-    b = boxes.select("doc_id", "page", "bbox").alias("b")
-    on = (F.col("g.doc_id") == F.col("b.doc_id")) & (F.col("g.page") == F.col("b.page")) & geometry.overlaps(F.col("g.box"), F.col("b.bbox"))
-    under = hit.join(b, on, "left_semi").withColumn("_under", F.lit(True))
+    hit = routed.where("route = 'spans'").select("doc_id", "page", "box", F.col("box").alias("_box")).distinct()
+    under = _overlapping(hit, boxes, "box", ["_box"]).select("doc_id", "page", F.col("_box").alias("box")).distinct().withColumn("_under", F.lit(True))
     marked = routed.join(under, ["doc_id", "page", "box"], "left")
     return marked.withColumn("removed", (F.coalesce(F.col("route") == "page", F.lit(False))) | F.coalesce("_under", F.lit(False))).drop("_under")
 

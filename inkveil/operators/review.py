@@ -37,11 +37,13 @@ def absorbed(items: DataFrame, boxes: DataFrame) -> DataFrame:
     return i.join(b, on, "left_semi")
 
 
-def list_filter(items: DataFrame, categories: list[str] | None = None, pages: list[int] | None = None) -> DataFrame:
-    """Items of the categories and (1-based) pages; None filters nothing, an empty list lets nothing pass."""
+def list_filter(items: DataFrame, categories: list[str] | None = None, pages: list[int] | Column | None = None) -> DataFrame:
+    """Items of the categories and (1-based) pages; None filters nothing, an empty list lets nothing pass. Pages may be an array column."""
     if categories is not None:
         items = items.where(F.col("category").isin(categories) if categories else F.lit(False))
-    if pages is not None:
+    if isinstance(pages, Column):
+        items = items.where(F.array_contains(pages, F.col("page") + 1))
+    elif pages is not None:
         items = items.where((F.col("page") + 1).isin(pages) if pages else F.lit(False))
     return items
 
@@ -110,9 +112,14 @@ def new_items(boxes: DataFrame, now: Column) -> DataFrame:
 
 
 def text_in_boxes(boxes: DataFrame, glyphs: DataFrame) -> DataFrame:
-    """``text`` of each box (``doc_id, page, id, bbox``): glyphs (``doc_id, page, n, ch, box``) whose centre it holds, in order, trimmed."""
-    b, g = boxes.alias("b"), glyphs.alias("g")
-    on = (F.col("b.doc_id") == F.col("g.doc_id")) & (F.col("b.page") == F.col("g.page")) & geometry.centre_inside(F.col("g.box"), F.col("b.bbox"))
+    """``text`` of each box (``doc_id, page, id, bbox``): glyphs (``doc_id, page, n, ch, box``) whose centre it holds, in order, trimmed.
+
+    Joined on the page's grid: a glyph is in the cell of its centre only, a box in all cells that it touches, so each
+    pair meets once and a box meets the glyphs around it, not those of the whole page.
+    """
+    b = boxes.select(*PAGE, "id", "bbox", F.explode(geometry.grid_cells(F.col("bbox"))).alias("cell")).alias("b")
+    g = glyphs.select(*PAGE, "n", "ch", "box", geometry.centre_cell(F.col("box")).alias("cell")).alias("g")
+    on = (F.col("b.doc_id") == F.col("g.doc_id")) & (F.col("b.page") == F.col("g.page")) & (F.col("b.cell") == F.col("g.cell")) & geometry.centre_inside(F.col("g.box"), F.col("b.bbox"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("g.n").isNotNull(), F.struct("g.n", "g.ch")))), lambda x: x["ch"]), "")
     return b.join(g, on, "left").groupBy("b.doc_id", "b.page", "b.id").agg(F.trim(text).alias("text"))
 

@@ -102,15 +102,20 @@ def _let_sql(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _raw(pattern: str) -> str:
+    """A pattern as a SQL literal."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
 def spans_sql(text: str, pattern: str) -> str:
     """:func:`spans` as SQL text. A page's rules make thousands of expressions, which Spark parses faster than Python can send them."""
     total = lambda part: f"aggregate({part}, 0, (a, x) -> a + x)"
     inner = f"transform(part, (x, i) -> bs[j] + {total('slice(part, 1, i + 1)')})"
     sums = _let_sql("parts", "transform(sequence(0, cast((size(ls) - 1) / w as int)), k -> slice(ls, k * w + 1, w))", _let_sql("bs", _let_sql("ss", f"transform(parts, part -> {total('part')})", f"transform(ss, (x, i) -> {total('slice(ss, 1, i)')})"), f"flatten(transform(parts, (part, j) -> {inner}))"))
-    lengths = f"zip_with(slice(split({text}, r'{pattern}', -1), 1, size(ms)), ms, (g, m) -> length(g) + length(m))"
+    lengths = f"zip_with(slice(split({text}, {_raw(pattern)}, -1), 1, size(ms)), ms, (g, m) -> length(g) + length(m))"
     ends = _let_sql("ls", lengths, _let_sql("w", "cast(ceil(sqrt(size(ls))) as int)", sums))
     placed = _let_sql("es", ends, "zip_with(ms, es, (m, e) -> named_struct('start', e - length(m), 'end', e, 'match', m))")
-    return _let_sql("ms", f"regexp_extract_all({text}, r'{pattern}', 0)", f"if(size(ms) > 0, {placed}, cast(array() as {_SPANS}))")
+    return _let_sql("ms", f"regexp_extract_all({text}, {_raw(pattern)}, 0)", f"if(size(ms) > 0, {placed}, cast(array() as {_SPANS}))")
 
 
 #: Characters of a block of :func:`blocks`.
@@ -161,12 +166,12 @@ def _hits_sql(i: int, rule: R.Rule, linear: int | None) -> str:
     """SQL for all matches of rule ``i`` on a page, by place. ``linear``: its number among those in ``_linear``, where they are found already."""
     part = _PARTS.get(rule.around)
     if part:
-        within = f"filter({part[0]}, p -> p.match rlike r'(?U){rule.pre}')"
+        within = f"filter({part[0]}, p -> p.match rlike {_raw('(?U)' + (rule.part or rule.pre))})"
         found = f"flatten(transform({within}, p -> transform({spans_sql('p.match', rule.java)}, s -> named_struct('start', s.start + p.start, 'end', s.end + p.start, 'match', s.match))))"
     else:
         found = spans_sql("_norm", rule.java) if linear is None else f"_linear[{linear}]"
     named = f"transform({found}, s -> named_struct('rule', {i}, 'start', s.start, 'end', s.end, 'match', s.match))"
-    return f"if(_norm rlike r'(?U){rule.pre}', {named}, cast(array() as array<struct<rule:int,start:int,end:int,match:string>>))"
+    return f"if(_norm rlike {_raw('(?U)' + rule.pre)}, {named}, cast(array() as array<struct<rule:int,start:int,end:int,match:string>>))"
 
 
 def _told_sql(rules: tuple[R.Rule, ...]) -> str:
@@ -178,7 +183,7 @@ def _told_sql(rules: tuple[R.Rule, ...]) -> str:
         as_struct = lambda category, pattern_type, boost: f"named_struct('category', {text(category)}, 'pattern_type', {text(pattern_type)}, 'boost', {boost}D)"
         groups = [(" OR ".join(f"contains(c, {text(w)})" for w in g.words), as_struct(g.category or rule.category, g.category or rule.pattern_type, R.ANCHOR_BOOST)) for g in rule.anchors]
         other = f"cast(null as {kind})" if rule.required else as_struct(rule.category, rule.pattern_type, 0.0)
-        return "CASE " + " ".join(f"WHEN {words} THEN {then}" for words, then in groups) + f" ELSE {other} END"
+        return "CASE " + " ".join(f"WHEN {words} THEN {then}" for words, then in groups) + f" ELSE {other} END" if groups else other
 
     n = R.ANCHOR_WINDOW
     joined = f"array_join(slice(_blocks, cast(f div {BLOCK} as int) + 1, cast(h.start div {BLOCK} - f div {BLOCK} as int) + 1), '')"
@@ -221,8 +226,8 @@ def with_candidates(df: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
     if not rules:
         return df.withColumn("_all", F.array().cast(f"array<{CANDIDATE}>"))
     text = F.col("_norm")
-    anything = r"_norm rlike r'(?U)[\d@가-힣]|APT'"
-    added = {"_blocks": f"if({anything}, regexp_extract_all(_norm, r'(?s).{{1,{BLOCK}}}', 0), cast(array() as array<string>))"}
+    anything = "|".join(sorted({r.pre for r in rules}))
+    added = {"_blocks": f"if(_norm rlike {_raw('(?U)' + anything)}, regexp_extract_all(_norm, r'(?s).{{1,{BLOCK}}}', 0), cast(array() as array<string>))"}
     for around, (name, pre) in _PARTS.items():
         if any(r.around == around for r in rules):
             added[name] = f"if(_norm rlike r'{pre}', {spans_sql('_norm', '(?U)' + around)}, cast(array() as {_SPANS}))"

@@ -235,7 +235,7 @@ def union_box(spark):
     return flat(boxed(spark.sql(D.ITEMS)).groupBy("doc_id", "page").agg(geometry.union_box(F.collect_list("bbox")).alias("bbox")))
 
 
-_ZONES = "SELECT o_custkey % 500 AS doc_id, CAST(o_orderkey % 7 AS INT) AS page, min(o_orderkey) AS n, CAST(min(o_orderkey) % 16 AS DOUBLE) / 64 AS top, CAST(min(o_orderkey) % 8 AS DOUBLE) / 64 AS bottom, CAST(min(o_orderkey) % 4 AS DOUBLE) / 64 AS l, CAST(min(o_orderkey) % 32 AS DOUBLE) / 64 AS r FROM orders GROUP BY o_custkey % 500, CAST(o_orderkey % 7 AS INT), o_orderkey % 2"
+_ZONES = "SELECT CAST(floor(CAST(o_orderkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, CAST(o_orderkey % 7 AS INT) AS page, min(o_orderkey) AS n, CAST(min(o_orderkey) % 16 AS DOUBLE) / 64 AS top, CAST(min(o_orderkey) % 8 AS DOUBLE) / 64 AS bottom, CAST(min(o_orderkey) % 4 AS DOUBLE) / 64 AS l, CAST(min(o_orderkey) % 32 AS DOUBLE) / 64 AS r FROM orders GROUP BY CAST(floor(CAST(o_orderkey AS DOUBLE) / 128) AS BIGINT), CAST(o_orderkey % 7 AS INT), o_orderkey % 2"
 
 
 @query("orders", "lineitem", sql=f"WITH g AS ({D.GLYPHS}), z AS (SELECT doc_id, page, arg_min(top, n) AS top, arg_min(bottom, n) AS bottom, arg_min(l, n) AS l, arg_min(r, n) AS r FROM ({_ZONES}) GROUP BY ALL) SELECT n FROM g LEFT JOIN z USING (doc_id, page) WHERE top IS NULL OR NOT (y + height / 2 < top OR y + height / 2 > 1 - bottom OR x + width / 2 < l OR x + width / 2 > 1 - r)")
@@ -293,7 +293,7 @@ def exchange_import(spark):
 
 @query("lineitem", sql=f"SELECT id FROM ({D.ITEMS}) i WHERE category IN ('RRN', 'Card') AND page + 1 IN (1, 3, 5)")
 def list_filter(spark):
-    pages = spark.range(1).select(text.page_list(F.lit("1, 3x  5,-2,0")).alias("p")).first().p
+    pages = text.page_list(F.lit("1, 3x  5,-2,0"))
     return review.list_filter(spark.sql(D.ITEMS), ["RRN", "Card"], pages).select("id")
 
 
@@ -375,7 +375,7 @@ def box_units(spark):
 
 # Profiles, outline, log.
 
-_TWO = "SELECT doc_id % 300 AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id) - 1 AS INT) AS page_index, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE text END AS text FROM documents"
+_TWO = "SELECT CAST(floor(CAST(doc_id AS DOUBLE) / 8) AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY CAST(floor(CAST(doc_id AS DOUBLE) / 8) AS BIGINT) ORDER BY doc_id) - 1 AS INT) AS page_index, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE text END AS text FROM documents"
 
 
 @query("documents", sql=f"SELECT doc_id, concat('sha256:', sha256(trim(regexp_replace(concat(string_agg(text, chr(10) ORDER BY page_index), chr(10)), '[\\s\\x0b]+', ' ', 'g')))) AS text_fingerprint FROM ({_TWO}) GROUP BY doc_id")
@@ -400,7 +400,7 @@ def outline_preorder(spark):
     return profile.preorder(spark.sql(D.OUTLINE)).select("doc_id", "node_id", "depth", "position")
 
 
-_VISITS = "SELECT DISTINCT l_orderkey % 40 AS doc_id, CAST(l_partkey % 100 AS INT) AS page_index FROM lineitem"
+_VISITS = "SELECT DISTINCT CAST(floor(CAST(l_partkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, CAST(l_orderkey % 100 AS INT) AS page_index FROM lineitem"
 
 
 @query("part", "lineitem", sql=f"WITH o AS (SELECT *, node_id AS position FROM ({D.OUTLINE})) SELECT v.doc_id, v.page_index, (SELECT arg_max(o.node_id, CAST(o.page_index AS BIGINT) * 1000000000 + o.position) FROM o WHERE o.doc_id = v.doc_id AND o.page_index <= v.page_index) AS section FROM ({_VISITS}) v")

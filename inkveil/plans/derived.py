@@ -34,7 +34,7 @@ SENTENCES = """
 
 #: Review items by order line, with boxes.
 ITEMS = """
-  SELECT l_orderkey % 500 AS doc_id, l_orderkey * 10 + l_linenumber AS id, CAST(l_linenumber - 1 AS INT) AS page,
+  SELECT CAST(floor(CAST(l_orderkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, l_orderkey * 10 + l_linenumber AS id, CAST(l_linenumber - 1 AS INT) AS page,
     CASE l_suppkey % 10 WHEN 0 THEN 'manual' WHEN 1 THEN 'imported' ELSE 'detected' END AS origin,
     CASE l_partkey % 5 WHEN 0 THEN 'RRN' WHEN 1 THEN 'Email' WHEN 2 THEN 'Card' WHEN 3 THEN 'PhoneNumber' ELSE 'Custom' END AS category,
     CASE l_partkey % 3 WHEN 0 THEN 'Valid' WHEN 1 THEN 'Invalid' ELSE 'NotValidated' END AS validation,
@@ -47,14 +47,14 @@ ITEMS = """
 
 #: Glyphs by order line: a letter on a page each.
 GLYPHS = """
-  SELECT l_orderkey % 500 AS doc_id, CAST(l_linenumber - 1 AS INT) AS page, l_orderkey * 10 + l_linenumber AS n, chr(CAST(97 + l_partkey % 26 AS INT)) AS ch,
+  SELECT CAST(floor(CAST(l_orderkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, CAST(l_linenumber - 1 AS INT) AS page, l_orderkey * 10 + l_linenumber AS n, chr(CAST(97 + l_partkey % 26 AS INT)) AS ch,
     CAST(l_partkey % 60 AS DOUBLE) / 64 AS x, CAST(l_suppkey % 60 AS DOUBLE) / 64 AS y, CAST(1 AS DOUBLE) / 64 AS width, CAST(1 + l_orderkey % 3 AS DOUBLE) / 128 AS height
   FROM lineitem
 """
 
 #: Boxes drawn on pages, by order.
 BOXES = """
-  SELECT o_custkey % 500 AS doc_id, o_orderkey AS id, CAST(o_orderkey % 7 AS INT) AS page,
+  SELECT CAST(floor(CAST(o_orderkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, o_orderkey AS id, CAST(o_orderkey % 7 AS INT) AS page,
     CAST(o_orderkey % 48 AS DOUBLE) / 64 AS x, CAST(o_custkey % 48 AS DOUBLE) / 64 AS y, CAST(8 AS DOUBLE) / 64 AS width, CAST(10 AS DOUBLE) / 64 AS height
   FROM orders
 """
@@ -72,10 +72,10 @@ LOG = """
 #: A cursor by user, within the log or at its end.
 CURSORS = "SELECT user_id AS doc_id, CAST(count(*) - count(*) % 4 AS INT) AS cursor FROM events GROUP BY user_id"
 
-#: An outline by document: a tree of parts with three children each.
+#: An outline by document: up to 128 nodes, the first three at the top, each of the others below the one at a third of its place.
 OUTLINE = """
-  SELECT p_partkey % 40 AS doc_id, p_partkey AS node_id,
-    CASE WHEN p_partkey < 40 THEN NULL ELSE CAST(floor((floor(CAST(p_partkey AS DOUBLE) / 40) - 1) / 3) AS BIGINT) * 40 + p_partkey % 40 END AS parent_id,
+  SELECT CAST(floor(CAST(p_partkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, p_partkey AS node_id,
+    CASE WHEN p_partkey % 128 < 3 THEN NULL ELSE p_partkey - p_partkey % 128 + CAST(floor(CAST(p_partkey % 128 AS DOUBLE) / 3) AS BIGINT) END AS parent_id,
     p_size AS ord, p_name AS title, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_partkey % 97 AS INT) END AS page_index
   FROM part
 """

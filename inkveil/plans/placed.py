@@ -170,8 +170,8 @@ def reanchor_boxes(spark):
 
 
 # An import replaces the items of its documents and clears their log.
-_IMPORTED = "SELECT o_custkey % 500 AS doc_id, -o_orderkey AS id, 'imported' AS origin FROM orders WHERE o_custkey % 3 = 0"
-_ENTRIES = "SELECT l_orderkey % 500 AS doc_id, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_linenumber < 3"
+_IMPORTED = "SELECT CAST(floor(CAST(o_orderkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, -o_orderkey AS id, 'imported' AS origin FROM orders WHERE CAST(floor(CAST(o_orderkey AS DOUBLE) / 128) AS BIGINT) % 3 = 0"
+_ENTRIES = "SELECT CAST(floor(CAST(l_orderkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_linenumber < 3"
 
 
 @query(
@@ -210,7 +210,7 @@ def run_summary(spark):
 
 
 # Edits within margins, and small reports.
-_MARGINED = "SELECT doc_id, page, 0.1 AS l, 0.05 AS t, 0.2 AS r, 0.1 AS b FROM (SELECT DISTINCT l_orderkey % 500 AS doc_id, CAST(l_linenumber - 1 AS INT) AS page FROM lineitem) q WHERE doc_id % 2 = 0"
+_MARGINED = "SELECT doc_id, page, 0.1 AS l, 0.05 AS t, 0.2 AS r, 0.1 AS b FROM (SELECT DISTINCT CAST(floor(CAST(l_orderkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, CAST(l_linenumber - 1 AS INT) AS page FROM lineitem) q WHERE doc_id % 2 = 0"
 
 
 def _zones(spark):
@@ -240,11 +240,11 @@ def same_margins(spark):
     return zones.select("doc_id", "page", F.round("margins.top", 6).alias("top"), F.round("margins.bottom", 6).alias("bottom"), F.col("margins.left").alias("l"), F.col("margins.right").alias("r"))
 
 
-@query("lineitem", "orders", sql=f"WITH l AS (SELECT DISTINCT o_custkey % 500 AS doc_id, o_orderkey * 10 + 1 AS id FROM orders) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS n, id AS item_id, content AS before FROM ({D.ITEMS}) i WHERE (doc_id, id) IN (SELECT doc_id, id FROM l)")
+@query("lineitem", "orders", sql=f"WITH l AS (SELECT DISTINCT CAST(floor(CAST(o_orderkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, o_orderkey * 10 + 1 AS id FROM orders) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS n, id AS item_id FROM ({D.ITEMS}) i WHERE (doc_id, id) IN (SELECT doc_id, id FROM l)")
 def delete_listed(spark):
-    listed = spark.sql("SELECT o_custkey % 500 AS doc_id, o_orderkey * 10 + 1 AS id FROM orders")
+    listed = spark.sql("SELECT CAST(floor(CAST(o_orderkey AS DOUBLE) / 128) AS BIGINT) AS doc_id, o_orderkey * 10 + 1 AS id FROM orders")
     items = spark.sql(D.ITEMS).select("doc_id", "id", F.col("content").alias("state"))
-    return changelog.delete_listed(items, listed).select("doc_id", F.col("n").cast("long").alias("n"), "item_id", "before")
+    return changelog.delete_listed(items, listed).select("doc_id", F.col("n").cast("long").alias("n"), "item_id")
 
 
 @query("part", sql=f"SELECT doc_id, count(*) AS n_nodes, count(*) FILTER (parent_id IS NULL) AS n_top, count(page_index) AS n_placed FROM ({D.OUTLINE}) o GROUP BY doc_id")

@@ -82,7 +82,8 @@ class Rule:
     """One detection rule. ``validate`` is a column function; ``pre`` a cheap pattern without which ``pattern`` cannot match.
 
     ``lookup`` names the dictionary check that a match must pass (``exact``, ``fuzzy``); ``digit_boundary``
-    refuses matches within longer runs of digits.
+    refuses matches within longer runs of digits. ``around``: :data:`NUMBERS` or :data:`MAILS`, if all matches lie
+    within such parts of a page; ``part``: what a part must hold for a match, if that is not ``pre``.
     """
 
     category: str
@@ -95,6 +96,8 @@ class Rule:
     pre: str = r"\d"
     lookup: str | None = None
     digit_boundary: bool = False
+    around: str | None = None
+    part: str | None = None
 
     @property
     def java(self) -> str:
@@ -110,25 +113,20 @@ class Rule:
         mail = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{DOMAIN}"
         return "(?U)" + self.pattern.replace(EMAIL, mail).replace(TAILS, TAILS + "+").replace(DETAIL, DETAIL + "+")
 
-    @property
-    def around(self) -> str | None:
-        """The pattern of the parts of a page that hold all matches; None: any part can."""
-        return None if self.category == "Address" else MAILS if self.category == "Email" else NUMBERS
-
 
 _FAX_OR_PHONE = (Anchor(FAX_WORDS, "FaxNumber"), Anchor(PHONE_WORDS))
 _PLACE = (Anchor(ADDRESS_WORDS),)
 _ADDRESS_PRE = "[시군구도]"
 
 RULES = (
-    Rule("RRN", "RRN", RRN, 0.6, checks.rrn, (Anchor(RRN_WORDS),), pre=r"\d{6}"),
-    Rule("Card", "Card", CARD, 0.4, checks.card, (Anchor(CARD_WORDS),), pre=r"\d{4}"),
-    Rule("Passport", "Passport", PASSPORT, 0.5, checks.format_only, (Anchor(PASSPORT_WORDS),), pre=r"[MSROD]\d{3}"),
-    Rule("Email", "Email", EMAIL, 0.85, checks.format_only, (Anchor(EMAIL_WORDS),), pre="@"),
-    Rule("PhoneNumber", "PhoneNumber", PHONE, 0.5, checks.no_checksum, _FAX_OR_PHONE, pre=r"\d{4}"),
-    Rule("PhoneNumber", "PhoneNumber", PHONE_BARE, 0.4, checks.no_checksum, _FAX_OR_PHONE, required=True, pre=r"\d{4}"),
-    Rule("BankAccount", "BankAccount", ACCOUNT, 0.5, checks.no_checksum, (Anchor(ACCOUNT_WORDS),), required=True, pre=r"\d{2}[-\s]\d{2}"),
-    Rule("DateOfBirth", "DateOfBirth", BIRTH, 0.3, checks.not_validated, (Anchor(BIRTH_WORDS),), required=True, pre="생"),
+    Rule("RRN", "RRN", RRN, 0.6, checks.rrn, (Anchor(RRN_WORDS),), pre=r"\d{6}", around=NUMBERS),
+    Rule("Card", "Card", CARD, 0.4, checks.card, (Anchor(CARD_WORDS),), pre=r"\d{4}", around=NUMBERS),
+    Rule("Passport", "Passport", PASSPORT, 0.5, checks.format_only, (Anchor(PASSPORT_WORDS),), pre=r"[MSROD]\d{3}", around=NUMBERS),
+    Rule("Email", "Email", EMAIL, 0.85, checks.format_only, (Anchor(EMAIL_WORDS),), pre="@", around=MAILS),
+    Rule("PhoneNumber", "PhoneNumber", PHONE, 0.5, checks.no_checksum, _FAX_OR_PHONE, pre=r"\d{4}", around=NUMBERS),
+    Rule("PhoneNumber", "PhoneNumber", PHONE_BARE, 0.4, checks.no_checksum, _FAX_OR_PHONE, required=True, pre=r"\d{4}", around=NUMBERS),
+    Rule("BankAccount", "BankAccount", ACCOUNT, 0.5, checks.no_checksum, (Anchor(ACCOUNT_WORDS),), required=True, pre=r"\d{2}[-\s]\d{2}", around=NUMBERS),
+    Rule("DateOfBirth", "DateOfBirth", BIRTH, 0.3, checks.not_validated, (Anchor(BIRTH_WORDS),), required=True, pre="생", around=NUMBERS, part=r"\d"),
     Rule("Address", "Address", f"{REGION}{TOWN}(?:{ROAD}|{LOT}){DETAIL}", 0.5, checks.not_validated, _PLACE, pre=_ADDRESS_PRE),
     Rule("Address", "AddressDict", f"{REGION}{TOWN}{DONG}", 0.5, checks.not_validated, _PLACE, pre=_ADDRESS_PRE, lookup="exact"),
     Rule("Address", "AddressFuzzy", f"{REGION}{TOWN}{DAMAGED_DONG}", 0.45, checks.not_validated, _PLACE, pre=_ADDRESS_PRE, lookup="fuzzy"),
@@ -137,5 +135,5 @@ RULES = (
     Rule("Address", "Address", f"{LOT}{DETAIL}", 0.5, checks.not_validated, _PLACE, required=True, pre="[주거본자배발]"),
     Rule("Address", "AddressDamagedDong", f"{STRONG_REGION}{TOWN}{DAMAGED_LOT}", 0.4, checks.not_validated, _PLACE, pre=_ADDRESS_PRE),
     Rule("Address", "AddressBuildingLine", BUILDING_LINE, 0.35, checks.not_validated, _PLACE, pre="APT|[가-힣]"),
-    Rule("PhoneNumber", "PhoneNumberSeoulLocal", PHONE_LOCAL, 0.35, checks.no_checksum, _FAX_OR_PHONE, pre=r"\d[-.]\d"),
+    Rule("PhoneNumber", "PhoneNumberSeoulLocal", PHONE_LOCAL, 0.35, checks.no_checksum, _FAX_OR_PHONE, pre=r"\d[-.]\d", around=NUMBERS),
 )

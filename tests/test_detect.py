@@ -1,3 +1,5 @@
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,8 @@ from inkveil.operators.detect import detect, page_finds
 from inkveil.operators.layout import detect_layout
 from inkveil.operators.redact import post_check, redact_texts
 from inkveil.operators.spans import linear_spans, spans
-from inkveil.plans.rules import RULES
+from inkveil.functions import checks
+from inkveil.plans.rules import RULES, Rule
 
 DONGS = "서빙고동 압구정동 역삼동 반포동 성복동 여의도동 용암동".split()
 
@@ -156,3 +159,14 @@ def test_prefilters_see_other_digits_and_blanks(spark):
     texts = [(1, "주민등록번호 ٩٠١٢٣١-١٢٣٤٥٦٣ 확인"), (2, "계좌 123 45 678901 로 입금")]
     found = detect(spark.createDataFrame(texts, "doc_id long, text string").withColumn("page_index", F.lit(0))).collect()
     assert {(r.doc_id, r.category, r.content) for r in found} == {(1, "RRN", "٩٠١٢٣١-١٢٣٤٥٦٣"), (2, "BankAccount", "123 45 678901")}
+
+
+def test_rules_of_users_match_anywhere_and_parts_lose_nothing(spark):
+    own = Rule("Licence", "Licence", r"[A-Z]{3} plate's?", 0.5, checks.format_only, (), pre="plate")
+    texts = [t for t, _ in CASES if t] + ["ABC plate's", "((02)123-4567) S12345678M1234567 R123A4567", "생일 90 년 1 월 2 일 (65)6253-1033,1034 ABC 12", "1\n2 901231\n1234563 D", "M1M12345678"]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate([*texts, "\n".join(texts), " ".join(reversed(texts))])], "doc_id long, page_index int, text string")
+    rules = (own, *(r for r in RULES if r.around))
+    whole = tuple(dataclasses.replace(r, around=None) for r in rules)
+    found = lambda rules: sorted((r.doc_id, r.f) for r in page_finds(df, rules).select("doc_id", F.col("finds").cast("string").alias("f")).collect())
+    assert found(rules) == found(whole)
+    assert any("Licence" in f for _, f in found(rules))
