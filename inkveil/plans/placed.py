@@ -5,7 +5,7 @@ The SQL states what must come out in its own words: none of it is built from the
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import changelog, dictionary, profile, redact, review, runs
@@ -13,8 +13,10 @@ from inkveil.operators.detect import detect, page_finds
 from inkveil.operators.layout import detect_layout
 from inkveil.operators.spans import resolve_table
 from inkveil.plans import derived as D
-from inkveil.plans.catalogue import _BOXES_OVER, _OBJECTS, _rules, query
+from inkveil.plans.catalogue import _BOXES_OVER, _OBJECTS, ORACLE_SQL, QUERIES, _rules, query
 from inkveil.plans.derived import boxed, flat
+from inkveil.streaming import detection
+from inkveil.streaming import runs as streams
 
 # Claims on pages of some 250 candidates each; the number of pages grows with the table.
 _CANDIDATES = """
@@ -250,3 +252,19 @@ def delete_listed(spark):
 @query("part", sql=f"SELECT doc_id, count(*) AS n_nodes, count(*) FILTER (parent_id IS NULL) AS n_top, count(page_index) AS n_placed FROM ({D.OUTLINE}) o GROUP BY doc_id")
 def outline_counts(spark):
     return profile.node_counts(spark.sql(D.OUTLINE))
+
+
+def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the events' files as a change log: entries by window and action, of the windows that the watermark has closed."""
+    folder, files = streams.folder_of(spark, sf_dir, "events")
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", files).parquet(folder)
+    log = events.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").alias("doc_id"), (F.col("event_id") % 5).alias("item_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("action"))
+    counts = streams.to_end(detection.ordered_log(log))
+    return counts.select(F.unix_timestamp("window.start").alias("begins"), "action", "n")
+
+
+QUERIES["stream_log"] = stream_log
+ORACLE_SQL["stream_log"] = """
+  WITH l AS (SELECT DISTINCT user_id, event_id, event_type, CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS begins FROM events WHERE ts IS NOT NULL)
+  SELECT begins, event_type AS action, count(*) AS n FROM l WHERE begins + 300 <= (SELECT max(epoch(ts)) FROM events) - 600 GROUP BY begins, event_type
+"""

@@ -226,3 +226,40 @@ def test_streams_tell_their_progress(spark, tmp_path):
     table = listener.table(spark)
     assert table.where("rows_read > 0").count() == 3
     assert table.agg(F.sum(F.get_json_object("counts", "$.n").cast("int"))).first()[0] == 6 == spark.read.parquet(str(tmp_path / "out")).count()
+
+
+def _arriving(spark, folder, batches, schema):
+    """A stream that gets one batch of rows at a time, in order."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_stream_log_leaves_out_repeated_and_late_entries(spark, tmp_path):
+    at = lambda minute: f"2024-01-01 10:{minute:02}:00"
+    batches = [
+        [(at(1), 1, "a", 1, "edit"), (at(1), 1, "a", 1, "edit"), (at(3), 1, "b", 2, "add")],
+        [(at(3), 1, "b", 2, "add"), (at(2), 1, "c", 3, "edit"), (at(30), 1, "d", 4, "edit")],
+        [(at(31), 1, "f", 6, "add")],
+        [(at(4), 1, "e", 5, "edit"), (at(59), 1, "g", 7, "edit")],  # the first comes 27 minutes late
+    ]
+    stream = _arriving(spark, str(tmp_path / "in"), batches, "timestamp string, doc_id long, item_id string, seq int, action string")
+    counts = detection.ordered_log(stream.withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    counts.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.window.start.minute, r.action): r.n for r in spark.read.schema(counts.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {(0, "edit"): 2, (0, "add"): 1, (30, "edit"): 1, (30, "add"): 1}
+
+
+def test_latest_states_are_compacted_and_survive_a_restart(spark, tmp_path):
+    path, schema = str(tmp_path / "states"), "doc_id long, at int, state string"
+    batches = [[(1, 1, "a"), (2, 1, "x")], [(1, 2, "b")], [(1, 1, "late"), (3, 1, "z")], [(2, 5, "y")], [(3, 1, "again")]]
+    run = lambda rows: detection.save_latest(_arriving(spark, str(tmp_path / "in"), rows, schema), path, str(tmp_path / "log"), every=None, compact=2).awaitTermination()
+    run(batches[:3])
+    now = lambda: {r.doc_id: r.state for r in detection.latest_states(spark, path).collect()}
+    assert now() == {1: "b", 2: "x", 3: "z"}
+    run(batches[3:])
+    assert now() == {1: "b", 2: "y", 3: "again"}
+    assert detection._folders(spark, path, "base") == [3] and detection._folders(spark, path, "batch") == [4]
+    with pytest.raises(FileNotFoundError):
+        detection.latest_states(spark, str(tmp_path / "none"))
