@@ -18,8 +18,10 @@ TOLERANCE = 1e-3
 #: A host is blocked when distrust is more than this share of its trust and distrust.
 BLOCK_SHARE = 0.75
 
-#: An absolute or protocol-relative link; group 1 is its host.
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
+#: A link's address; group 1.
+LINK = r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s<>]+)"""
+#: The host of an absolute or protocol-relative address, group 1; and what begins neither a host nor a path: other schemes and places on the page itself.
+LINK_HOST, NO_LINK = r"(?i)^(?:https?:)?//([^/?#]+)", "^(?:[A-Za-z][A-Za-z0-9+.-]*:|#)"
 
 
 @dataclass(frozen=True)
@@ -103,7 +105,8 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, block_share
     """Judge every page's URL: the longest rule that fits, else the verdict on its host.
 
     A host's seed of trust is the number of its pages that a rule allows, of distrust the number that
-    a rule blocks. Trust follows links, distrust runs against them. A host is blocked when distrust
+    a rule blocks. Trust follows links, distrust runs against them; a relative link leads to the page's own host, and keeps
+    its share of a score there. A host is blocked when distrust
     has more than ``block_share`` of both; a host that neither reaches is allowed.
 
     Pages are read once, into a narrow table. Link and seed counts are added up before they are
@@ -117,7 +120,8 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, block_share
     url = F.col(url_col)
     ruled = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"), F.coalesce(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)), F.array().cast("array<string>")).alias("found"))
     ruled = ruled.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
-    links = F.expr("filter(array_distinct(transform(found, x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))), x -> x <> host and host <> '')")
+    address = lambda x: F.when(x.rlike(LINK_HOST), ascii_lower(F.regexp_extract(x, LINK_HOST, 1))).when(~x.rlike(NO_LINK), F.col("host"))
+    links = F.filter(F.array_distinct(F.transform("found", address)), lambda x: x.isNotNull() & (F.col("host") != ""))
     ruled = land(ruled.select("page_id", "url", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled"), links.alias("links")), "ruled")
 
     seeds = (

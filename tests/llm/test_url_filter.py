@@ -1,9 +1,10 @@
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
-from inkveil.llm.url_filter import BLOCK_SHARE, DAMPING, ROUNDS, RULES, judge_urls, op9_url_filters, spread
+from inkveil.llm.url_filter import BLOCK_SHARE, DAMPING, RULES, judge_urls, op9_url_filters, spread
 
 
 def split(url):
@@ -25,15 +26,20 @@ def brute(pages):
         host, path = split(url)
         if r := rule_of(host, path):
             seeds["trust" if r.verdict == "allow" else "distrust"][host] += 1
-        to = {m.lower() for m in re.findall(r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)""", html or "")}
-        links.update((host, x) for x in to if x != host and host)
+        to = set()
+        for link in re.findall(r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s<>]+)""", html or ""):
+            if m := re.match("(?i)(https?:)?//([^/?#]+)", link):
+                to.add(m[2].lower())
+            elif not re.match("[A-Za-z][A-Za-z0-9+.-]*:|#", link):
+                to.add(host)
+        links.update((host, x) for x in to if host)
     scores = {}
     for kind, seed in seeds.items():
         edges = defaultdict(list)
         for (a, b), n in links.items():
             edges[a if kind == "trust" else b].append((b if kind == "trust" else a, n))
         x = {h: (1 - DAMPING) * s for h, s in seed.items()}
-        for _ in range(ROUNDS if links else 0):
+        for _ in range(60 if links else 0):
             y = Counter({h: (1 - DAMPING) * s for h, s in seed.items()})
             for a, out in edges.items():
                 for b, n in out:
@@ -72,6 +78,13 @@ def test_links_carry_trust_and_distrust(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+def test_generated_graph_with_hubs_circles_and_dead_ends(spark):
+    rng = random.Random(11)
+    host = lambda: "hub.net" if rng.random() < 0.3 else f"h{rng.randrange(1500)}.{rng.choice(['net', 'org', 'com'])}"
+    link = lambda: rng.choice(["/own", "other?x", "#place", "mailto:a@b.c", "javascript:void(0)"]) if rng.random() < 0.5 else f"//{host()}/a"
+    pages = [(i, f"http://{host()}/{rng.choice(['fr', 'de', 'en'])}/{i}", "".join(f'<a href="{link()}">' for _ in range(rng.randrange(4)))) for i in range(3000)]
+    got = judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect()), key=KEY) == sorted(brute(pages), key=KEY)
 
 
 def test_small_scores_spread_on(spark):
