@@ -59,6 +59,8 @@ class Model:
         # The mark that the library puts in front, where it does not merge with a space that is there.
         self.extra = len(p.normalize(" a")) - len(SPACE + "a")
         self.stretches: dict[str, bytes] = {}
+        self.root: tuple = ({}, (), "")
+        self.nodes = {"": self.root}
         self.pairs: dict[int, bool] = {}
         # From this id on there are plain pieces only.
         self.first_plain = max((i for i in range(n) if not plain[i]), default=-1) + 1
@@ -71,6 +73,7 @@ class Model:
                 if len(name) > 1 and len(found) == 2:
                     self.halves[name] = (found[0], found[1])
             self.whole = {name: i for name, i in self.ids.items() if len(name) == 1 or name in self.halves}
+            self.beginnings = {name[:i] for name in self.whole for i in range(1, len(name) + 1)}
 
     def merged(self, piece: str) -> list[str]:
         """The parts of a piece before its last merge: neighbours merge by rank, then from the left, but not into the piece itself."""
@@ -116,43 +119,70 @@ class Model:
         self.pairs[key] = answer
         return answer
 
-    def search(self, text: str) -> Iterator[list[str]]:
-        """Pieces of a text, in lists that are final when they are given out.
+    def search(self, text: str) -> Iterator[list[int | str]]:
+        """Ids of a text (a character without a piece as itself), in lists that are final when they are given out.
 
         Every ``4 * longest`` characters the search looks for the boundary that all paths still open share, gives out
         what is before it and forgets it.
         """
-        base, back, kept = 0, [0], [-1] if self.merges else [0.0]
+        base, size, span = 0, len(text), 4 * self.longest
+        back, kept, node = [0], [-1] if self.merges else [0.0], self.root
         step = self._merge if self.merges else self._gain
-        for start in range(0, len(text), 4 * self.longest):
-            stop = min(len(text), start + 4 * self.longest)
-            step(text, base, start, stop, back, kept)
-            common = len(back) - 1 if stop == len(text) else self.shared(back, len(back) - 1)
-            if common:
-                yield self.path(text[base : base + common], back, common)
+        for start in range(0, size, span):
+            stop = start + span
+            if stop >= size:
+                step(text, base, start, size, back, kept, node)
+                yield self.path(text, base, back, kept, size - base)
+                return
+            node = step(text, base, start, stop, back, kept, node)
+            if common := self.shared(back, stop - base):
+                yield self.path(text, base, back, kept, common)
                 base, back, kept = base + common, [0, *back[common + 1 :]], kept[common:]
 
-    def _merge(self, text: str, base: int, start: int, stop: int, back: list[int], ends: list[int]) -> None:
-        """Append the back-pointers of the places from ``start`` to ``stop``, and ``ends``, the pieces that end there (-1: none), of a byte-pair model."""
-        whole, known, n, longest = self.whole.get, self.pairs.get, len(self.names), self.longest
-        for at in range(start + 1, stop + 1):
-            # Short pieces are the likely ones; only one length can fit.
-            for s in range(at - 1, max(at - longest, base) - 1, -1):
-                k = whole(text[s:at])
-                if k is None:
-                    continue
-                if (t := ends[s - base]) >= 0:
-                    ok = known(t * n + k)
-                    if not (self.agree(self.names[t], self.names[k]) if ok is None else ok):
-                        continue
-                ends.append(k)
-                back.append(at - s)
-                break
+    def _move(self, node: tuple, c: str) -> tuple:
+        """The automaton's state after one more character: moves that are known, pieces that end here (length, id), the longest beginning of a piece that does."""
+        name = node[2] + c
+        while name and name not in self.beginnings:
+            name = name[1:]
+        after = self.nodes.get(name)
+        if after is None:
+            ending = tuple((i, self.whole[name[-i:]]) for i in range(1, len(name) + 1) if name[-i:] in self.whole)
+            after = self.nodes[name] = ({}, ending, name)
+        if c in self.beginnings:
+            node[0][c] = after
+        return after
+
+    def _merge(self, text: str, base: int, start: int, stop: int, back: list[int], ends: list[int], node: tuple) -> tuple:
+        """Append the back-pointers of the places from ``start`` to ``stop``, and ``ends``, the pieces that end there (-1: none), of a byte-pair model.
+
+        An automaton over all pieces gives those that end at a place, short ones, which are the likely ones, first; only one can fit.
+        """
+        known, n, agree, names = self.pairs.get, len(self.names), self.agree, self.names
+        at = start - base
+        for c in text[start:stop]:
+            at += 1
+            node = node[0].get(c) or self._move(node, c)
+            for size, k in node[1]:
+                if size > at:
+                    ends.append(-1)
+                    back.append(1)
+                    break
+                t = ends[at - size]
+                if t < 0:
+                    ends.append(k)
+                    back.append(size)
+                    break
+                ok = known(t * n + k)
+                if ok or ok is None and agree(names[t], names[k]):
+                    ends.append(k)
+                    back.append(size)
+                    break
             else:
                 ends.append(-1)
                 back.append(1)
+        return node
 
-    def _gain(self, text: str, base: int, start: int, stop: int, back: list[int], score: list[float]) -> None:
+    def _gain(self, text: str, base: int, start: int, stop: int, back: list[int], score: list[float], node: tuple) -> tuple:
         """Append the back-pointers of the places from ``start`` to ``stop``, and the best ``score`` up to each, of a unigram model."""
         for at in range(start + 1, stop + 1):
             best, n = UNREACHED, 1
@@ -162,6 +192,7 @@ class Model:
                     best, n = score[s - base] + gain, at - s
             back.append(n)
             score.append(best)
+        return node
 
     def shared(self, back: list[int], end: int) -> int:
         """The last boundary on the paths to all places that a later piece can start from."""
@@ -172,23 +203,25 @@ class Model:
             ends.add(at - back[at])
         return ends.pop()
 
-    @staticmethod
-    def path(window: str, back: list[int], at: int) -> list[str]:
-        pieces = []
+    def path(self, text: str, base: int, back: list[int], kept: list, at: int) -> list[int | str]:
+        """The ids on the path to a place, counted from ``base``."""
+        out = []
         while at:
-            pieces.append(window[at - back[at] : at])
-            at -= back[at]
-        return pieces[::-1]
-
-    def ids_of(self, pieces: Iterable[str]) -> bytes:
+            n = back[at]
+            piece = kept[at] if self.merges else self.ids.get(text[base + at - n : base + at], -1)
+            out.append(text[base + at - n : base + at] if piece < 0 else piece)
+            at -= n
+        out.reverse()
+        return out
+
+    def ids_of(self, found: Iterable[int | str]) -> bytes:
         """Little-endian unsigned 32-bit ids; a character without a piece is given by its bytes, or is unknown."""
         out = array("I")
-        for piece in pieces:
-            i = self.ids.get(piece)
-            if i is not None:
+        for i in found:
+            if isinstance(i, int):
                 out.append(i)
             elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in piece.encode())
+                out.extend(self.byte_ids[b] for b in i.encode())
             else:
                 out.append(self.unknown)
         return out.tobytes()
@@ -214,7 +247,7 @@ class Model:
             for stretch in self.cut.findall(block):
                 ids = self.stretches.get(stretch)
                 if ids is None:
-                    parts = [self.ids_of(pieces) for pieces in self.search(stretch)]
+                    parts = [self.ids_of(part) for part in self.search(stretch)]
                     ids = b"".join(parts)
                     if len(parts) == 1:
                         self.stretches[stretch] = ids

@@ -77,7 +77,8 @@ def test_unigram_path_has_the_best_score():
         best = [0.0] + [float("-inf")] * len(text)
         for i in range(1, len(text) + 1):
             best[i] = max(best[i - len(p)] + s for p, s in m.scores.items() if text[:i].endswith(p))
-        pieces = [p for part in m.search(text) for p in part]
+        m.ids = {p: i for i, p in enumerate(alphabet)}
+        pieces = [alphabet[i] for part in m.search(text) for i in part]
         assert "".join(pieces) == text and sum(m.scores[p] for p in pieces) == pytest.approx(best[-1])
 
 
