@@ -26,9 +26,9 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str | None, payload_hash: str, kind: str) -> str:
-    """An id that a revisit can name without seeing its response: from page, URL and payload."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page_id} {payload_hash} {url}')}>"
+def record_id(page_id: int | None, url: str | None, payload_hash: str, kind: str, copy: int = 0) -> str:
+    """An id that a revisit can name without seeing its response: from page, URL and payload, and the number among rows equal in these."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {page_id} {payload_hash} {url}' + f' copy {copy}' * (copy > 0))}>"
 
 
 def _record(kind: str, own_id: str, headers: list[tuple[str, str]], block: bytes, content_type: str, date: str) -> bytes:
@@ -38,9 +38,9 @@ def _record(kind: str, own_id: str, headers: list[tuple[str, str]], block: bytes
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n"
 
 
-def captured(page_id: int | None, url: str | None, html: str | None, size: int, sha1: str, sha256: str, refers: dict | None, date: str = DATE) -> list[bytes]:
+def captured(page_id: int | None, url: str | None, html: str | None, size: int, sha1: str, sha256: str, refers: dict | None, copy: int = 0, date: str = DATE) -> list[bytes]:
     """The records of one capture: response or revisit, then request and metadata, both concurrent to it."""
-    own = record_id(page_id, url, sha256, "response")
+    own = record_id(page_id, url, sha256, "response", copy)
     uri = [("WARC-Target-URI", url)] if url else []
     digest = [("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode())]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -55,11 +55,27 @@ def captured(page_id: int | None, url: str | None, html: str | None, size: int,
     link = [("WARC-Concurrent-To", own)]
     return [
         first,
-        _record("request", record_id(page_id, url, sha256, "request"), [*uri, *link], ask, "application/http;msgtype=request", date),
-        _record("metadata", record_id(page_id, url, sha256, "metadata"), [*uri, *link], told, "application/warc-fields", date),
+        _record("request", record_id(page_id, url, sha256, "request", copy), [*uri, *link], ask, "application/http;msgtype=request", date),
+        _record("metadata", record_id(page_id, url, sha256, "metadata", copy), [*uri, *link], told, "application/warc-fields", date),
     ]
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add ``copy``: 0, and 1, 2 ... for further rows equal in ``page_id``, ``url`` and payload.
+
+    Repeated rows are found by narrow keys and added up before they are shuffled, so a row may repeat any number of times.
+    """
+    key = F.xxhash64("page_id", F.col("page_id").isNull(), "url", F.col("url").isNull(), "sha256")
+    keyed = rows.withColumn("key", key)
+    repeated = land(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    if repeated.isEmpty():
+        return rows.withColumn("copy", F.lit(0))
+    alone = keyed.join(repeated, "key", "left_anti").drop("key").withColumn("copy", F.lit(0))
+    several = keyed.join(repeated, "key", "left_semi").groupBy("page_id", "url", "sha256").agg(F.any_value("html").alias("html"), F.count("*").cast("int").alias("n"))
+    each = several.select("page_id", "url", "html", "sha256", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    return alone.unionByName(each)
+
+
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write a capture for each page to gzipped WARC files.
 
@@ -69,7 +85,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str =
     Spark's text sink ends each record with CR LF and commits files by task, in any file system.
 
     Defined cases: null html is an empty payload; a null id is never the response of a group that has
-    another; rows equal in id, URL and payload are one capture; a null URL leaves the target out; an
+    another; of rows equal in id, URL and payload one is the response and each other a revisit of its own; a null URL leaves the target out; an
     empty table writes no records; other columns are ignored.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
@@ -81,9 +97,10 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str =
         .where("n > 1")
         .select("sha256", F.struct("chosen.page_id", "chosen.url").alias("chosen"))
     )
-    again = F.col("chosen").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("chosen.page_id")))
-    joined = salted_left_join(rows, chosen, "sha256", ["page_id", "url"]).select(
-        "page_id", "url", F.when(~again, F.col("html")).alias("html"), F.octet_length("html").alias("size"), F.sha1(F.col("html").cast("binary")).alias("sha1"), "sha256", F.when(again, F.col("chosen")).alias("refers")
+    own = F.col("page_id").eqNullSafe(F.col("chosen.page_id")) & F.col("url").eqNullSafe(F.col("chosen.url")) & (F.col("copy") == 0)
+    again = F.col("chosen").isNotNull() & ~own
+    joined = salted_left_join(_numbered(rows), chosen, "sha256", ["page_id", "url", "copy"]).select(
+        "copy", "page_id", "url", F.when(~again, F.col("html")).alias("html"), F.octet_length("html").alias("size"), F.sha1(F.col("html").cast("binary")).alias("sha1"), "sha256", F.when(again, F.col("chosen")).alias("refers")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,8 +28,10 @@ def test_edge_cases(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, record_id int")
     write_warc(df, f"file://{tmp_path}/w")
     records = read_warc(spark, f"file://{tmp_path}/w")
-    got = {r.metadata.fields["page_id"]: r for r in captures(records).collect()}
-    assert sorted(got) == ["1", "2", "3", "4", "5"]
+    found = captures(records).collect()
+    assert sorted((r.metadata.fields["page_id"], r.response.type) for r in found if r.metadata.fields["page_id"] == "4") == [("4", "response"), ("4", "revisit")]
+    got = {r.metadata.fields["page_id"]: r for r in found if (r.metadata.fields["page_id"], r.response.type) != ("4", "revisit")}
+    assert sorted(got) == ["1", "2", "3", "4", "5"] and len(found) == 6
     assert {k: r.response.type for k, r in got.items()} == {"1": "revisit", "2": "revisit", "3": "response", "4": "response", "5": "response"}
     assert bytes(got["4"].response.payload).decode() == tricky and got["4"].response.digest_ok
     assert got["1"].response.refers_to == got["4"].capture_id and got["1"].response.payload_bytes == len(tricky.encode())
@@ -38,6 +40,16 @@ def test_edge_cases(spark, tmp_path):
     assert captures(read_warc(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_each_of_repeated_rows_and_null_ids_has_a_record(spark, tmp_path):
+    rows = [(7, "u", "same")] * 3 + [(7, "v", "same"), (None, "u", "same"), (None, "u", "same"), (None, None, None), (None, None, None), (1, "w", "tiny"), (1, "w", "tiny")]
+    for least, want in ((0, {"response": 3, "revisit": 7}), (100, {"response": 10})):
+        write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/{least}", least_bytes=least)
+        found = captures(read_warc(spark, f"file://{tmp_path}/{least}")).collect()
+        kinds = [r.response.type for r in found]
+        assert {k: kinds.count(k) for k in kinds} == want and len({r.capture_id for r in found}) == 10
+        assert {r.response.refers_to for r in found if r.response.type == "revisit"} <= {r.capture_id for r in found if r.response.type == "response"}
+
+
 def test_foreign_archive(spark, tmp_path):
     def record(kind, rid, block, *more):
         head = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), ("WARC-Record-ID", rid), *more, ("Content-Length", len(block))])
