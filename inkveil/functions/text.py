@@ -21,19 +21,23 @@ CATEGORY_LABELS = {
 
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 _HALF = "".join(map(chr, range(0x21, 0x7F))) + " "
-_TOKEN = "0-9lI|Ooㅡ.\\-"
+#: Letters and marks that scanned texts have for digits and hyphens, and what they stand for.
+_LIKE, _DIGITS = "lI|Ooㅡ", "11100-"
+_TOKEN = rf"0-9{_LIKE}.\-"
 
 
 def halfwidth(text: Column) -> Column:
     """Full-width ASCII and the ideographic space become half-width; the length stays."""
-    return F.when(text.rlike("[！-～　]"), F.translate(text, _FULL, _HALF)).otherwise(text)
+    return F.when((F.octet_length(text) > F.length(text)) & text.rlike("[！-～　]"), F.translate(text, _FULL, _HALF)).otherwise(text)
 
 
 def ocr_digits(text: Column) -> Column:
     """Letters misread for digits become digits, only in runs of digits, such letters, dots and hyphens that hold a digit; the length stays."""
-    runs = F.regexp_extract_all(text, F.lit(f"[{_TOKEN}]+|[^{_TOKEN}]+"), F.lit(0))
-    fixed = F.transform(runs, lambda r: F.when(r.rlike(f"^[{_TOKEN}]") & r.rlike("[0-9]"), F.translate(r, "lI|Ooㅡ", "11100-")).otherwise(r))
-    return F.when(text.rlike("[0-9]") & text.rlike("[lI|Ooㅡ]"), F.array_join(fixed, "")).otherwise(text)
+    run = rf"(?<![{_TOKEN}])[{_LIKE}.\-]*+[0-9][{_TOKEN}]*+"
+    # One piece more between the runs than runs; the last is followed by none.
+    pieces = F.zip_with(F.split(text, run, -1), F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda gap, r: F.concat(gap, F.coalesce(F.translate(r, _LIKE, _DIGITS), F.lit(""))))
+    mixed = rf"[0-9][.\-]*+[{_LIKE}]|[{_LIKE}][.\-]*+[0-9]"
+    return F.when(text.rlike(mixed), F.array_join(pieces, "")).otherwise(text)
 
 
 def normalized(text: Column) -> Column:

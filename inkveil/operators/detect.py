@@ -24,7 +24,7 @@ def page_finds(pages: DataFrame, rules: tuple[Rule, ...] = RULES, dongs: DataFra
     """
     rules = tuple(r for r in rules if dongs is not None or not r.lookup)
     found = once(pages, "_norm", normalized(F.coalesce(F.col(text_col), F.lit(""))))
-    found = with_candidates(found, rules)
+    found = with_candidates(found, rules, F.col(text_col))
     if dongs is not None and any(r.lookup for r in rules):
         found = _confirmed(found, rules, dongs)
     return once(found, "finds", resolve(F.col("_all"))).drop("_norm", "_all")

@@ -162,16 +162,23 @@ def bank_start(text: Column, start: Column) -> Column:
 CANDIDATE = "struct<rule:int,category:string,pattern_type:string,status:string,confidence:double,start:int,end:int,claim_start:int,claim_end:int,match:string>"
 
 
-def _hits_sql(i: int, rule: R.Rule, linear: int | None) -> str:
-    """SQL for all matches of rule ``i`` on a page, by place. ``linear``: its number among those in ``_linear``, where they are found already."""
-    part = _PARTS.get(rule.around)
-    if part:
-        within = f"filter({part[0]}, p -> p.match rlike {_raw('(?U)' + (rule.part or rule.pre))})"
+def _asked_sql(rule: R.Rule) -> str:
+    """SQL: is the page, of which ``korean`` says whether it holds a Hangul syllable, worth running a rule without parts, or with a test of the page beside them?"""
+    tests = [f"(korean OR contains(_norm, '{rule.word}'))" if rule.word else "korean"] if rule.korean else []
+    if rule.pre and (rule.part or not rule.around):
+        tests.append(f"_norm rlike {_raw('(?U)' + rule.pre)}")
+    return " AND ".join(tests) or "true"
+
+
+def _hits_sql(i: int, rule: R.Rule, asked: str, linear: int | None) -> str:
+    """SQL for all matches of rule ``i`` on a page, by place, if ``asked``. ``linear``: its number among those in ``_linear``, where they are found already."""
+    if rule.around:
+        within = f"filter({_PARTS[rule.around][0]}, p -> p.match rlike {_raw('(?U)' + (rule.part or rule.pre))})"
         found = f"flatten(transform({within}, p -> transform({spans_sql('p.match', rule.java)}, s -> named_struct('start', s.start + p.start, 'end', s.end + p.start, 'match', s.match))))"
     else:
         found = spans_sql("_norm", rule.java) if linear is None else f"_linear[{linear}]"
     named = f"transform({found}, s -> named_struct('rule', {i}, 'start', s.start, 'end', s.end, 'match', s.match))"
-    return f"if(_norm rlike {_raw('(?U)' + rule.pre)}, {named}, cast(array() as array<struct<rule:int,start:int,end:int,match:string>>))"
+    return f"if({asked}, {named}, cast(array() as {_FOUND}))"
 
 
 def _told_sql(rules: tuple[R.Rule, ...]) -> str:
@@ -196,7 +203,10 @@ def _told_sql(rules: tuple[R.Rule, ...]) -> str:
 
 
 _HIT = ", ".join(f"'{c}', h.{c}" for c in ("rule", "start", "end", "match"))
-_PARTS = {R.NUMBERS: ("_numbers", r"(?U)\d"), R.MAILS: ("_mails", "@")}
+_FOUND = "array<struct<rule:int,start:int,end:int,match:string>>"
+_PARTS = {R.NUMBERS: ("_numbers", r"_norm rlike r'(?U)\d'"), R.MAILS: ("_mails", "contains(_norm, '@')")}
+#: Only texts of more bytes than characters are searched for syllables.
+_KOREAN = "(octet_length(_norm) > length(_norm) AND _norm rlike '[가-힣]')"
 
 
 def _judged(hit: Column, rules: tuple[R.Rule, ...]) -> Column:
@@ -216,32 +226,37 @@ def _judged(hit: Column, rules: tuple[R.Rule, ...]) -> Column:
     return let(said, candidate)
 
 
-def with_candidates(df: DataFrame, rules: tuple[R.Rule, ...]) -> DataFrame:
+def with_candidates(df: DataFrame, rules: tuple[R.Rule, ...], source: Column | None = None) -> DataFrame:
     """Add ``_all``: candidates of all ``rules`` in ``_norm``, by rule, then place, in one pass over the page.
 
-    First the page is searched for the few parts that hold digits or an ``@``; rules for numbers and mail then run there only.
+    First the page is searched for the few parts that hold digits or an ``@``; rules for numbers and mail then run there only,
+    and each question that several rules ask of a page is answered once.
     Pages with so long a run of syllables that backtracking address rules crawl are the only ones whose address
-    rules are matched in Python, in linear time; no other page passes through it.
+    rules are matched in Python, in linear time; no other page passes through it. ``source``: the column that ``_norm`` was
+    made of, so that such pages are told before it is made.
     """
     if not rules:
         return df.withColumn("_all", F.array().cast(f"array<{CANDIDATE}>"))
-    text = F.col("_norm")
-    anything = "|".join(sorted({r.pre for r in rules}))
-    added = {"_blocks": f"if(_norm rlike {_raw('(?U)' + anything)}, regexp_extract_all(_norm, r'(?s).{{1,{BLOCK}}}', 0), cast(array() as array<string>))"}
-    for around, (name, pre) in _PARTS.items():
+    asked = {sql: f"_asked{k}" for k, sql in enumerate(dict.fromkeys(map(_asked_sql, rules)))}
+    added = {name: sql for sql, name in asked.items()}
+    for around, (name, test) in _PARTS.items():
         if any(r.around == around for r in rules):
-            added[name] = f"if(_norm rlike r'{pre}', {spans_sql('_norm', '(?U)' + around)}, cast(array() as {_SPANS}))"
-    df = once(df, "_parts", F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in added.items()) + ")"))
-    df = df.select("*", *(F.col(f"_parts.{k}").alias(k) for k in added)).drop("_parts")
+            added[name] = f"if({test}, {spans_sql('_norm', '(?U)' + around)}, cast(array() as {_SPANS}))"
+    parts = _let_sql("korean", _KOREAN, "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in added.items()) + ")")
     slow = [i for i, r in enumerate(rules) if r.category == "Address"]
 
     def searched(df: DataFrame, linear: bool) -> DataFrame:
-        hits = ", ".join(_hits_sql(i, r, slow.index(i) if linear and i in slow else None) for i, r in enumerate(rules))
-        return once(once(df, "_hits", F.expr(f"concat({hits})")), "_told", F.expr(_told_sql(rules))).drop("_linear", "_hits", *added)
+        df = once(df, "_parts", F.expr(parts))
+        df = df.select("*", *(F.col(f"_parts.{k}").alias(k) for k in added)).drop("_parts")
+        hits = ", ".join(_hits_sql(i, r, asked[_asked_sql(r)], slow.index(i) if linear and i in slow else None) for i, r in enumerate(rules))
+        df = once(df, "_hits", F.expr(f"concat({hits})")).drop("_linear", *added)
+        df = once(df, "_blocks", F.when(F.size("_hits") > 0, blocks(F.col("_norm"))))
+        return once(df, "_told", F.expr(_told_sql(rules))).drop("_hits", "_blocks")
 
     if slow:
-        crawls = text.rlike(f"(?U){SYLLABLE_RUN}")
-        crawling = df.where(crawls).withColumn("_linear", linear_spans(text, tuple(rules[i].pattern for i in slow)))
+        source = F.col("_norm") if source is None else F.coalesce(source, F.lit(""))
+        crawls = (F.octet_length(source) > F.length(source)) & source.rlike(f"(?U){SYLLABLE_RUN}")
+        crawling = df.where(crawls).withColumn("_linear", linear_spans(F.col("_norm"), tuple(rules[i].pattern for i in slow)))
         found = searched(df.where(~crawls), False).unionByName(searched(crawling, True))
     else:
         found = searched(df, False)

@@ -79,11 +79,12 @@ class Anchor:
 
 @dataclass(frozen=True)
 class Rule:
-    """One detection rule. ``validate`` is a column function; ``pre`` a cheap pattern without which ``pattern`` cannot match.
+    """One detection rule. ``validate`` is a column function; ``pre`` a cheap pattern without which ``pattern`` cannot match (empty: none).
 
     ``lookup`` names the dictionary check that a match must pass (``exact``, ``fuzzy``); ``digit_boundary``
     refuses matches within longer runs of digits. ``around``: :data:`NUMBERS` or :data:`MAILS`, if all matches lie
-    within such parts of a page; ``part``: what a part must hold for a match, if that is not ``pre``.
+    within such parts of a page; ``part``: what a part must hold for a match, if that is not ``pre``. ``korean``: every match
+    holds a Hangul syllable, or stands on a page with ``word``; other pages are passed over without a look at ``pre``.
     """
 
     category: str
@@ -98,6 +99,8 @@ class Rule:
     digit_boundary: bool = False
     around: str | None = None
     part: str | None = None
+    korean: bool = False
+    word: str | None = None
 
     @property
     def java(self) -> str:
@@ -126,14 +129,14 @@ RULES = (
     Rule("PhoneNumber", "PhoneNumber", PHONE, 0.5, checks.no_checksum, _FAX_OR_PHONE, pre=r"\d{4}", around=NUMBERS),
     Rule("PhoneNumber", "PhoneNumber", PHONE_BARE, 0.4, checks.no_checksum, _FAX_OR_PHONE, required=True, pre=r"\d{4}", around=NUMBERS),
     Rule("BankAccount", "BankAccount", ACCOUNT, 0.5, checks.no_checksum, (Anchor(ACCOUNT_WORDS),), required=True, pre=r"\d{2}[-\s]\d{2}", around=NUMBERS),
-    Rule("DateOfBirth", "DateOfBirth", BIRTH, 0.3, checks.not_validated, (Anchor(BIRTH_WORDS),), required=True, pre="생", around=NUMBERS, part=r"\d"),
-    Rule("Address", "Address", f"{REGION}{TOWN}(?:{ROAD}|{LOT}){DETAIL}", 0.5, checks.not_validated, _PLACE, pre=_ADDRESS_PRE),
-    Rule("Address", "AddressDict", f"{REGION}{TOWN}{DONG}", 0.5, checks.not_validated, _PLACE, pre=_ADDRESS_PRE, lookup="exact"),
-    Rule("Address", "AddressFuzzy", f"{REGION}{TOWN}{DAMAGED_DONG}", 0.45, checks.not_validated, _PLACE, pre=_ADDRESS_PRE, lookup="fuzzy"),
-    Rule("Address", "AddressBuilding", f"{REGION}{TOWN}{BUILDING}", 0.4, checks.not_validated, _PLACE, pre=_ADDRESS_PRE),
-    Rule("Address", "Address", f"{ROAD}{DETAIL}", 0.5, checks.not_validated, _PLACE, required=True, pre="[주거본자배발]"),
-    Rule("Address", "Address", f"{LOT}{DETAIL}", 0.5, checks.not_validated, _PLACE, required=True, pre="[주거본자배발]"),
-    Rule("Address", "AddressDamagedDong", f"{STRONG_REGION}{TOWN}{DAMAGED_LOT}", 0.4, checks.not_validated, _PLACE, pre=_ADDRESS_PRE),
-    Rule("Address", "AddressBuildingLine", BUILDING_LINE, 0.35, checks.not_validated, _PLACE, pre="APT|[가-힣]"),
+    Rule("DateOfBirth", "DateOfBirth", BIRTH, 0.3, checks.not_validated, (Anchor(BIRTH_WORDS),), required=True, pre="생", around=NUMBERS, part=r"\d", korean=True),
+    Rule("Address", "Address", f"{REGION}{TOWN}(?:{ROAD}|{LOT}){DETAIL}", 0.5, checks.not_validated, _PLACE, pre=_ADDRESS_PRE, korean=True),
+    Rule("Address", "AddressDict", f"{REGION}{TOWN}{DONG}", 0.5, checks.not_validated, _PLACE, pre=_ADDRESS_PRE, korean=True, lookup="exact"),
+    Rule("Address", "AddressFuzzy", f"{REGION}{TOWN}{DAMAGED_DONG}", 0.45, checks.not_validated, _PLACE, pre=_ADDRESS_PRE, korean=True, lookup="fuzzy"),
+    Rule("Address", "AddressBuilding", f"{REGION}{TOWN}{BUILDING}", 0.4, checks.not_validated, _PLACE, pre=_ADDRESS_PRE, korean=True),
+    Rule("Address", "Address", f"{ROAD}{DETAIL}", 0.5, checks.not_validated, _PLACE, required=True, pre="[주거본자배발]", korean=True),
+    Rule("Address", "Address", f"{LOT}{DETAIL}", 0.5, checks.not_validated, _PLACE, required=True, pre="[주거본자배발]", korean=True),
+    Rule("Address", "AddressDamagedDong", f"{STRONG_REGION}{TOWN}{DAMAGED_LOT}", 0.4, checks.not_validated, _PLACE, pre=_ADDRESS_PRE, korean=True),
+    Rule("Address", "AddressBuildingLine", BUILDING_LINE, 0.35, checks.not_validated, _PLACE, pre="", korean=True, word="APT"),
     Rule("PhoneNumber", "PhoneNumberSeoulLocal", PHONE_LOCAL, 0.35, checks.no_checksum, _FAX_OR_PHONE, pre=r"\d[-.]\d", around=NUMBERS),
 )

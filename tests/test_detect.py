@@ -1,4 +1,6 @@
 import dataclasses
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from inkveil.operators.layout import detect_layout
 from inkveil.operators.redact import post_check, redact_texts
 from inkveil.operators.spans import linear_spans, spans
 from inkveil.functions import checks
+from inkveil.functions.text import ocr_digits
 from inkveil.plans.rules import RULES, Rule
 
 DONGS = "서빙고동 압구정동 역삼동 반포동 성복동 여의도동 용암동".split()
@@ -170,3 +173,24 @@ def test_rules_of_users_match_anywhere_and_parts_lose_nothing(spark):
     found = lambda rules: sorted((r.doc_id, r.f) for r in page_finds(df, rules).select("doc_id", F.col("finds").cast("string").alias("f")).collect())
     assert found(rules) == found(whole)
     assert any("Licence" in f for _, f in found(rules))
+
+
+def test_digits_of_scanned_texts(spark):
+    """Runs by character classes, on drawn texts; a million hyphens end at once."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("0123lI|Ooㅡ.-ab 가") for _ in range(rng.randrange(40))) for _ in range(2000)] + ["-" * 10**6 + "l5", "", None]
+
+    def fixed(text):
+        change = str.maketrans("lI|Ooㅡ", "11100-")
+        return re.sub(r"[0-9lI|Ooㅡ.\-]+", lambda m: m[0].translate(change) if re.search("[0-9]", m[0]) else m[0], text)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for r in df.select("text", ocr_digits(F.col("text")).alias("got")).collect():
+        assert r.got == (None if r.text is None else fixed(r.text))
+
+
+def test_pages_without_hangul(spark):
+    """A line of a building needs no syllable; a page is passed over only if no rule can match there."""
+    pages = spark.createDataFrame([(1, 0, "APT 12-3"), (2, 0, "élan 12-3"), (3, 0, "")], "doc_id long, page_index int, text string")
+    rules = tuple(r for r in RULES if r.pattern_type == "AddressBuildingLine")
+    assert [(r.doc_id, r.content) for r in detect(pages, rules).collect()] == [(1, "APT 12-3")]
