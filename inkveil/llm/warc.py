@@ -20,6 +20,8 @@ RECORD = "record_id string, type string, target_uri string, date string, concurr
 _NAMES = [c.split()[0] for c in RECORD.split(", ")]
 #: Bytes of payloads in one batch from a reader.
 PORTION = 8_000_000
+#: Records in one archive at most; three make a capture.
+RECORDS_PER_FILE = 30_000
 
 
 def base32_sha1(data: bytes) -> str:
@@ -76,13 +78,14 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return alone.unionByName(each)
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write a capture for each page to gzipped WARC files.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, the one with the largest id is a
     response; others are revisits that refer to it. Groups are added up by payload hash before they
     are shuffled, and the join back is salted, so copies that make up a third of all pages are spread.
-    Spark's text sink ends each record with CR LF and commits files by task, in any file system.
+    Spark's text sink ends each record with CR LF and commits files by task, in any file system. A task begins a new
+    file after ``records_per_file`` records, as a reader takes a file whole.
 
     Defined cases: null html is an empty payload; a null id is never the response of a group that has
     another; of rows equal in id, URL and payload one is the response and each other a revisit of its own; a null URL leaves the target out; an
@@ -109,7 +112,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str =
                 rows = batch.slice(at, 500).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([r for row in rows for r in captured(**row)], pa.binary())], ["value"])
 
-    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    joined.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _inflated(data: bytes) -> bytes:
@@ -156,7 +159,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the WARC files in ``path`` (plain, or gzip of a file or of each record).
 
     HTTP heads are split off payloads and listed in ``fields``, as are warc-fields. A file is read by one
-    task, so write files of bounded size. A cut-off record is an error, not a short payload.
+    task, so write files of bounded size, as :func:`write_warc` does. A cut-off record is an error, not a short payload.
     """
     text = pa.string()
     schema = pa.schema(zip(_NAMES, [text, text, text, text, pa.list_(text), text, text, pa.int64(), pa.bool_(), pa.map_(text, text), pa.binary()]))
@@ -182,11 +185,13 @@ def captures(records: DataFrame) -> DataFrame:
 
     Requests and metadata join their response through concurrent-to identifiers, whichever of the two
     names the other. Identifiers are unique, so no key is hot; of several requests or metadata records
-    of one capture the one with the smallest id is taken, and a record that comes twice counts once.
+    of one capture the one with the smallest id is taken, and a record that comes twice counts once; of responses of one
+    id with other contents the one with the least columns in their order (maps left out) is taken.
     A capture may lack either; requests and metadata without a response are left out. Columns of
     ``records`` beyond ``record_id, type, concurrent_to`` travel along, so select what is needed first.
     """
-    responses = records.where(F.col("type").isin("response", "revisit")).groupBy(F.col("record_id").alias("capture_id")).agg(F.first(F.struct(*records.columns)).alias("response"))
+    ordered = F.struct(*(f.name for f in records.schema if f.dataType.typeName() not in ("map", "variant")))
+    responses = records.where(F.col("type").isin("response", "revisit")).groupBy(F.col("record_id").alias("capture_id")).agg(F.min_by(F.struct(*records.columns), ordered).alias("response"))
     others = records.where(F.col("type").isin("request", "metadata"))
     named = others.select(F.explode("concurrent_to").alias("capture_id"), F.struct(*records.columns).alias("other"))
     naming = (

@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+
 from inkveil.llm.warc import captures, op6_warc, read_warc, records_of, write_warc
 
 
@@ -70,3 +72,17 @@ def test_foreign_archive(spark, tmp_path):
         got = {r.capture_id: r for r in captures(read_warc(spark, f"file://{tmp_path}/{name}")).collect()}
         assert set(got) == {"<r1>", "<r2>"} and got["<r2>"].request is None
         assert (got["<r1>"].request.record_id, got["<r1>"].metadata.fields, bytes(got["<r1>"].response.payload)) == ("<q1>", {"lang": "en"}, b"body")
+
+
+def test_files_are_bounded_and_ids_resolved(spark, tmp_path):
+    """No archive holds more records than asked; of records of one id with other contents the same one is taken, however they are dealt."""
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", "x" * (i % 7)) for i in range(50)], "page_id long, url string, html string").coalesce(1)
+    write_warc(pages, f"file://{tmp_path}/w", records_per_file=20)
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.endswith(".gz")]
+    held = [sum(1 for _ in records_of(f.read_bytes())) for f in files]
+    assert max(held) <= 20 and sum(held) == 150
+    records = read_warc(spark, f"file://{tmp_path}/w")
+    assert captures(records).count() == 50
+    twice = records.unionByName(records.withColumn("date", F.lit("1999-01-01T00:00:00Z")))
+    for n in (1, 5):
+        assert {r.response.date for r in captures(twice.repartition(n)).collect()} == {"1999-01-01T00:00:00Z"}
