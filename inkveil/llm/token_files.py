@@ -32,6 +32,8 @@ MAGIC = b"PFORTOK1"
 BLOCK = 4096
 #: Share of a block's ids that the packed width must hold; the rest are exceptions.
 PERCENTILE = 0.98
+#: Bytes of text behind one file; a reader takes a file whole.
+BYTES_PER_FILE = 1 << 28
 END_ID = 2
 
 #: Layouts of header, block and footer.
@@ -71,12 +73,14 @@ def unpack_block(data: memoryview) -> np.ndarray:
     return ids + np.uint32(least)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Encode every whole text, append ``end_id``, and write the ids in ascending order of the id.
 
     Documents are range-partitioned by id on sampled splitters and sorted; each partition streams its
     blocks into one file through Spark's text sink, so files appear only when their task commits, in
     any file system that Spark writes. A task holds one portion of texts and its documents' counts.
+    The texts' bytes are added up first, so that there are enough partitions for files of about ``bytes_per_file`` of
+    text; rows of one id (a null id may be a third of all) are ranged by a hash of their text, too.
 
     Defined cases: a null or empty text has the end id alone; null ids come first; rows that repeat an
     id are written each; an empty table writes no ids; other columns are ignored.
@@ -123,8 +127,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             put(struct.pack(_FOOT, index, table, len(starts), len(all_ids), int(all_counts.sum()), MAGIC))
             yield flushed()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    files = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bytes_per_file)
+    # With few bytes the session's number of partitions is enough, which adaptive plans may still lower.
+    enough = files <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(*order) if enough else rows.repartitionByRange(files, *order)
+    ranged.sortWithinPartitions(*order).mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path)
 
 
 def _footer(content: memoryview) -> tuple[int, ...]:

@@ -48,3 +48,17 @@ def test_edge_cases(spark, tmp_path):
     assert sorted([(r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got], key=key) == sorted(expected(df.collect()), key=key)
     write_tokens(df.limit(0), f"file://{tmp_path}/none", BYTES)
     assert read_tokens(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_files_are_bounded(spark, tmp_path):
+    """Files hold few texts where asked to, also of one id; starts run on over all of them."""
+    rows = [(None if i % 2 else i, f"text {i} " * 20) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    write_tokens(df, f"file://{tmp_path}/t", BYTES, bytes_per_file=4000)
+    files = [f.stat().st_size for f in (tmp_path / "t").iterdir() if f.suffix == ".txt" and f.stat().st_size]
+    assert len(files) > 8 and max(files) < sum(files) / 4
+    got = sorted(read_tokens(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r.start)
+    tokenizer = Tokenizer.from_file(BYTES)
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in rows)
+    assert [r.doc_id for r in got] == [None] * 200 + list(range(0, 400, 2))
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
