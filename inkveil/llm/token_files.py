@@ -32,6 +32,8 @@ MAGIC = b"PFORTOK1"
 BLOCK = 4096
 #: Share of a block's ids that the packed width must hold; the rest are exceptions.
 PERCENTILE = 0.98
+#: Characters of texts that a task encodes at once.
+PORTION = 1_000_000
 #: Bytes of text behind one file; a reader takes a file whole.
 BYTES_PER_FILE = 1 << 28
 END_ID = 2
@@ -103,7 +105,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids.append(batch.column(0))
-            for part in in_portions(texts):
+            for part in in_portions(texts, PORTION):
                 if not at:
                     put(struct.pack(_HEAD, MAGIC, TaskContext.get().partitionId()))
                 coded, n = encoder(tokenizer).encode_ended(texts[part], end_id)
