@@ -63,3 +63,9 @@ def test_cells_of_boxes_are_never_sent_whole(page, query):
     g, b, o = page[0]
     made = {"redact_glyphs": lambda: redact.redact_glyphs(g, b), "redact_route": lambda: redact.route_pages(b, o), "redact_carried_out": lambda: redact.carry_out(g, b, o)}
     assert not [line for line in sent_whole(made[query]()) if "Generate" in line]
+
+
+@pytest.mark.parametrize("query", ["redact_route"])
+def test_pages_grow_with_the_tables(query):
+    sql = catalogue.ORACLE_SQL[query]
+    assert "/ 128) AS BIGINT" not in sql and re.search(r"_orderkey % 500 AS doc_id", sql)
