@@ -65,7 +65,7 @@ def test_cells_of_boxes_are_never_sent_whole(page, query):
     assert not [line for line in sent_whole(made[query]()) if "Generate" in line]
 
 
-@pytest.mark.parametrize("query", ["redact_route", "redact_glyphs", "overlap_antijoin", "merge_redetect"])
+@pytest.mark.parametrize("query", ["redact_route", "redact_glyphs", "overlap_antijoin", "merge_redetect", "containment_semijoin"])
 def test_pages_grow_with_the_tables(query):
     sql = catalogue.ORACLE_SQL[query]
     assert "/ 128) AS BIGINT" not in sql and re.search(r"_orderkey % 500 AS doc_id", sql)
