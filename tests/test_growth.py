@@ -65,7 +65,15 @@ def test_cells_of_boxes_are_never_sent_whole(page, query):
     assert not [line for line in sent_whole(made[query]()) if "Generate" in line]
 
 
-@pytest.mark.parametrize("query", ["redact_route", "redact_glyphs", "overlap_antijoin", "merge_redetect", "containment_semijoin"])
+@pytest.mark.parametrize("query", ["redact_route", "redact_glyphs", "overlap_antijoin", "merge_redetect", "containment_semijoin", "glyphs_in_box"])
 def test_pages_grow_with_the_tables(query):
     sql = catalogue.ORACLE_SQL[query]
     assert "/ 128) AS BIGINT" not in sql and re.search(r"_orderkey % 500 AS doc_id", sql)
+
+
+def test_text_of_boxes_that_lie_alike_share_an_id_or_lack_a_side(spark):
+    b = lambda *v: v
+    boxes = [(1, 0, 1, b(0.0, 0.0, 0.5, 0.5)), (1, 0, 2, b(0.0, 0.0, 0.5, 0.5)), (1, 0, 3, b(None, 0.0, 1.0, 1.0)), (1, 0, 4, b(0.0, 0.0, 0.2, 0.2)), (1, 0, 4, b(0.0, 0.0, 0.5, 0.5)), (2, 0, 5, b(0.0, 0.0, 1.0, 1.0)), (None, 0, 6, b(0.0, 0.0, 1.0, 1.0))]
+    glyphs = [(1, 0, 2, "b", b(0.1, 0.1, 0.1, 0.1)), (1, 0, 1, "a", b(0.4, 0.4, 0.2, 0.2)), (1, 0, 3, None, b(0.1, 0.1, 0.1, 0.1)), (1, 0, 4, "z", b(0.6, 0.6, 0.1, 0.1)), (3, 0, 1, "c", b(0.1, 0.1, 0.1, 0.1)), (None, 0, 1, "d", b(0.1, 0.1, 0.1, 0.1))]
+    got = review.text_in_boxes(spark.createDataFrame(boxes, f"doc_id long, page int, id long, bbox {KIND}"), spark.createDataFrame(glyphs, f"doc_id long, page int, n long, ch string, box {KIND}"))
+    assert {(r.doc_id, r.id): r.text for r in got.collect()} == {(1, 1): "ab", (1, 2): "ab", (1, 3): "", (1, 4): "abb", (2, 5): "", (None, 6): ""}
