@@ -65,7 +65,7 @@ def test_cells_of_boxes_are_never_sent_whole(page, query):
     assert not [line for line in sent_whole(made[query]()) if "Generate" in line]
 
 
-@pytest.mark.parametrize("query", ["redact_route", "redact_glyphs", "overlap_antijoin", "merge_redetect", "containment_semijoin", "glyphs_in_box"])
+@pytest.mark.parametrize("query", ["redact_route", "redact_glyphs", "overlap_antijoin", "merge_redetect", "containment_semijoin", "glyphs_in_box", "template_stamp"])
 def test_pages_grow_with_the_tables(query):
     sql = catalogue.ORACLE_SQL[query]
     assert "/ 128) AS BIGINT" not in sql and re.search(r"_orderkey % 500 AS doc_id", sql)
@@ -77,3 +77,15 @@ def test_text_of_boxes_that_lie_alike_share_an_id_or_lack_a_side(spark):
     glyphs = [(1, 0, 2, "b", b(0.1, 0.1, 0.1, 0.1)), (1, 0, 1, "a", b(0.4, 0.4, 0.2, 0.2)), (1, 0, 3, None, b(0.1, 0.1, 0.1, 0.1)), (1, 0, 4, "z", b(0.6, 0.6, 0.1, 0.1)), (3, 0, 1, "c", b(0.1, 0.1, 0.1, 0.1)), (None, 0, 1, "d", b(0.1, 0.1, 0.1, 0.1))]
     got = review.text_in_boxes(spark.createDataFrame(boxes, f"doc_id long, page int, id long, bbox {KIND}"), spark.createDataFrame(glyphs, f"doc_id long, page int, n long, ch string, box {KIND}"))
     assert {(r.doc_id, r.id): r.text for r in got.collect()} == {(1, 1): "ab", (1, 2): "ab", (1, 3): "", (1, 4): "abb", (2, 5): "", (None, 6): ""}
+
+
+def test_a_template_of_any_size_is_stamped_whole(spark):
+    n = review.TEMPLATE_BOXES + 500
+    template = spark.range(n).select(F.col("id").alias("n"), F.expr("named_struct('x', 0.1D + id / 10000, 'y', 0.2D, 'width', 0.05D, 'height', 0.1D)").alias("bbox"))
+    anchors = spark.createDataFrame([(7, 0, 0.95, 0.0), (8, 0, 0.0, 0.5)], "doc_id long, page int, x double, y double")
+    rows = {(r.doc_id, r.n): r.bbox for r in review.stamp(template, anchors, most=None).collect()}
+    assert len(rows) == 2 * n and rows[8, 0].x == pytest.approx(0.0) and rows[7, n - 1].x + 0.05 == pytest.approx(1.0)
+    few = template.limit(40)
+    at = lambda df: sorted((r.doc_id, r.n, *(round(v, 9) for v in r.bbox)) for r in df.collect())
+    assert at(review.stamp(few, anchors, most=None)) == at(review.stamp(few, anchors))
+    assert review.stamp(template.limit(0), anchors, most=None).count() == 0
