@@ -65,7 +65,7 @@ def test_cells_of_boxes_are_never_sent_whole(page, query):
     assert not [line for line in sent_whole(made[query]()) if "Generate" in line]
 
 
-@pytest.mark.parametrize("query", ["redact_route", "redact_glyphs", "overlap_antijoin", "merge_redetect", "containment_semijoin", "glyphs_in_box", "template_stamp"])
+@pytest.mark.parametrize("query", ["redact_route", "redact_glyphs", "overlap_antijoin", "containment_semijoin", "merge_redetect", "glyphs_in_box", "template_stamp"])
 def test_pages_grow_with_the_tables(query):
     sql = catalogue.ORACLE_SQL[query]
     assert "/ 128) AS BIGINT" not in sql and re.search(r"_orderkey % 500 AS doc_id", sql)
@@ -89,3 +89,10 @@ def test_a_template_of_any_size_is_stamped_whole(spark):
     at = lambda df: sorted((r.doc_id, r.n, *(round(v, 9) for v in r.bbox)) for r in df.collect())
     assert at(review.stamp(few, anchors, most=None)) == at(review.stamp(few, anchors))
     assert review.stamp(template.limit(0), anchors, most=None).count() == 0
+
+
+@pytest.mark.parametrize("query", ["detect_ko_all", "detect_ko_places", "detect_layout_items", "address_cell", "region_building", "reanchor_boxes"])
+def test_narrow_rows_are_many_tasks(spark, sf_dir, query):
+    catalogue.QUERIES[query](spark, sf_dir)
+    sizes = spark.table("customer").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > spark.sparkContext.defaultParallelism
