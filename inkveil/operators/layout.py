@@ -1,17 +1,22 @@
 """Detection on pages of positioned glyphs: ``doc_id, page_index, glyphs array<struct<ch, x, y, w, h>>`` in document order.
 
 Text rules run as in text mode. Numbers that stand in a column or jump a cell are refused, and an
-address claims the whole cell that it stands in. Only that cell is found by a pandas function, on
+address claims the whole cell that it stands in. Only that cell is found by an Arrow function, on
 pages that have an address at all: following lines greedily is no window of SQL.
 """
 
 from __future__ import annotations
 
 import re
+import string
+from bisect import bisect_left
 from collections.abc import Iterable
+from functools import reduce
+from itertools import accumulate, pairwise, takewhile
+from operator import and_, or_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,43 +43,47 @@ def _postal(token: str) -> bool:
     return bool(_POSTAL.fullmatch(digits)) and (len(digits) == 6) == ("-" in token)
 
 
+#: What a cell is made of, beside syllables.
+_COUNTED = frozenset(string.ascii_letters + string.digits + "-")
+
+
+def _counted(c: str) -> bool:
+    return "가" <= c <= "힣" or c in _COUNTED
+
+
 def _middle(values: np.ndarray) -> float:
     return max(float(np.sort(values)[len(values) // 2]), 1e-4)
 
 
 class _Page:
-    """One page's glyphs as arrays."""
+    """One page's glyphs. Whole columns are arrays; a line has few glyphs, for which lists are faster than arrays."""
 
     def __init__(self, text: str, x, y, w, h):
-        self.ch = np.array(list(text), dtype="<U1") if text else np.empty(0, "<U1")
-        self.x, self.y, self.w, self.h = (np.asarray(a, float) for a in (x, y, w, h))
-        self.right, self.yc, self.xc = self.x + self.w, self.y + self.h / 2, self.x + self.w / 2
-        self.bar = np.isin(self.ch, list(BARS))
-        code = self.ch.view("<u4") if len(self.ch) else np.empty(0, np.uint32)
-        hangul, digit = (code >= 0xAC00) & (code <= 0xD7A3), (code >= 48) & (code <= 57)
-        self.counted = hangul | digit | ((code | 32) >= 97) & ((code | 32) <= 122) | (self.ch == "-")
-
-    def span(self, line: np.ndarray, seed: np.ndarray, cw: float) -> tuple[float, float]:
+        x, y, w, h = (np.asarray(a, float) for a in (x, y, w, h))
+        self.ch, self.columns, self.yc = text, (x, x + w, w, h), y + h / 2
+        self.x, self.right, self.xc = x.tolist(), (x + w).tolist(), (x + w / 2).tolist()
+        self.known: dict[float, tuple[list[list[int]], list[float], list[float]]] = {}
+
+    def span(self, line: list[int], left: float, right: float, cw: float) -> tuple[float, float]:
         """Left and right edge of the cell on the seed's line: as far as glyphs follow without a gap or a wall.
 
         To the left a postal code is the cell's end, and any other number of three digits or more is outside it.
         Where nothing bounds the text on the left it is prose, and the seed's own edge holds.
         """
-        left, right, slack = self.x[seed].min(), self.right[seed].max(), EDGE_SLACK * cw
-        bars = np.flatnonzero(line & self.bar)
-        east_wall = self.right[bars][self.x[bars] >= right - slack].min(initial=np.inf)
-        west_wall = self.x[bars][self.right[bars] <= left + slack].max(initial=-np.inf)
-
-        east = np.flatnonzero(line & self.counted & (self.right > right + slack))
-        east = east[np.argsort(self.x[east], kind="stable")]
-        reach = np.maximum.accumulate(np.concatenate(([right], self.right[east])))
-        east_end = reach[_first((self.x[east] >= east_wall) | (self.x[east] - reach[:-1] > COLUMN_GAP * cw))]
-
-        west = np.flatnonzero(line & self.counted & (self.x < left - slack))
-        west = west[np.argsort(-self.right[west], kind="stable")]
-        reach = np.minimum.accumulate(np.concatenate(([left], self.x[west])))
-        n = _first((self.x[west] <= west_wall) | (reach[:-1] - self.right[west] > COLUMN_GAP * cw))
-        for number in re.finditer("[0-9-]+", "".join(self.ch[west[:n]])):
+        x, ends, slack, gap = self.x, self.right, EDGE_SLACK * cw, COLUMN_GAP * cw
+        bars = [i for i in line if self.ch[i] in BARS]
+        east_wall = min((ends[i] for i in bars if x[i] >= right - slack), default=np.inf)
+        west_wall = max((x[i] for i in bars if ends[i] <= left + slack), default=-np.inf)
+        glyphs = [i for i in line if _counted(self.ch[i])]
+
+        east = sorted((i for i in glyphs if ends[i] > right + slack), key=x.__getitem__)
+        reach = list(accumulate((ends[i] for i in east), max, initial=right))
+        east_end = reach[_first(x[i] >= east_wall or x[i] - r > gap for i, r in zip(east, reach))]
+
+        west = sorted((i for i in glyphs if x[i] < left - slack), key=lambda i: (ends[i] != ends[i], -ends[i]))
+        reach = list(accumulate((x[i] for i in west), min, initial=left))
+        n = _first(x[i] <= west_wall or r - ends[i] > gap for i, r in zip(west, reach))
+        for number in re.finditer("[0-9-]+", "".join(self.ch[i] for i in west[:n])):
             token = number.group()[::-1]
             if _postal(token):
                 return reach[number.end()], east_end
@@ -82,54 +91,58 @@ class _Page:
                 return reach[number.start()], east_end
         return (reach[n] if n < len(west) else left), east_end
 
-    def lines(self, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-        """Glyphs from the top, and where among them each line starts: a line takes what is within the tolerance of its first."""
-        order = np.argsort(self.yc, kind="stable")
-        yc, starts = self.yc[order], [0]
-        while starts[-1] < len(yc):
-            first = starts[-1]
-            starts.append(first + int(np.searchsorted(yc[first:] - yc[first], tolerance)))
-        return order, np.array(starts[:-1])
+    def lines(self, tolerance: float) -> tuple[list[list[int]], list[float], list[float]]:
+        """Lines from the top with their glyphs and heights, and the band of each glyph: a line takes what is within the tolerance of its first. Found once for all seeds of a size."""
+        if tolerance not in self.known:
+            order = np.argsort(self.yc, kind="stable")
+            yc, order, starts = self.yc[order].tolist(), order.tolist(), [0]
+            while starts[-1] < len(yc):
+                first = starts[-1]
+                starts.append(max(first + 1, bisect_left(yc, tolerance, first, key=lambda v: v - yc[first])))  # a glyph without a place is a line
+            bands = np.round(self.yc / tolerance)
+            self.known[tolerance] = [order[a:b] for a, b in pairwise(starts)], [yc[a] for a in starts[:-1]], np.where(np.isnan(bands), np.inf, bands).tolist()
+        return self.known[tolerance]
 
     def cell(self, start: int, end: int, more: int) -> list[int]:
         """Places of the glyphs of the cell around ``[start, end)``, in reading order."""
-        seed = np.arange(start, end)
-        if len(seed) < 2:
-            return seed.tolist()
-        cw, ch = _middle(self.w[seed]), _middle(self.h[seed])
-        at = float(np.sort(self.yc[seed])[len(seed) // 2])
-        left, right = self.span(np.abs(self.yc - at) < SAME_LINE * ch, seed, cw)
-        column = ~self.bar & (self.xc >= left - LEFT_SLACK * cw) & (self.xc <= right + COLUMN_GAP * cw)
-
-        order, starts = self.lines(SAME_LINE * ch)
-        heights = self.yc[order[starts]]
-        own = int(np.argmax(np.abs(heights - at) < SAME_LINE * ch))
-        below = slice(own + 1, own + 1 + more)
-        fits = np.diff(heights)[own : own + more] <= LINE_GAP * ch
-        fits &= np.minimum.reduceat(self.right[order], starts)[below] >= left - NAME_MARGIN * cw
-        fits &= np.add.reduceat(column[order].astype(int), starts)[below] > 0
-        bounds = np.append(starts, len(order))
-        in_column = [ids[column[ids]] for ids in (order[bounds[i] : bounds[i + 1]] for i in range(own, own + 1 + _first(~fits)))]
-        read = ["".join(self.ch[ids[np.argsort(self.x[ids], kind="stable")]]) for ids in in_column[1:]]
-        kept = 1 + _first(np.array([bool(_LINE_REGION.match(t)) for t in read], bool))
-
-        ids = np.union1d(np.concatenate(in_column[:kept]), seed).astype(int)
-        return ids[np.lexsort((self.x[ids], np.round(self.yc[ids] / (SAME_LINE * ch))))].tolist()
-
-
-def _first(stops: np.ndarray) -> int:
+        if end - start < 2:
+            return list(range(start, end))
+        x, ends, widths, heights = (a[start:end] for a in self.columns)
+        cw, ch = _middle(widths), _middle(heights)
+        at, tolerance = float(np.sort(self.yc[start:end])[(end - start) // 2]), SAME_LINE * ch
+        own_line = np.flatnonzero(np.abs(self.yc - at) < tolerance).tolist()
+        left, right = self.span(own_line, float(x.min()), float(ends.max()), cw)
+        low, high, name_edge = left - LEFT_SLACK * cw, right + COLUMN_GAP * cw, left - NAME_MARGIN * cw
+        in_column = lambda line: [i for i in line if low <= self.xc[i] <= high and self.ch[i] not in BARS]
+
+        lines, tops, bands = self.lines(tolerance)
+        own = _first(abs(top - at) < tolerance for top in tops) % len(tops)
+        near = [k for k in range(own + 1, min(own + 1 + more, len(lines))) if tops[k] - tops[k - 1] <= LINE_GAP * ch and all(self.right[i] >= name_edge for i in lines[k])]
+        below = {k: ids for k in near if (ids := in_column(lines[k]))}
+        another = lambda ids: _LINE_REGION.match("".join(self.ch[i] for i in sorted(ids, key=self.x.__getitem__)))
+        kept = takewhile(lambda k: k in below and not another(below[k]), range(own + 1, own + 1 + more))
+
+        ids = {*range(start, end), *in_column(lines[own])}.union(*(below[k] for k in kept))
+        return sorted(ids, key=lambda i: (bands[i], self.x[i] if self.x[i] == self.x[i] else np.inf, i))
+
+
+def _first(stops: Iterable[bool]) -> int:
     """How many come before the first stop."""
-    return int(np.argmax(np.append(stops, True)))
+    return sum(1 for _ in takewhile(lambda stop: not stop, stops))
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def cells(text: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, starts: pd.Series, ends: pd.Series, more: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def cells(text: pa.Array, x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array, starts: pa.Array, ends: pa.Array, more: pa.Array) -> pa.Array:
     """For each seed of a page its cell; a negative ``more`` stands for the seed itself."""
+    flat = lambda a: a.values.to_numpy(zero_copy_only=False)
+    boxes, seeds = [flat(a) for a in (x, y, w, h)], [flat(a).tolist() for a in (starts, ends, more)]
+    glyph_at, seed_at = (pairwise(a.offsets.to_pylist()) for a in (x, more))
     out = []
-    for t, *boxes, ss, es, ms in zip(text, x, y, w, h, starts, ends, more):
-        page = _Page(t, *boxes) if len(ms) and max(ms) >= 0 else None
-        out.append([page.cell(s, e, m) if m >= 0 else list(range(s, e)) for s, e, m in zip(ss, es, ms)])
-    return pd.Series(out)
+    for t, (a, b), (c, d) in zip(text.to_pylist(), glyph_at, seed_at):
+        asked = list(zip(*(s[c:d] for s in seeds)))
+        page = _Page(t, *(v[a:b] for v in boxes)) if any(m >= 0 for *_, m in asked) else None
+        out.append([page.cell(s, e, m) if m >= 0 else list(range(s, e)) for s, e, m in asked])
+    return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
 
 def _slice(glyphs: Column, start: Column, end: Column) -> Column:
@@ -137,6 +150,12 @@ def _slice(glyphs: Column, start: Column, end: Column) -> Column:
     return F.transform(boxes, lambda g: F.struct(g["x"].alias("x"), g["y"].alias("y"), g["w"].alias("width"), g["h"].alias("height")))
 
 
+def _may_grow(text: Column) -> Column:
+    """Are all letters of a building's word on the page, wherever they stand? No cell of another page can hold one."""
+    words = R.LATE_BUILDING.removeprefix("(?:").removesuffix(")").split("|")
+    return reduce(or_, (reduce(and_, (F.contains(text, F.lit(c)) for c in dict.fromkeys(w))) for w in words))
+
+
 def page_cells(pages: DataFrame, rules: tuple[R.Rule, ...] = R.RULES, dongs: DataFrame | None = None) -> DataFrame:
     """Add ``text`` and ``finds``: structs of the candidate's fields and ``claimed``, the places it claims in reading order."""
     rules = tuple(r for r in rules if dongs is not None or not r.lookup)
@@ -149,11 +168,11 @@ def page_cells(pages: DataFrame, rules: tuple[R.Rule, ...] = R.RULES, dongs: Dat
         number = c["pattern_type"].isin("RRN", "Card")
         return ~(number & (geometry.line_count(boxes) > 2)) & ~((c["pattern_type"] == "Card") & geometry.cell_gap(boxes))
 
-    step = with_candidates(step, rules)
+    step = with_candidates(step, rules, F.col("text"))
     step = once(step, "_all", F.filter("_all", stands))
     if dongs is not None and any(r.lookup for r in rules):
         step = _confirmed(step, rules, dongs)
-    region = F.when(F.col("_norm").rlike("[시군구도]"), spans(F.col("_norm"), "(?U)" + R.REGION + R.TOWN)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    region = F.when(F.col("_norm").rlike("[시군구도]") & _may_grow(F.col("_norm")), spans(F.col("_norm"), "(?U)" + R.REGION + R.TOWN)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
     step = once(step, "_late", region)
     more = F.concat(
         F.transform("_all", lambda c: F.when(c["category"] != "Address", -1).when(c["pattern_type"] == "AddressBuildingLine", 0).otherwise(MORE_LINES)),
