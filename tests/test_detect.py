@@ -2,6 +2,7 @@ import dataclasses
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from inkveil.operators.redact import post_check, redact_texts
 from inkveil.operators.spans import linear_spans, spans
 from inkveil.functions import checks
 from inkveil.functions.text import ocr_digits
+from inkveil.plans import catalogue
 from inkveil.plans.rules import RULES, Rule
 
 DONGS = "서빙고동 압구정동 역삼동 반포동 성복동 여의도동 용암동".split()
@@ -194,3 +196,20 @@ def test_pages_without_hangul(spark):
     pages = spark.createDataFrame([(1, 0, "APT 12-3"), (2, 0, "élan 12-3"), (3, 0, "")], "doc_id long, page_index int, text string")
     rules = tuple(r for r in RULES if r.pattern_type == "AddressBuildingLine")
     assert [(r.doc_id, r.content) for r in detect(pages, rules).collect()] == [(1, "APT 12-3")]
+
+
+def test_copies_of_a_find_go_where_no_rule_claims_them(spark, tmp_path):
+    bare = " and so on and on and on and on, "
+    docs = [(1, "Er ich password=d2d270200196d60b80 der.\nFoo.\npassword=d2d270200196d60b80"), (2, f"tel 12345678{bare}12345678, 123456789"), (3, f"fax 555 1234, tel 2345551234{bare}2345551234 555 1234"), (4, "a.b@c.de, a.b@c.de"), (5, "none"), (None, "tel 12345678")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in catalogue.QUERIES["redact_residual"](spark, str(tmp_path)).select("doc_id", "n_found", "n_left").collect()]
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(got, key=str) == sorted(con.sql(catalogue.ORACLE_SQL["redact_residual"]).fetchall(), key=str)
+    pages = spark.createDataFrame([(i, 0, t) for i, t in docs if i], "doc_id long, page_index int, text string")
+    for token in (False, True):
+        red = redact_texts(page_finds(pages), token=token)
+        assert {r.doc_id: r.n_left for r in post_check(red).collect()} == dict.fromkeys(range(1, 6), 0)
+        left = {r.doc_id: r.redacted for r in red.collect()}
+        assert left[2] == (f"tel [PhoneNumber]{bare}[PhoneNumber], [PhoneNumber]9" if token else f"tel {'█' * 8}{bare}{'█' * 8}, {'█' * 8}9")
+        assert left[5] == "none" and "2345551234" not in left[3]
