@@ -96,3 +96,7 @@ def test_narrow_rows_are_many_tasks(spark, sf_dir, query):
     catalogue.QUERIES[query](spark, sf_dir)
     sizes = spark.table("customer").groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > spark.sparkContext.defaultParallelism
+
+
+def test_pages_of_glyphs_are_never_sent_whole(spark, sf_dir):
+    assert not sent_whole(catalogue.QUERIES["reanchor_boxes"](spark, sf_dir))
