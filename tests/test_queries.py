@@ -38,6 +38,36 @@ def test_query(spark, sf_dir, duck, name):
     assert got
 
 
+LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"
+
+
+def both_resolve(spark, folder, lines, order="rule, start, id"):
+    """What the query gives on ``lines``, and what its SQL gives with its rows taken by ``order``."""
+    spark.createDataFrame(lines, LINES).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    sql = catalogue.ORACLE_SQL["resolve_claims"]
+    assert sql.count("ORDER BY rule, start, id)") == 1
+    want = con.sql(sql.replace("ORDER BY rule, start, id)", f"ORDER BY {order})")).select("doc_id", "id").fetchall()
+    got = catalogue.QUERIES["resolve_claims"](spark, str(folder)).select("doc_id", "id").collect()
+    return sorted(tuple(map(plain, r)) for r in got), sorted(tuple(map(plain, r)) for r in want)
+
+
+@pytest.mark.parametrize("null", [0, 1, 2, 3])
+def test_claims_of_lines_with_nulls(spark, tmp_path, null):
+    """No two lines of a page are tied: each has another place, or another id."""
+    lines = [(i % 97, i * 7 % 300, i % 11, 1 + i // 97) for i in range(291)]
+    lines = [tuple(None if k == null and i % 5 == 0 else v for k, v in enumerate(r)) for i, r in enumerate(lines)]
+    got, want = both_resolve(spark, tmp_path, lines)
+    assert got == want and got
+
+
+def test_claims_of_lines_that_the_order_ties(spark, tmp_path):
+    lines = [(i % 40, i % 40 * 8 % 150, i * 3 % 9, 1 + i % 2) for i in range(400)]
+    got, want = both_resolve(spark, tmp_path, lines, 'rule, start, id, "end", claim_start, claim_end')
+    assert got == want and got
+
+
 def test_layout_query_finds_what_text_mode_finds(spark, sf_dir):
     layout = catalogue.QUERIES["detect_layout_items"](spark, sf_dir).where("category <> 'Address'")
     text = catalogue.QUERIES["detect_ko_all"](spark, sf_dir)
