@@ -58,6 +58,40 @@ def test_glyphs_left_equal_brute_force(page):
     assert sorted((r.doc_id, r.page, tuple(r.box)) for r in redact.redact_glyphs(g, b).collect()) == want
 
 
+@pytest.mark.parametrize(("most", "n"), [(0.9, 40), (0.2, 400), (0.02, 900)])
+def test_redaction_on_grids_of_any_fineness_equals_brute_force(spark, most, n):
+    rng, nan = random.Random(n), float("nan")
+    at = lambda low, high, size: (rng.uniform(low, high), rng.uniform(low, high), rng.uniform(-size / 9, size), rng.uniform(-size / 9, size))
+    odd = [(nan, 0.1, 0.5, 0.5), (0.1, 0.1, nan, 0.5), (None, 0.1, 0.5, 0.5), (0.5, 0.5, 0.0, 0.0), (0.25, 0.25, 0.125, 0.125), (1e300, 0.0, 1.0, 1.0), (-1e300, 0.5, 1e300, 0.01)]
+    boxes = [(1, p, b) for p in range(2) for b in [at(-0.2, 1.1, most) for _ in range(n)] + odd + odd[4:5]] + [(None, 0, (0.0, 0.0, 1.0, 1.0))]
+    glyphs = [(d, p, b) for d, p in ((1, 0), (1, 1), (2, 0), (None, 0)) for b in [at(-0.2, 1.1, 0.03) for _ in range(n)] + [at(0, 1, 0.7 * p) for _ in range(9)] + odd + odd[4:5]]
+    objects = [(1, 1, "form", (0.5, 0.5, 1e4, 1e4)), (1, 0, "image", (9.0, 9.0, 1e4, 1e4)), (1, 0, "text", (0.0, 0.0, 1e4, 1e4))]
+    whole = lambda r: all(v is not None and v == v for v in r)
+    hit = lambda g, b: g[:2] == b[:2] and None not in g[:2] and whole(g[2]) and whole(b[2]) and over(g[2], b[2])
+    boxes = [b for b in boxes if whole(b[2]) or b[1] == 1]  # a side that is NaN leaves no area to compare objects with
+    g, b, o = (spark.createDataFrame(r, s) for r, s in ((glyphs, f"doc_id long, page int, box {KIND}"), (boxes, f"doc_id long, page int, bbox {KIND}"), (objects, f"doc_id long, page int, kind string, bbox {KIND}")))
+    key = lambda r: str((r[0], r[1], tuple(r[2])))
+    want = sorted(key(x) for x in glyphs if not any(hit(x, y) for y in boxes))
+    assert sorted(key(r) for r in redact.redact_glyphs(g, b).collect()) == want
+    done = redact.carry_out(g, b, o).collect()
+    assert {(r.doc_id, r.page, r.route) for r in done} == {(1, 0, "spans"), (1, 1, "spans"), (2, 0, None), (None, 0, None)}
+    assert sorted(key(r) for r in done if not r.removed) == want
+    plain = spark.createDataFrame([(p, 0, x[2]) for p in range(3) for x in boxes[:n]], b.schema)
+    large = spark.createDataFrame([(0, 0, "form", (0.5, 0.5, 1e4, 1e4)), (1, 0, "image", (9.0, 9.0, 1e4, 1e4)), (2, 0, "text", (0.0, 0.0, 1e4, 1e4))], o.schema)
+    assert {r.doc_id: r.route for r in redact.route_pages(plain, large).collect()} == {0: "page", 1: "spans", 2: "spans"}
+
+
+def test_boxes_of_a_page_of_few_are_shuffled_as_they_are(spark):
+    b = "named_struct('x', rand(5), 'y', rand(6), 'width', 0.125D, 'height', 0.15D)"
+    boxes, glyphs = (spark.range(n).selectExpr("id % 100 AS doc_id", "CAST(0 AS INT) AS page", f"{b} AS {name}") for n, name in ((1800, "bbox"), (7000, "box")))
+    objects = glyphs.selectExpr("doc_id", "page", "'form' AS kind", "box AS bbox")
+    store, new = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array
+    stages = lambda: [x for x in (lambda s: [s.apply(i) for i in range(s.size())])(store.stageList(None, False, False, new(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()))]
+    last = max((s.stageId() for s in stages()), default=-1)
+    assert len(redact.removed_counts(redact.carry_out(glyphs, boxes, objects)).collect()) == 100
+    assert sum(s.shuffleWriteRecords() for s in stages() if s.stageId() > last) < 3 * (1800 + 7000 + 7000)
+
+
 @pytest.mark.parametrize("query", ["redact_glyphs", "redact_route", "redact_carried_out"])
 def test_cells_of_boxes_are_never_sent_whole(page, query):
     g, b, o = page[0]
