@@ -1,5 +1,6 @@
 """What keeps queries within bounds as tables grow, and the whole job of those that a change of SQL had made smaller."""
 
+import math
 import random
 import re
 
@@ -125,6 +126,22 @@ def test_a_template_of_any_size_is_stamped_whole(spark):
     assert review.stamp(template.limit(0), anchors, most=None).count() == 0
 
 
+def test_places_are_rounded_as_spark_rounds(spark):
+    rng = random.Random(4)
+    halves = [(k + 0.5) / 1e4 for k in (*range(0, 20_000, 7), 2**30 + 1, 10**10 + 1)] + [k / 128 for k in range(300)]
+    values = [v for h in halves for v in (math.nextafter(h, 0), h, math.nextafter(h, 9e9), math.nextafter(math.nextafter(h, 0), 0))]
+    values += [rng.random() * 10 ** rng.randrange(-7, 9) for _ in range(3000)] + [-v for v in halves[:500]] + [0.0, -0.0, 0.49999999999999994, 1e-300, 1e7 - 0.00005, 1e9, 1e18, 1e300, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(v, v) for v in values], "want double, got double")
+    rows = review._rounded(df.withColumn("want", F.round("want", 4)), 4, "got").collect()
+    assert [repr(r.got) for r in rows] == [repr(r.want) for r in rows]
+
+
+def test_stamping_makes_no_decimal_number_for_each_row(spark, sf_dir):
+    df = catalogue.QUERIES["template_stamp"](spark, sf_dir)
+    above = df._jdf.queryExecution().optimizedPlan().toString().split("Join Cross")[0]
+    assert "CASE WHEN" in above and above.count("round(") == above.count("ELSE round(")
+
+
 @pytest.mark.parametrize("query", ["detect_ko_all", "detect_ko_places", "detect_layout_items", "address_cell", "region_building", "reanchor_boxes"])
 def test_narrow_rows_are_many_tasks(spark, sf_dir, query):
     catalogue.QUERIES[query](spark, sf_dir)
